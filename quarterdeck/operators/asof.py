@@ -33,10 +33,10 @@ def asof_calendar(
         .groupBy(day_start(F.col(right_ts)).alias("_day"))
         .agg(*[F.max_by(c, newest).alias(c) for c in columns])
     )
-    until = F.lead("_day").over(W.orderBy("_day")) - F.expr("interval 1 day")
-    in_force = daily.select(
-        F.explode(F.sequence("_day", F.coalesce(until, F.col("_day")), F.expr("interval 1 day"))).alias("_at"),
-        *columns,
+    one_day = F.expr("interval 1 day")
+    until = F.coalesce(F.lead("_day").over(W.orderBy("_day")) - one_day, F.col("_day"))
+    in_force = daily.withColumn("_until", until).select(
+        F.explode(F.sequence("_day", "_until", one_day)).alias("_at"), *columns
     )
     last_day = daily.agg(F.max("_day")).scalar()
     keyed = left.withColumn("_at", F.least(day_start(F.col(left_ts)), last_day))

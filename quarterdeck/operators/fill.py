@@ -1,10 +1,14 @@
-"""Filling missing values: constants, column medians, group medians."""
+"""Filling missing values with column medians and group medians.
+
+``scale`` is the number of decimals the columns have. Given it, medians are
+taken over whole numbers and divided once; without it, over the doubles.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -15,6 +19,11 @@ from quarterdeck.operators.skew import HOT_ROWS, hot_groups
 ACCURACY = 100_000
 
 
+def fill_zero(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> DataFrame:
+    """0 for nulls in the given columns, or in every numeric column not excluded."""
+    return df.fillna(0, subset=list(columns) if columns is not None else numeric_columns(df, exclude))
+
+
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     """Numeric columns by schema, keys and labels excluded."""
     return [
@@ -22,9 +31,17 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     ]
 
 
-def _long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str], scale: int) -> DataFrame:
+def _units(column: str, scale: int | None) -> Column:
+    return F.col(column).cast("double") if scale is None else fixed(F.col(column), scale)
+
+
+def _unit(scale: int | None) -> Column:
+    return F.lit(1.0 if scale is None else float(10**scale))
+
+
+def _long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str], scale: int | None) -> DataFrame:
     cells = F.array(
-        *[F.struct(F.lit(c).alias("_column"), fixed(F.col(c), scale).alias("_units")) for c in columns]
+        *[F.struct(F.lit(c).alias("_column"), _units(c, scale).alias("_units")) for c in columns]
     )
     return df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell.*").dropna(subset=["_units"])
 
@@ -62,14 +79,17 @@ def _selected_medians(values: DataFrame, keys: Sequence[str], accuracy: int) ->
     )
 
 
-def _widen(medians: DataFrame, keys: Sequence[str], columns: Sequence[str], scale: int) -> DataFrame:
-    unit = F.lit(float(10**scale))
-    aggs = [(F.max(F.when(F.col("_column") == c, F.col("_median"))) / unit).alias(c) for c in columns]
+def _widen(
+    medians: DataFrame, keys: Sequence[str], columns: Sequence[str], scale: int | None
+) -> DataFrame:
+    aggs = [
+        (F.max(F.when(F.col("_column") == c, F.col("_median"))) / _unit(scale)).alias(c) for c in columns
+    ]
     return medians.groupBy(*keys).agg(*aggs)
 
 
 def column_medians(
-    df: DataFrame, columns: Sequence[str], scale: int = 2, accuracy: int = ACCURACY
+    df: DataFrame, columns: Sequence[str], scale: int | None = None, accuracy: int = ACCURACY
 ) -> DataFrame:
     """One row with the exact median of each column, computed without gathering the column."""
     return _widen(_selected_medians(_long_form(df, [], columns, scale), [], accuracy), [], columns, scale)
@@ -79,18 +99,17 @@ def group_medians(
     df: DataFrame,
     key: str,
     columns: Sequence[str],
-    scale: int = 2,
+    scale: int | None = None,
     hot_rows: int = HOT_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Exact medians per group: the built-in aggregate for ordinary groups, two passes for hot ones."""
-    unit = F.lit(float(10**scale))
     rows = df.select(key, *columns).dropna(subset=[key])
     hot = F.broadcast(hot_groups(rows, [key], hot_rows))
     ordinary = (
         rows.join(hot, key, "left_anti")
         .groupBy(key)
-        .agg(*[(F.median(fixed(F.col(c), scale)) / unit).alias(c) for c in columns])
+        .agg(*[(F.median(_units(c, scale)) / _unit(scale)).alias(c) for c in columns])
     )
     large = _long_form(rows.join(hot, key, "left_semi"), [key], columns, scale)
     return ordinary.unionByName(_widen(_selected_medians(large, [key], accuracy), [key], columns, scale))
@@ -100,7 +119,7 @@ def fill_column_median(
     df: DataFrame,
     columns: Sequence[str],
     fit_on: DataFrame | None = None,
-    scale: int = 2,
+    scale: int | None = None,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Replace nulls by the column median of ``fit_on`` (the table itself if not given).
@@ -117,7 +136,7 @@ def fill_group_median(
     key: str,
     columns: Sequence[str],
     default: float | None = 0.0,
-    scale: int = 2,
+    scale: int | None = None,
     hot_rows: int = HOT_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
@@ -135,11 +154,11 @@ def fill_two_stage(
     df: DataFrame,
     key: str,
     columns: Sequence[str],
-    scale: int = 2,
+    scale: int | None = None,
     hot_rows: int = HOT_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Group median first, then the median of the column as filled so far."""
     first = fill_group_median(df, key, columns, None, scale, hot_rows, accuracy)
     # One more decimal, since the median of an even group lies between two values.
-    return fill_column_median(first, columns, None, scale + 1, accuracy)
+    return fill_column_median(first, columns, None, None if scale is None else scale + 1, accuracy)

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterdeck.functions.exact import exact_sum
 from quarterdeck.functions.keys import present_flag
 
 
@@ -60,8 +61,16 @@ def unmatched(labels: DataFrame, panel: DataFrame, keys: list[str]) -> DataFrame
     return labels.join(panel.select(*keys).distinct(), keys, "left_anti")
 
 
-def label_rows(labels: DataFrame, keys: list[str], policy: str, order: Sequence[str], flag: str, amount: str,
-               firsts: Sequence[str] = ()) -> DataFrame:
+def label_rows(
+    labels: DataFrame,
+    keys: list[str],
+    policy: str,
+    order: Sequence[str],
+    flag: str,
+    amount: str,
+    firsts: Sequence[str] = (),
+    scale: int = 2,
+) -> DataFrame:
     """Reduce label events to what one panel key receives.
 
     ``fanout`` keeps every event, so a key with two events gets two panel rows.
@@ -84,7 +93,7 @@ def label_rows(labels: DataFrame, keys: list[str], policy: str, order: Sequence[
                 F.min_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c)
                 for c in (flag, *firsts)
             ],
-            F.coalesce(F.sum(amount), F.lit(0)).alias(amount),
+            F.coalesce(exact_sum(F.col(amount), scale), F.lit(0.0)).alias(amount),
         )
     raise ValueError("policy is 'fanout', 'first' or 'total'")
 
@@ -93,5 +102,5 @@ def attach_labels(panel: DataFrame, rows: DataFrame, keys: list[str], flag: str,
     """Left-join reduced label events; the amount becomes 0 and the flag stays null without one."""
     joined = panel.join(rows, keys, "left")
     return joined.withColumns(
-        {amount: F.coalesce(F.col(amount), F.lit(0)), "has_promise": present_flag(F.col(flag))}
+        {amount: F.coalesce(F.col(amount), F.lit(0.0)), "has_promise": present_flag(F.col(flag))}
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.exact import fixed
+from quarterdeck.functions.exact import exact_mean, fixed, ratio
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -101,3 +101,17 @@ def redundant_features(
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     strong = correlations(df, pairs, scales).filter(F.abs("corr") > F.lit(threshold))
     return strong.select(F.col("right").alias("feature")).distinct()
+
+
+def panel_summary(df: DataFrame, entity: str, period: str, ts: str, flag: str, value: str) -> DataFrame:
+    """Size, coverage, date range, flag count and rate, and a mean, in one row."""
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct(entity).alias("n_entities"),
+        F.count_distinct(period).alias("n_periods"),
+        F.min(ts).alias("first"),
+        F.max(ts).alias("last"),
+        F.sum(flag).alias("n_flagged"),
+        ratio(F.sum(flag), F.count(flag)).alias("flag_rate"),
+        exact_mean(F.col(value)).alias("mean_value"),
+    )

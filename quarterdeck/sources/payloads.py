@@ -53,17 +53,13 @@ def sections(
 
     Records without any wanted section get an ``error`` text instead of being lost.
     """
-    every = df.select(*keys).distinct().select(*keys, F.explode(F.array(*map(F.lit, wanted))).alias(section))
-    have = df.filter(F.col(section).isin(list(wanted))).select(*keys, section, text)
-    known = have.select(*keys).distinct().withColumn("_known", F.lit(True))
-    return (
-        every.join(have, [*keys, section], "left")
-        .join(known, list(keys), "left")
-        .withColumns(
-            {
-                text: F.coalesce(F.col(text), F.lit("")),
-                "error": F.when(F.col("_known").isNull(), F.lit("no sections")),
-            }
-        )
-        .drop("_known")
+    texts = df.groupBy(*keys).agg(
+        *[F.max(F.when(F.col(section) == s, F.coalesce(text, F.lit("")))).alias(f"_{s}") for s in wanted]
+    )
+    rows = F.array(
+        *[F.struct(F.lit(s).alias(section), F.coalesce(f"_{s}", F.lit("")).alias(text)) for s in wanted]
     )
+    nothing = F.coalesce(*[F.col(f"_{s}") for s in wanted]).isNull()
+    return texts.select(
+        *keys, F.when(nothing, F.lit("no sections")).alias("error"), F.explode(rows).alias("_s")
+    ).select(*keys, "_s.*", "error")
