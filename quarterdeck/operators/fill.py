@@ -15,6 +15,7 @@ from pyspark.sql.types import NumericType
 
 from quarterdeck.functions.exact import fixed
 from quarterdeck.operators.skew import HOT_ROWS, hot_groups
+from quarterdeck.session import materialize
 
 ACCURACY = 100_000
 
@@ -100,17 +101,20 @@ def group_medians(
     key: str,
     columns: Sequence[str],
     scale: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Exact medians per group: the built-in aggregate for ordinary groups, two passes for hot ones."""
+    """Exact medians per group: the built-in aggregate for ordinary groups, two passes for hot ones.
+
+    With ``hot_rows`` None no group is looked on as hot, for tables whose groups
+    are bounded anyway, such as a panel with a row per quarter.
+    """
     rows = df.select(key, *columns).dropna(subset=[key])
+    medians = [(F.median(_units(c, scale)) / _unit(scale)).alias(c) for c in columns]
+    if hot_rows is None:
+        return rows.groupBy(key).agg(*medians)
     hot = F.broadcast(hot_groups(rows, [key], hot_rows))
-    ordinary = (
-        rows.join(hot, key, "left_anti")
-        .groupBy(key)
-        .agg(*[(F.median(_units(c, scale)) / _unit(scale)).alias(c) for c in columns])
-    )
+    ordinary = rows.join(hot, key, "left_anti").groupBy(key).agg(*medians)
     large = _long_form(rows.join(hot, key, "left_semi"), [key], columns, scale)
     return ordinary.unionByName(_widen(_selected_medians(large, [key], accuracy), [key], columns, scale))
 
@@ -137,7 +141,7 @@ def fill_group_median(
     columns: Sequence[str],
     default: float | None = 0.0,
     scale: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Replace nulls by the median of the row's group, then by ``default`` if given."""
@@ -155,10 +159,14 @@ def fill_two_stage(
     key: str,
     columns: Sequence[str],
     scale: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Group median first, then the median of the column as filled so far."""
-    first = fill_group_median(df, key, columns, None, scale, hot_rows, accuracy)
+    """Group median first, then the median of the column as filled so far.
+
+    The half-filled table is read for the medians and for the result, so it is
+    written once in between.
+    """
+    first = materialize(fill_group_median(df, key, columns, None, scale, hot_rows, accuracy))
     # One more decimal, since the median of an even group lies between two values.
     return fill_column_median(first, columns, None, None if scale is None else scale + 1, accuracy)

@@ -34,4 +34,5 @@ def price_targets(targets: DataFrame, digits: int | None = 2) -> DataFrame:
 def enrich_panel(panel: DataFrame, recommendations: DataFrame, targets: DataFrame) -> DataFrame:
     """Panel with analyst columns; gaps take the ticker's median, then 0."""
     joined = with_dimension(with_dimension(panel, recommendations, "ticker"), targets, "ticker")
-    return fill_group_median(joined, "ticker", [*RECOMMENDATIONS, "target_premium_pct"])
+    # A ticker has one row per quarter, so no group is large.
+    return fill_group_median(joined, "ticker", [*RECOMMENDATIONS, "target_premium_pct"], hot_rows=None)

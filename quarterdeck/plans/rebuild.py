@@ -15,6 +15,7 @@ from quarterdeck.operators.joins import label_rows, with_calendar, with_dimensio
 from quarterdeck.operators.rollup import calendar_rollup, last_value
 from quarterdeck.operators.spine import dense_panel, dense_panel_fixed
 from quarterdeck.plans.panel import promise_events
+from quarterdeck.session import materialize
 
 UNFILLED = ["ticker", "quarter", "promise_kept", "promised_mw", "median_income", "median_home_value"]
 
@@ -36,7 +37,8 @@ def full_panel(
 
     ``tickers`` fixes the companies; None takes those of the price table. Missing
     numbers take the company's median, then the median of the column so filled;
-    label columns are left alone.
+    label columns are left alone. The unfilled panel is written once, since the
+    filling reads it several times; its companies have a row per quarter at most.
     """
     quarter = quarter_key(F.col("Date"))
     by_quarter = prices.select("*", quarter.alias("quarter")).groupBy("ticker", "quarter").agg(
@@ -62,4 +64,7 @@ def full_panel(
     )
     panel = panel.join(labels, ["ticker", "quarter"], "left")
     panel = panel.withColumn("has_promise", present_flag(F.col("promise_kept")))
-    return fill_two_stage(panel, "ticker", numeric_columns(panel, [*UNFILLED, "has_promise"]), scale)
+    panel = materialize(panel)
+    return fill_two_stage(
+        panel, "ticker", numeric_columns(panel, [*UNFILLED, "has_promise"]), scale, hot_rows=None
+    )

@@ -20,6 +20,7 @@ from quarterdeck.operators.models import (
     score,
 )
 from quarterdeck.operators.split import scale_columns, stratified_split
+from quarterdeck.session import materialize
 
 SUFFIX = "_z"
 
@@ -38,13 +39,15 @@ def prepare(
 ) -> Prepared:
     """Labelled rows only, missing features as 0, split by class, scaled on the training rows.
 
-    ``features`` maps a column to its number of decimals.
+    ``features`` maps a column to its number of decimals. The narrow feature
+    table is written once: the split, the scaling and every fit read it again.
     """
     names = list(features)
     rows = df.filter(F.col(label).isNotNull()).select(
         key, F.col(label).cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in names]
     )
-    marked = stratified_split(rows.fillna(0, subset=names), "label", key, test_percent)
+    rows = materialize(rows.fillna(0, subset=names))
+    marked = stratified_split(rows, "label", key, test_percent)
     train = marked.filter("is_test = 0")
     scaled = scale_columns(marked, train, features, SUFFIX)
     vectors = assemble(assemble(scaled, names, "raw"), [c + SUFFIX for c in names], "scaled")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quarterdeck", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,3 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="quarterdeck-")
     return f"{base.rstrip('/')}/quarterdeck-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For a result that several later steps read: it is computed once, its
+    lineage ends here, a lost executor costs nothing, and each reader scans only
+    the columns it needs.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
