@@ -15,7 +15,7 @@ def quarter_key(ts: Column) -> Column:
 
 
 def quarter_start(ts: Column) -> Column:
-    return F.date_trunc("quarter", ts).cast("timestamp_ntz")
+    return F.trunc(ts, "quarter").cast("timestamp_ntz")
 
 
 def quarter_index(ts: Column) -> Column:
@@ -24,11 +24,11 @@ def quarter_index(ts: Column) -> Column:
 
 
 def month_start(ts: Column) -> Column:
-    return F.date_trunc("month", ts).cast("timestamp_ntz")
+    return F.trunc(ts, "month").cast("timestamp_ntz")
 
 
 def day_start(ts: Column) -> Column:
-    return F.date_trunc("day", ts).cast("timestamp_ntz")
+    return F.to_date(ts).cast("timestamp_ntz")
 
 
 def parse_ts(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from quarterdeck.functions.exact import fixed
+from quarterdeck.operators.profile import columns_with_nulls
 from quarterdeck.operators.skew import HOT_ROWS, hot_groups
 from quarterdeck.session import materialize
 
@@ -168,5 +169,8 @@ def fill_two_stage(
     written once in between.
     """
     first = materialize(fill_group_median(df, key, columns, None, scale, hot_rows, accuracy))
+    open_columns = columns_with_nulls(first, columns)
+    if not open_columns:
+        return first
     # One more decimal, since the median of an even group lies between two values.
-    return fill_column_median(first, columns, None, None if scale is None else scale + 1, accuracy)
+    return fill_column_median(first, open_columns, None, None if scale is None else scale + 1, accuracy)

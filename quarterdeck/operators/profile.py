@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.exact import exact_mean, fixed, ratio
+from quarterdeck.functions.exact import exact_mean, exact_total, fixed, ratio
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -18,6 +18,12 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return counts.select(F.explode(cells).alias("_c")).select("_c.*").filter("nulls > 0")
 
 
+def columns_with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Those of the columns that have nulls, from one pass that brings back a single row."""
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return [c for c, n in zip(columns, counts) if n]
+
+
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
@@ -45,7 +51,7 @@ def require_rows(df: DataFrame, minimum: int) -> int:
 
 def _pair_sums(x: Column, y: Column, name: str) -> list[Column]:
     def total(units: Column) -> Column:
-        return F.sum(F.when(x.isNotNull() & y.isNotNull(), units.cast("decimal(19,0)"))).cast("decimal(38,0)")
+        return exact_total(F.when(x.isNotNull() & y.isNotNull(), units), limbs=3)
 
     return [
         F.count(F.when(x.isNotNull() & y.isNotNull(), F.lit(1))).cast("decimal(38,0)").alias(f"{name}_n"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.exact import exact_mean, exact_std, exact_sum, fixed, ratio
+from quarterdeck.functions.exact import exact_mean, exact_std, exact_sum, exact_total, fixed, ratio
 
 
 def last_value(value: str, order: Column) -> Column:
@@ -139,9 +139,9 @@ def rate_by(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
 def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str, scale: int = 2) -> DataFrame:
     """Weighted mean of a column, null where the weights sum to zero."""
     both = F.col(value).isNotNull() & F.col(weight).isNotNull()
-    products = F.when(both, (fixed(F.col(value), scale) * fixed(F.col(weight), 0)).cast("decimal(19,0)"))
-    weights = F.when(both, fixed(F.col(weight), 0).cast("decimal(19,0)"))
-    total = F.sum(weights).cast("double") * F.lit(float(10**scale))
+    products = F.when(both, fixed(F.col(value), scale) * fixed(F.col(weight), 0))
+    weights = F.when(both, fixed(F.col(weight), 0))
+    total = exact_total(weights).cast("double") * F.lit(float(10**scale))
     return df.groupBy(*keys).agg(
-        (F.sum(products).cast("double") / F.nullif(total, F.lit(0.0))).alias("weighted_mean")
+        (exact_total(products, limbs=3).cast("double") / F.nullif(total, F.lit(0.0))).alias("weighted_mean")
     )

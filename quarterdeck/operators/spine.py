@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarterdeck.functions.keys import quarter_start
+
 
 def periods_present(df: DataFrame, period: Column) -> Column:
     """The distinct periods of a table as one sorted array, read as a scalar subquery.
@@ -17,18 +19,20 @@ def periods_present(df: DataFrame, period: Column) -> Column:
     return df.select(period.alias("_p")).agg(F.sort_array(F.collect_set("_p"))).scalar()
 
 
-def dense_panel(df: DataFrame, entity: str, period: Column, out: str = "quarter") -> DataFrame:
+def dense_panel(
+    df: DataFrame, entity: str, period: Column, out: str = "quarter", attributes: DataFrame | None = None
+) -> DataFrame:
     """Every entity of the table beside every period of the table.
 
     Each entity row is unfolded over the array of periods, so there is no cross
     join and the only shuffle is the one that makes the entities distinct.
+    ``attributes``, one row per entity, are joined before the unfolding, while
+    there is still a single row per entity.
     """
-    return (
-        df.select(entity)
-        .dropna()
-        .distinct()
-        .select(entity, F.explode(periods_present(df, period)).alias(out))
-    )
+    entities = df.select(entity).dropna().distinct()
+    if attributes is not None:
+        entities = entities.join(attributes, entity, "left")
+    return entities.select("*", F.explode(periods_present(df, period)).alias(out))
 
 
 def dense_panel_fixed(
@@ -41,10 +45,7 @@ def dense_panel_fixed(
 
 def quarter_calendar(df: DataFrame, ts: str, out: str = "quarter_start") -> DataFrame:
     """All quarter starts from the table's first to its last quarter, gaps included."""
-    ends = df.agg(
-        F.date_trunc("quarter", F.min(ts)).cast("timestamp_ntz").alias("_lo"),
-        F.date_trunc("quarter", F.max(ts)).cast("timestamp_ntz").alias("_hi"),
-    )
+    ends = df.agg(quarter_start(F.min(ts)).alias("_lo"), quarter_start(F.max(ts)).alias("_hi"))
     return ends.select(
         F.explode(F.sequence("_lo", "_hi", F.expr("interval 3 month"))).alias(out)
     )

@@ -16,7 +16,7 @@ from quarterdeck.functions.fixed_values import (
 )
 from quarterdeck.functions.keys import quarter_key, recode
 from quarterdeck.operators.fill import fill_zero
-from quarterdeck.operators.joins import attach_labels, label_rows, with_calendar, with_dimension
+from quarterdeck.operators.joins import attach_labels, label_rows, with_calendar
 from quarterdeck.operators.rollup import calendar_rollup, price_rollup, queue_depth, queue_wide
 from quarterdeck.operators.spine import dense_panel, forward_fill
 from quarterdeck.sources.files import pick
@@ -58,7 +58,7 @@ def quarterly_panel(
 
     ``policy`` says what several promises of one company and quarter become
     (see ``label_rows``). Queue columns are 0 without a project; ``zero_fill``
-    also zeroes every other missing number, before the labels are attached.
+    also zeroes every other missing number except the label.
     """
     quarter = quarter_key(F.col("Date"))
     means = {c: f"q_avg_{c.lower()}" for c in ("Open", "High", "Low") if c in prices.columns}
@@ -68,17 +68,17 @@ def quarterly_panel(
     wide = queue_wide(queue_depth(queue, "iso", quarter_key(F.col("Queue Date"))), regions)
     queue_columns = [c for c in wide.columns if c != "quarter"]
 
-    spine = dense_panel(prices, "ticker", quarter)
-    panel = spine.join(features, ["ticker", "quarter"], "left")
-    panel = with_dimension(panel, pick(ratios, ["ticker", *RATIO_COLUMNS]), "ticker")
-    panel = with_calendar(panel, macro_quarters(macro))
-    panel = with_calendar(panel, wide)
-    panel = fill_zero(panel, None if zero_fill else queue_columns, exclude=["ticker"])
-
     labels = label_rows(
         promise_events(promises, ticker), ["ticker", "quarter"], policy, label_order, "promise_kept", "promised_mw"
     )
+
+    # Both joins on company and quarter come first: they share one partitioning.
+    spine = dense_panel(prices, "ticker", quarter, attributes=pick(ratios, ["ticker", *RATIO_COLUMNS]))
+    panel = spine.join(features, ["ticker", "quarter"], "left")
     panel = attach_labels(panel, labels, ["ticker", "quarter"], "promise_kept", "promised_mw")
+    panel = with_calendar(with_calendar(panel, macro_quarters(macro)), wide)
+    unfilled = ["ticker", "promise_kept", "promised_mw", "has_promise"]
+    panel = fill_zero(panel, None if zero_fill else queue_columns, exclude=unfilled)
     return pick(
         panel,
         ["ticker", "quarter", *PRICE_FEATURES, *RATIO_COLUMNS, *MACRO_LAST, *MACRO_MEAN, *queue_columns,

@@ -12,6 +12,7 @@ from quarterdeck.functions.fixed_values import MACRO_LAST, MACRO_MEAN, PANEL_TIC
 from quarterdeck.functions.keys import present_flag, quarter_key
 from quarterdeck.operators.fill import fill_two_stage, numeric_columns
 from quarterdeck.operators.joins import label_rows, with_calendar, with_dimension
+from quarterdeck.operators.profile import columns_with_nulls
 from quarterdeck.operators.rollup import calendar_rollup, last_value
 from quarterdeck.operators.spine import dense_panel, dense_panel_fixed
 from quarterdeck.plans.panel import promise_events
@@ -54,17 +55,14 @@ def full_panel(
         spine = dense_panel(prices, "ticker", quarter)
     else:
         spine = dense_panel_fixed(prices, tickers, "ticker", quarter)
-    panel = spine.join(by_quarter, ["ticker", "quarter"], "left")
-    panel = with_dimension(with_calendar(panel, macro_q), analyst, "ticker")
-
     extras = [c for c in ("median_income", "median_home_value") if c in promises.columns]
     labels = label_rows(
         promise_events(promises, ticker), ["ticker", "quarter"], "total", label_order,
         "promise_kept", "promised_mw", extras,
     )
-    panel = panel.join(labels, ["ticker", "quarter"], "left")
+    panel = spine.join(by_quarter, ["ticker", "quarter"], "left").join(labels, ["ticker", "quarter"], "left")
+    panel = with_dimension(with_calendar(panel, macro_q), analyst, "ticker")
     panel = panel.withColumn("has_promise", present_flag(F.col("promise_kept")))
     panel = materialize(panel)
-    return fill_two_stage(
-        panel, "ticker", numeric_columns(panel, [*UNFILLED, "has_promise"]), scale, hot_rows=None
-    )
+    gaps = columns_with_nulls(panel, numeric_columns(panel, [*UNFILLED, "has_promise"]))
+    return fill_two_stage(panel, "ticker", gaps, scale, hot_rows=None) if gaps else panel

@@ -40,7 +40,8 @@ def prepare(
     """Labelled rows only, missing features as 0, split by class, scaled on the training rows.
 
     ``features`` maps a column to its number of decimals. The narrow feature
-    table is written once: the split, the scaling and every fit read it again.
+    table is written once for the split and the scaling, the vectors once for the
+    fits, so that the texts behind the features are read a single time.
     """
     names = list(features)
     rows = df.filter(F.col(label).isNotNull()).select(
@@ -51,7 +52,7 @@ def prepare(
     train = marked.filter("is_test = 0")
     scaled = scale_columns(marked, train, features, SUFFIX)
     vectors = assemble(assemble(scaled, names, "raw"), [c + SUFFIX for c in names], "scaled")
-    vectors = vectors.select(key, "label", "is_test", "raw", "scaled")
+    vectors = materialize(vectors.select(key, "label", "is_test", "raw", "scaled"))
     return Prepared(vectors.filter("is_test = 0"), vectors.filter("is_test = 1"), names)
 
 
