@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quarterdeck.checks.registry import query
-from quarterdeck.checks.views import mean, std, table
+from quarterdeck.checks.views import (
+    macro,
+    mean,
+    prices,
+    promise_ticker,
+    promises,
+    queue,
+    ratios,
+    std,
+    table,
+)
 from quarterdeck.functions.text import regex_count, term_count
 from quarterdeck.operators import metrics, split
 from quarterdeck.operators.models import assemble, feature_columns
 from quarterdeck.plans import training
+from quarterdeck.plans.promises import promise_matrix
 
 FEATURES = ["n_chars", "n_lines", "n_numbers", "n_the", "n_license"]
 
@@ -58,8 +70,6 @@ def label_encode(spark, d):
 def ml_features(spark, d):
     rows = _documents(spark, d).filter(F.col("quality").isNotNull())
     names = feature_columns(rows, ["doc_id", "lang", "quality", "toxic"])
-    from pyspark.ml.functions import vector_to_array
-
     values = vector_to_array("features")
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     return assemble(rows, names).select("doc_id", total.alias("total"), "quality")
@@ -186,6 +196,15 @@ def importance_topk(spark, d):
     return training.forest_importance(_prepared(spark, d), top=10)
 
 
+@query("ml_promise")
+def ml_promise(spark, d):
+    matrix = promise_matrix(
+        promises(spark, d), prices(spark, d), ratios(spark, d), macro(spark, d), queue(spark, d),
+        ticker=promise_ticker(),
+    )
+    return training.promise_model(matrix, "promise_id")
+
+
 @query("model_compare")
 def model_compare(spark, d):
     return training.compare_models(_prepared(spark, d), "doc_id")

@@ -14,6 +14,7 @@ WIDE = "decimal(38,0)"
 
 LIMB_BITS = 21
 LIMB_MASK = (1 << LIMB_BITS) - 1
+SAFE_FACTOR = 3_037_000_499  # the largest whole number whose square fits a long
 
 
 def fixed(col: Column, scale: int = 2) -> Column:
@@ -38,6 +39,19 @@ def exact_total(units: Column, limbs: int = 2) -> Column:
     return total.cast(WIDE)
 
 
+def product_total(x: Column, y: Column) -> Column:
+    """Sum of products of whole numbers.
+
+    A product that might not fit a long is formed as a decimal; for ordinary
+    magnitudes that branch is never taken.
+    """
+    small = (F.abs(x) <= F.lit(SAFE_FACTOR)) & (F.abs(y) <= F.lit(SAFE_FACTOR))
+    large = x.cast("decimal(19,0)") * y.cast("decimal(19,0)")
+    common = exact_total(F.when(small, x * y), limbs=3)
+    rare = F.sum(F.when(~small, large.cast(WIDE)))
+    return (F.coalesce(common, F.lit(0).cast(WIDE)) + F.coalesce(rare, F.lit(0)).cast(WIDE)).cast(WIDE)
+
+
 def exact_sum(col: Column, scale: int = 2) -> Column:
     return exact_total(fixed(col, scale)).cast("double") / F.lit(float(10**scale))
 
@@ -58,7 +72,7 @@ def spread(n: Column, total: Column, squares: Column, scale: int, ddof: int) ->
 
 def _deviation(col: Column, scale: int, ddof: int) -> Column:
     units = fixed(col, scale)
-    return spread(F.count(col), exact_total(units), exact_total(units * units, limbs=3), scale, ddof)
+    return spread(F.count(col), exact_total(units), product_total(units, units), scale, ddof)
 
 
 def exact_std(col: Column, scale: int = 2) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarterdeck.functions.keys import day_start
+from quarterdeck.operators.rows import known, order_key
 
 
 def asof_calendar(
@@ -27,9 +28,9 @@ def asof_calendar(
     left side is neither shuffled nor sorted. Left rows beyond the last day
     look up that day.
     """
-    newest = F.struct(right_ts, *tie)
+    newest = order_key([right_ts, *tie])
     daily = (
-        right.dropna(subset=[right_ts, *columns])
+        known(right, [right_ts, *columns])
         .groupBy(day_start(F.col(right_ts)).alias("_day"))
         .agg(*[F.max_by(c, newest).alias(c) for c in columns])
     )
@@ -63,7 +64,7 @@ def asof_keyed(
     several the one with the highest ``tie`` wins.
     """
     by = list(by)
-    matches = right.dropna(subset=[*by, right_ts]).select(
+    matches = known(right, [*by, right_ts]).select(
         *by,
         F.col(right_ts).alias("_t"),
         F.struct(*tie, F.lit(0).alias("_none")).alias("_tie"),
@@ -73,7 +74,7 @@ def asof_keyed(
     closing = matches.groupBy(*by, "_cell").agg(
         F.max_by("_match", F.struct("_t", "_tie")).alias("_closing")
     )
-    left_cells = left.select(*by, cell(F.col(left_ts)).alias("_cell")).dropna().distinct()
+    left_cells = known(left, [*by, left_ts]).select(*by, cell(F.col(left_ts)).alias("_cell")).distinct()
     earlier = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     opening = left_cells.join(closing, [*by, "_cell"], "full").select(
         *by, "_cell", F.last("_closing", ignorenulls=True).over(earlier).alias("_opening")

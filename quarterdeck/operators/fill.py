@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from quarterdeck.functions.exact import fixed
+from quarterdeck.operators.rows import known
 from quarterdeck.operators.profile import columns_with_nulls
 from quarterdeck.operators.skew import HOT_ROWS, hot_groups
 from quarterdeck.session import materialize
@@ -45,7 +46,7 @@ def _long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str], scale
     cells = F.array(
         *[F.struct(F.lit(c).alias("_column"), _units(c, scale).alias("_units")) for c in columns]
     )
-    return df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell.*").dropna(subset=["_units"])
+    return df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell.*").filter(F.col("_units").isNotNull())
 
 
 def _selected_medians(values: DataFrame, keys: Sequence[str], accuracy: int) -> DataFrame:
@@ -110,7 +111,7 @@ def group_medians(
     With ``hot_rows`` None no group is looked on as hot, for tables whose groups
     are bounded anyway, such as a panel with a row per quarter.
     """
-    rows = df.select(key, *columns).dropna(subset=[key])
+    rows = known(df.select(key, *columns), [key])
     medians = [(F.median(_units(c, scale)) / _unit(scale)).alias(c) for c in columns]
     if hot_rows is None:
         return rows.groupBy(key).agg(*medians)
@@ -131,6 +132,8 @@ def fill_column_median(
 
     Pass the training rows as ``fit_on`` to keep test rows out of the medians.
     """
+    if not columns:
+        return df
     medians = column_medians(fit_on if fit_on is not None else df, columns, scale, accuracy)
     values = medians.select(F.struct(*columns).alias("_m")).scalar()
     return df.withColumns({c: F.coalesce(F.col(c), values[c]) for c in columns})

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarterdeck.functions.exact import exact_sum
 from quarterdeck.functions.keys import present_flag
+from quarterdeck.operators.rows import known, order_key
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: Mapping[str, str], how: str = "left") -> DataFrame:
@@ -78,17 +79,16 @@ def label_rows(
     known, with the first flag, the sum of the amounts and the first of any
     further columns.
     """
-    usable = labels.dropna(subset=keys)
+    usable = known(labels, keys)
     wanted = [*keys, flag, amount, *firsts]
     if policy == "fanout":
         return usable.select(*wanted)
-    at = F.struct(*order)
+    at = order_key(order)
     if policy == "first":
         row = F.struct(flag, amount, *firsts)
         return usable.groupBy(*keys).agg(F.min_by(row, at).alias("_row")).select(*keys, "_row.*")
     if policy == "total":
-        known = usable.filter(F.col(flag).isNotNull())
-        return known.groupBy(*keys).agg(
+        return known(usable, [flag]).groupBy(*keys).agg(
             *[
                 F.min_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c)
                 for c in (flag, *firsts)

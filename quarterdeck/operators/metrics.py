@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,10 +89,10 @@ def roc_auc(df: DataFrame, label: str, score: str, cells: int = 1024) -> DataFra
     ties = scored.groupBy("_score").agg(
         F.count_if(F.col("_y") == 1).alias("_pos"), F.count_if(F.col("_y") != 1).alias("_neg")
     )
-    binning = QuantileDiscretizer(
-        numBuckets=cells, inputCol="_score", outputCol="_cell", relativeError=1.0 / (8 * cells)
-    ).fit(scored)
-    binned = binning.transform(ties)
+    steps = [i / cells for i in range(1, cells)]
+    bounds = sorted(set(scored.approxQuantile("_score", steps, 1.0 / (8 * cells)))) or [0.0]
+    splits = [float("-inf"), *bounds, float("inf")]
+    binned = Bucketizer(splits=splits, inputCol="_score", outputCol="_cell").transform(ties)
     totals = binned.groupBy("_cell").agg(F.sum("_neg").alias("_n"))
     lower = W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("_cell", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_offset"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.exact import exact_mean, exact_total, fixed, ratio
+from quarterdeck.functions.exact import exact_mean, exact_total, fixed, product_total, ratio
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -50,16 +50,16 @@ def require_rows(df: DataFrame, minimum: int) -> int:
 
 
 def _pair_sums(x: Column, y: Column, name: str) -> list[Column]:
-    def total(units: Column) -> Column:
-        return exact_total(F.when(x.isNotNull() & y.isNotNull(), units), limbs=3)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
 
     return [
-        F.count(F.when(x.isNotNull() & y.isNotNull(), F.lit(1))).cast("decimal(38,0)").alias(f"{name}_n"),
-        total(x).alias(f"{name}_x"),
-        total(y).alias(f"{name}_y"),
-        total(x * x).alias(f"{name}_xx"),
-        total(y * y).alias(f"{name}_yy"),
-        total(x * y).alias(f"{name}_xy"),
+        F.count(x).cast("decimal(38,0)").alias(f"{name}_n"),
+        exact_total(x).alias(f"{name}_x"),
+        exact_total(y).alias(f"{name}_y"),
+        product_total(x, x).alias(f"{name}_xx"),
+        product_total(y, y).alias(f"{name}_yy"),
+        product_total(x, y).alias(f"{name}_xy"),
     ]
 
 

@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 
 from quarterdeck.functions.exact import WIDE, fixed, spread
 from quarterdeck.functions.keys import day_start
+from quarterdeck.operators.rows import order_key
 from quarterdeck.operators.skew import BLOCK, HOT_ROWS, drop_halo, split_series
 
 
+def _square(units: Column) -> Column:
+    return (units.cast("decimal(19,0)") * units.cast("decimal(19,0)")).cast(WIDE)
+
+
 def _last_n(running: str, n: int, series) -> Column:
     """Sum of the last ``n`` rows out of a running sum."""
     now = F.coalesce(F.col(running), F.lit(0))
@@ -77,7 +82,7 @@ def indicators(
         sums["_pn"] = F.count("_p").over(running)
         sums["_ps"] = F.sum("_p").over(running)
     if volatility:
-        sums["_pq"] = F.sum((F.col("_p") * F.col("_p")).cast("decimal(19,0)")).over(running)
+        sums["_pq"] = F.sum(_square(F.col("_p"))).over(running)
     if rsi:
         sums["_gs"] = F.sum("_gain").over(running)
         sums["_ls"] = F.sum("_loss").over(running)
@@ -151,7 +156,7 @@ def quarter_to_date_return(
     """
     work = df.withColumn("_q", quarter)
     first = work.groupBy(entity, "_q").agg(
-        F.min_by(price, F.struct(*order)).alias("_first")
+        F.min_by(price, order_key(order)).alias("_first")
     )
     change = F.col(price) / F.nullif(F.col("_first"), F.lit(0.0)) - F.lit(1.0)
     return work.join(first, [entity, "_q"], "left").withColumn(out, change).select(*df.columns, out)

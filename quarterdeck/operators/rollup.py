@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.exact import exact_mean, exact_std, exact_sum, exact_total, fixed, ratio
+from quarterdeck.functions.exact import exact_mean, exact_std, exact_sum, exact_total, fixed, product_total, ratio
+from quarterdeck.operators.rows import known, order_key
 
 
 def last_value(value: str, order: Column) -> Column:
@@ -71,7 +72,7 @@ def calendar_rollup(
     """
     aggs = [last_value(c, F.col(order)).alias(c) for c in last]
     aggs += [exact_mean(F.col(c), scale).alias(c) for c, scale in (mean or {}).items()]
-    return df.withColumn(out, quarter).dropna(subset=[out]).groupBy(out).agg(*aggs)
+    return known(df.withColumn(out, quarter), [out]).groupBy(out).agg(*aggs)
 
 
 def resample_last(
@@ -89,12 +90,8 @@ def resample_last(
 
 def queue_depth(df: DataFrame, region: str, quarter: Column, out: str = "iso_queue_depth") -> DataFrame:
     """Rows per region and quarter; region spelling is unified before counting."""
-    return (
-        df.select(F.upper(region).alias("iso"), quarter.alias("quarter"))
-        .dropna()
-        .groupBy("iso", "quarter")
-        .agg(F.count(F.lit(1)).alias(out))
-    )
+    named = df.select(F.upper(region).alias("iso"), quarter.alias("quarter"))
+    return known(named, ["iso", "quarter"]).groupBy("iso", "quarter").agg(F.count(F.lit(1)).alias(out))
 
 
 def queue_total(depth: DataFrame, value: str = "iso_queue_depth") -> DataFrame:
@@ -112,8 +109,8 @@ def queue_wide(
 
 def latest_per_key(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Per key the latest non-null value of every column, each on its own."""
-    at = F.struct(*order)
-    return df.dropna(subset=[key]).groupBy(key).agg(*[last_value(c, at).alias(c) for c in columns])
+    at = order_key(order)
+    return known(df, [key]).groupBy(key).agg(*[last_value(c, at).alias(c) for c in columns])
 
 
 def latest_rows(df: DataFrame, key: str, newest: Sequence[Column], n: int) -> DataFrame:
@@ -139,9 +136,9 @@ def rate_by(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
 def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str, scale: int = 2) -> DataFrame:
     """Weighted mean of a column, null where the weights sum to zero."""
     both = F.col(value).isNotNull() & F.col(weight).isNotNull()
-    products = F.when(both, fixed(F.col(value), scale) * fixed(F.col(weight), 0))
+    values = F.when(both, fixed(F.col(value), scale))
     weights = F.when(both, fixed(F.col(weight), 0))
     total = exact_total(weights).cast("double") * F.lit(float(10**scale))
     return df.groupBy(*keys).agg(
-        (exact_total(products, limbs=3).cast("double") / F.nullif(total, F.lit(0.0))).alias("weighted_mean")
+        (product_total(values, weights).cast("double") / F.nullif(total, F.lit(0.0))).alias("weighted_mean")
     )

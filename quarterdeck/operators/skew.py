@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarterdeck.operators.rows import known
+
 HOT_ROWS = 1_000_000
 
 BLOCK = "_block"
@@ -70,7 +72,7 @@ def split_series(
     block looks back on appears there again with ``_halo`` set, to be dropped
     after the windows. ``day`` is a non-decreasing function of the series order.
     """
-    df = df.dropna(subset=keys)
+    df = known(df, keys)
     hot = F.broadcast(hot_groups(df, keys, hot_rows))
     ordinary = df.join(hot, keys, "left_anti").withColumns({BLOCK: F.lit(0).cast("long"), HALO: F.lit(False)})
     large = df.join(hot, keys, "left_semi").withColumn("_day", day)

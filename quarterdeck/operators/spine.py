@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarterdeck.functions.keys import quarter_start
+from quarterdeck.operators.rows import known
 
 
 def periods_present(df: DataFrame, period: Column) -> Column:
@@ -29,7 +30,7 @@ def dense_panel(
     ``attributes``, one row per entity, are joined before the unfolding, while
     there is still a single row per entity.
     """
-    entities = df.select(entity).dropna().distinct()
+    entities = known(df.select(entity), [entity]).distinct()
     if attributes is not None:
         entities = entities.join(attributes, entity, "left")
     return entities.select("*", F.explode(periods_present(df, period)).alias(out))

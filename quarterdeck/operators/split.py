@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,16 +55,25 @@ def stratified_split(
     )
 
 
-def scale_columns(df: DataFrame, fit_on: DataFrame, columns: Mapping[str, int], suffix: str = "_z") -> DataFrame:
+def scale_columns(
+    df: DataFrame, fit_on: DataFrame, columns: Mapping[str, int | None], suffix: str = "_z"
+) -> DataFrame:
     """Subtract the mean and divide by the population deviation, both taken from ``fit_on``.
 
-    ``columns`` maps a column to its number of decimals. A column that does not
-    vary is only centred.
+    ``columns`` maps a column to its number of decimals, for exact moments, or to
+    None for those of the doubles. A column that does not vary is only centred.
     """
+
+    def mean(c: str, scale: int | None) -> Column:
+        return F.avg(c) if scale is None else exact_mean(F.col(c), scale)
+
+    def deviation(c: str, scale: int | None) -> Column:
+        return F.stddev_pop(c) if scale is None else exact_std_pop(F.col(c), scale)
+
     stats = fit_on.agg(
         F.struct(
-            *[exact_mean(F.col(c), s).alias(f"m_{c}") for c, s in columns.items()],
-            *[exact_std_pop(F.col(c), s).alias(f"s_{c}") for c, s in columns.items()],
+            *[mean(c, s).alias(f"m_{c}") for c, s in columns.items()],
+            *[deviation(c, s).alias(f"s_{c}") for c, s in columns.items()],
         )
     ).scalar()
     return df.withColumns(

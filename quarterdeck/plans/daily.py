@@ -12,6 +12,7 @@ from quarterdeck.functions.keys import quarter_key
 from quarterdeck.operators.asof import asof_calendar
 from quarterdeck.operators.joins import label_rows, with_calendar
 from quarterdeck.operators.rolling import indicators
+from quarterdeck.operators.rows import known
 from quarterdeck.operators.rollup import queue_depth, queue_total
 from quarterdeck.operators.skew import HOT_ROWS
 from quarterdeck.plans.panel import promise_events
@@ -44,10 +45,10 @@ def daily_features(
         prices, "ticker", list(order), "Close", "Volume",
         sma=(20, 60), volatility=(20,), momentum=(20,), rsi=(14,), volume_ratio=(20,), hot_rows=hot_rows,
     ).withColumnRenamed("volume_ratio_20", "volume_ma_ratio")
-    rolled = rolled.dropna(subset=["sma_20", "volatility_20d"])
+    rolled = known(rolled, ["sma_20", "volatility_20d"])
 
     daily = asof_calendar(rolled, "Date", macro.select("date", *DAILY_MACRO), "date", DAILY_MACRO)
-    dated = queue.dropna(subset=["Queue Date"])
+    dated = known(queue, ["Queue Date"])
     depth = queue_total(queue_depth(dated, "iso", quarter_key(F.col("Queue Date"))))
     daily = with_calendar(daily.withColumn("quarter", quarter_key(F.col("Date"))), depth)
 

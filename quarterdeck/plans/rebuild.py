@@ -14,6 +14,7 @@ from quarterdeck.operators.fill import fill_two_stage, numeric_columns
 from quarterdeck.operators.joins import label_rows, with_calendar, with_dimension
 from quarterdeck.operators.profile import columns_with_nulls
 from quarterdeck.operators.rollup import calendar_rollup, last_value
+from quarterdeck.operators.rows import order_key
 from quarterdeck.operators.spine import dense_panel, dense_panel_fixed
 from quarterdeck.plans.panel import promise_events
 from quarterdeck.session import materialize
@@ -43,7 +44,7 @@ def full_panel(
     """
     quarter = quarter_key(F.col("Date"))
     by_quarter = prices.select("*", quarter.alias("quarter")).groupBy("ticker", "quarter").agg(
-        last_value("Close", F.struct(*order)).alias("Close"),
+        last_value("Close", order_key(order)).alias("Close"),
         exact_mean(F.col("Volume"), 0).alias("Volume"),
     )
     # Ratios belong to a quarter the company traded in, as do its prices.

@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterdeck.functions.fixed_values import MACRO_LAST, MACRO_MEAN
+from quarterdeck.functions.keys import days_apart
+from quarterdeck.operators.fill import fill_column_median
 from quarterdeck.operators.models import (
     assemble,
     boosted_trees,
@@ -19,7 +22,8 @@ from quarterdeck.operators.models import (
     logistic_baseline,
     score,
 )
-from quarterdeck.operators.split import scale_columns, stratified_split
+from quarterdeck.operators.profile import columns_with_nulls
+from quarterdeck.operators.split import encode_labels, scale_columns, stratified_split
 from quarterdeck.session import materialize
 
 SUFFIX = "_z"
@@ -35,11 +39,19 @@ class Prepared:
 
 
 def prepare(
-    df: DataFrame, features: Mapping[str, int], label: str, key: str, test_percent: int = 20
+    df: DataFrame,
+    features: Mapping[str, int | None],
+    label: str,
+    key: str,
+    test_percent: int = 20,
+    missing: str = "zero",
+    fit_on: str = "train",
 ) -> Prepared:
-    """Labelled rows only, missing features as 0, split by class, scaled on the training rows.
+    """Labelled rows only, missing features filled, split by class, scaled on the training rows.
 
-    ``features`` maps a column to its number of decimals. The narrow feature
+    ``features`` maps a column to its number of decimals, or None. ``missing`` is 'zero'
+    or 'median'; medians come from the training rows, or with ``fit_on`` 'all'
+    from the test rows too. The narrow feature
     table is written once for the split and the scaling, the vectors once for the
     fits, so that the texts behind the features are read a single time.
     """
@@ -47,8 +59,15 @@ def prepare(
     rows = df.filter(F.col(label).isNotNull()).select(
         key, F.col(label).cast("int").alias("label"), *[F.col(c).cast("double").alias(c) for c in names]
     )
-    rows = materialize(rows.fillna(0, subset=names))
+    if missing not in ("zero", "median") or fit_on not in ("train", "all"):
+        raise ValueError("missing is 'zero' or 'median', fit_on is 'train' or 'all'")
+    rows = materialize(rows)
     marked = stratified_split(rows, "label", key, test_percent)
+    if missing == "zero":
+        marked = marked.fillna(0, subset=names)
+    else:
+        fitted = marked if fit_on == "all" else marked.filter("is_test = 0")
+        marked = fill_column_median(marked, columns_with_nulls(rows, names), fitted)
     train = marked.filter("is_test = 0")
     scaled = scale_columns(marked, train, features, SUFFIX)
     vectors = assemble(assemble(scaled, names, "raw"), [c + SUFFIX for c in names], "scaled")
@@ -74,6 +93,27 @@ def forest_importance(data: Prepared, top: int | None = 10) -> DataFrame:
     return importance(model, data.features, data.train.sparkSession, top)
 
 
+# Fixed values. Features of the promise model that are numbers already.
+PROMISE_FEATURES = ["promised_mw", "days_to_target", *MACRO_LAST, *MACRO_MEAN, "iso_queue_depth"]
+
+
+def promise_features(matrix: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The promise matrix with region and tier as codes, and the model's feature names."""
+    coded = encode_labels(matrix.fillna("", subset=["iso", "company_tier"]), ["iso", "company_tier"])
+    if "days_to_target" not in coded.columns:
+        days = days_apart(F.col("announcement_date"), F.col("target_date"))
+        coded = coded.withColumn("days_to_target", days)
+    names = [c for c in PROMISE_FEATURES if c in coded.columns]
+    return coded, [*names, "iso_encoded", "company_tier_encoded"]
+
+
+def promise_model(matrix: DataFrame, key: str, fit_on: str = "train") -> DataFrame:
+    """Boosted trees of depth four on the promise matrix: scored test promises."""
+    coded, names = promise_features(matrix)
+    data = prepare(coded, dict.fromkeys(names), "promise_kept", key, missing="median", fit_on=fit_on)
+    return train_boosted(data, key, depth=4)
+
+
 def compare_models(data: Prepared, key: str) -> DataFrame:
     """One row of test metrics per model; the training rows are kept for the three fits."""
     data = Prepared(data.train.persist(), data.test, data.features)

@@ -105,6 +105,14 @@ def test_exact_total_beyond_long(spark):
     assert int(df.agg(exact.exact_total(F.col("v"), limbs=2)).first()[0]) == 7 * big - 3
 
 
+def test_products_beyond_long(spark):
+    big = 200_000_000_000_000
+    df = spark.createDataFrame([(big,), (-big,), (3,), (None,)], "v long")
+    assert int(df.agg(exact.product_total(F.col("v"), F.col("v"))).first()[0]) == 2 * big * big + 9
+    caps = spark.createDataFrame([(2e12,), (3e12,), (1e12,)], "v double")
+    assert caps.agg(exact.exact_std(F.col("v"))).first()[0] == 1e12
+
+
 def test_ratio_and_percent(spark):
     assert one(spark, exact.ratio(F.lit(1), F.lit(0))) is None
     assert one(spark, exact.percent(F.lit(1), F.lit(3), 2)) == 33.33

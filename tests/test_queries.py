@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tools import compare
 
 FOLDER = entry.SMOKE_DIR
-TRAINING = {"ml_logreg", "ml_forest", "ml_gbt", "importance_topk", "model_compare"}
+TRAINING = {"ml_logreg", "ml_forest", "ml_gbt", "importance_topk", "model_compare", "ml_promise"}
 CHECKED = sorted(entry.oracle_sql())
 
 
