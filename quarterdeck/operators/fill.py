@@ -6,7 +6,7 @@ taken over whole numbers and divided once; without it, over the doubles.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from quarterdeck.functions.exact import fixed
-from quarterdeck.operators.rows import known
 from quarterdeck.operators.profile import columns_with_nulls
+from quarterdeck.operators.rows import known
 from quarterdeck.operators.skew import HOT_ROWS, hot_groups
 from quarterdeck.session import materialize
 
@@ -98,27 +98,11 @@ def column_medians(
     return _widen(_selected_medians(_long_form(df, [], columns, scale), [], accuracy), [], columns, scale)
 
 
-def group_medians(
-    df: DataFrame,
-    key: str,
-    columns: Sequence[str],
-    scale: int | None = None,
-    hot_rows: int | None = HOT_ROWS,
-    accuracy: int = ACCURACY,
+def large_group_medians(
+    large: DataFrame, key: str, columns: Sequence[str], scale: int | None = None, accuracy: int = ACCURACY
 ) -> DataFrame:
-    """Exact medians per group: the built-in aggregate for ordinary groups, two passes for hot ones.
-
-    With ``hot_rows`` None no group is looked on as hot, for tables whose groups
-    are bounded anyway, such as a panel with a row per quarter.
-    """
-    rows = known(df.select(key, *columns), [key])
-    medians = [(F.median(_units(c, scale)) / _unit(scale)).alias(c) for c in columns]
-    if hot_rows is None:
-        return rows.groupBy(key).agg(*medians)
-    hot = F.broadcast(hot_groups(rows, [key], hot_rows))
-    ordinary = rows.join(hot, key, "left_anti").groupBy(key).agg(*medians)
-    large = _long_form(rows.join(hot, key, "left_semi"), [key], columns, scale)
-    return ordinary.unionByName(_widen(_selected_medians(large, [key], accuracy), [key], columns, scale))
+    """Exact medians of groups too large to sort in one task, one row per group."""
+    return _widen(_selected_medians(_long_form(large, [key], columns, scale), [key], accuracy), [key], columns, scale)
 
 
 def fill_column_median(
@@ -148,14 +132,37 @@ def fill_group_median(
     hot_rows: int | None = HOT_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Replace nulls by the median of the row's group, then by ``default`` if given."""
-    medians = group_medians(df, key, columns, scale, hot_rows, accuracy)
-    renamed = medians.withColumnsRenamed({c: f"_m_{c}" for c in columns})
+    """Replace nulls by the median of the row's group, then by ``default`` if given.
+
+    Ordinary groups are filled by one window over the group: a single shuffle,
+    one group in memory at a time, nothing to join back. Hot groups are not
+    shuffled at all; their few medians are broadcast to them. With ``hot_rows``
+    None no group is looked on as hot, for tables whose groups are bounded
+    anyway, such as a panel with a row per quarter. Rows without a key have no
+    group.
+    """
     fallback = [] if default is None else [F.lit(default)]
-    filled = df.join(renamed, key, "left").withColumns(
-        {c: F.coalesce(F.col(c), F.col(f"_m_{c}"), *fallback) for c in columns}
+
+    def filled(rows: DataFrame, median: Callable[[str], Column | None]) -> DataFrame:
+        steps = {c: [F.col(c), *[m for m in [median(c)] if m is not None], *fallback] for c in columns}
+        return rows.withColumns({c: F.coalesce(*values) for c, values in steps.items()}).select(*df.columns)
+
+    def in_window(c: str) -> Column:
+        return F.median(_units(c, scale)).over(W.partitionBy(key)) / _unit(scale)
+
+    keyed = known(df, [key])
+    keyless = filled(df.filter(F.col(key).isNull()), lambda c: None)
+    if hot_rows is None:
+        return filled(keyed, in_window).unionByName(keyless)
+    hot = F.broadcast(hot_groups(keyed.select(key), [key], hot_rows))
+    large = keyed.join(hot, key, "left_semi")
+    # One row per hot group, as few as the groups broadcast above.
+    medians = large_group_medians(large, key, columns, scale, accuracy).withColumnsRenamed(
+        {c: f"_m_{c}" for c in columns}
     )
-    return filled.select(*df.columns)
+    ordinary = filled(keyed.join(hot, key, "left_anti"), in_window)
+    large = filled(large.join(F.broadcast(medians), key, "left"), lambda c: F.col(f"_m_{c}"))
+    return ordinary.unionByName(large).unionByName(keyless)
 
 
 def fill_two_stage(

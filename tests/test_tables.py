@@ -32,17 +32,21 @@ def test_coarse_brackets_still_give_exact_medians(spark, accuracy):
     assert fill.column_medians(df, ["a"], 2, accuracy).first()["a"] == pytest.approx(np.median(values), abs=1e-12)
 
 
-def test_group_medians_of_hot_groups(spark):
+def test_group_medians_of_hot_groups(spark, rows):
     rng = random.Random(5)
     data = [(rng.choice([1, 1, 1, 2, 3]), round(rng.gauss(0, 9), 2), float(rng.randrange(9))) for _ in range(2000)]
-    data += [(4, None, 1.0), (4, None, None)]
+    data = [(k, a if rng.random() > 0.1 else None, b) for k, a, b in data]
+    data += [(4, None, 1.0), (4, None, None), (None, None, 2.0)]
     df = spark.createDataFrame(data, "k long, a double, b double")
-    plain = {r["k"]: (r["a"], r["b"]) for r in fill.group_medians(df, "k", ["a", "b"], 2).collect()}
-    for hot_rows in (1, 300, 900):
-        split_up = fill.group_medians(df, "k", ["a", "b"], 2, hot_rows, accuracy=100).collect()
-        assert {r["k"]: (r["a"], r["b"]) for r in split_up} == plain
-    want = pd.DataFrame(data, columns=list("kab")).groupby("k").median()
-    assert plain[1] == pytest.approx(tuple(want.loc[1])) and plain[4] == (None, 1.0)
+    plain = rows(fill.fill_group_median(df, "k", ["a", "b"], None, 2))
+    for hot_rows in (None, 1, 300, 900):
+        assert rows(fill.fill_group_median(df, "k", ["a", "b"], None, 2, hot_rows, accuracy=100)) == plain
+    frame = pd.DataFrame(data, columns=list("kab"))
+    want = frame.groupby("k").median()
+    got = {r["k"]: r["a"] for r in fill.large_group_medians(df.filter("k < 4"), "k", ["a"], 2).collect()}
+    assert got == {k: pytest.approx(want.loc[k, "a"], abs=1e-9) for k in (1, 2, 3)}
+    assert [r for r in plain if r[0] == 4] == [(4, None, 1.0), (4, None, 1.0)]
+    assert [r for r in plain if r[0] is None] == [(None, None, 2.0)]
 
 
 def test_fill_group_median_then_default(spark, rows):
