@@ -10,6 +10,7 @@ from quarterdeck.functions import text
 from quarterdeck.functions.fixed_values import GLOBAL_KEYWORDS
 from quarterdeck.functions.keys import member_flag, quarter_key
 from quarterdeck.operators import fill, profile
+from quarterdeck.plans.filings import text_features
 from quarterdeck.session import shared_dir
 from quarterdeck.sources import files, payloads
 
@@ -316,6 +317,22 @@ def text_term_counts(spark, d):
     )
 
 
+@query(
+    "filing_features",
+    f"""SELECT doc_id AS ticker, n_chars AS filing_date,
+       len(regexp_extract_all(text, '{NUMBER}'))::BIGINT + len(regexp_extract_all(source, '{NUMBER}'))::BIGINT AS mw_mentions,
+       ({' + '.join(f"contains(lower(text || chr(10) || source), '{w}')::INT" for w in ['the', 'les', 'src1', 'email'])})::BIGINT
+       AS global_regions, {_count('license')} AS n_license, {_count('on the')} AS n_on_the FROM documents""",
+)
+def filing_features(spark, d):
+    sections = F.create_map(F.lit("business"), F.col("text"), F.lit("risk_factors"), F.col("source"))
+    filed = table(spark, d, "documents").select(
+        F.col("doc_id").alias("ticker"), F.col("n_chars").alias("filing_date"), sections.alias("sections")
+    )
+    terms = {"n_license": "license", "n_on_the": "on the"}
+    return text_features(filed, NUMBER, terms, ["the", "les", "src1", "email"])
+
+
 WORDS = [*GLOBAL_KEYWORDS, "license", "email", "copyright", "the", "les"]
 BREADTH = " + ".join(f"contains(lower(text), '{w}')::INT" for w in WORDS)
 

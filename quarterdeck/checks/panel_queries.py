@@ -23,12 +23,15 @@ from quarterdeck.checks.views import (
     with_views,
 )
 from quarterdeck.functions.keys import quarter_key, quarter_start
+from quarterdeck.functions.fixed_values import RECOMMENDATIONS
 from quarterdeck.operators import joins, rollup, spine
+from quarterdeck.plans.analyst import enrich_panel, latest_recommendations, price_targets
 from quarterdeck.plans.panel import macro_quarters, promise_events, quarterly_panel
 from quarterdeck.plans.promises import promise_matrix
 from quarterdeck.plans.rebuild import full_panel
 
 KEYS = ["ticker", "quarter"]
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 ORDER = ["announcement_date", "promise_id"]
 MACRO = ["Real GDP", "Core CPI", "Fed Funds Rate", "Unemployment Rate", "30Y Mortgage Rate", "10Y Treasury"]
 
@@ -280,6 +283,38 @@ def promise_features(spark, d):
     )
 
 
+LATEST = ", ".join(
+    f"""arg_max(o_totalprice, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderpriority = '{p}') AS "{c}" """
+    for c, p in zip(RECOMMENDATIONS, PRIORITIES)
+)
+
+
+@query(
+    "panel_analyst",
+    with_views("prices", "spine")
+    + f""", recs AS (SELECT o_custkey AS ticker, {LATEST} FROM orders GROUP BY 1),
+    targets AS (SELECT c_custkey AS ticker, c_acctbal AS price_current, c_acctbal + 2 AS target_high,
+      c_acctbal - 2 AS target_low, c_acctbal + 1 AS target_mean, c_acctbal AS target_median,
+      100 * ((c_acctbal + 1 - c_acctbal) / nullif(c_acctbal, 0)) AS premium FROM customer)
+    SELECT s.ticker, s.quarter, {", ".join(f'coalesce("{c}", 0) AS "{c}"' for c in RECOMMENDATIONS)},
+    price_current, target_high, target_low, target_mean, target_median, coalesce(premium, 0) AS target_premium_pct
+    FROM spine s LEFT JOIN recs r ON s.ticker = r.ticker LEFT JOIN targets t ON s.ticker = t.ticker""",
+)
+def panel_analyst(spark, d):
+    counts = {
+        c: F.when(F.col("o_orderpriority") == p, F.col("o_totalprice")) for c, p in zip(RECOMMENDATIONS, PRIORITIES)
+    }
+    recs = table(spark, d, "orders").withColumns(counts).withColumnRenamed("o_custkey", "ticker")
+    balance = F.col("c_acctbal")
+    targets = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("ticker"), balance.alias("current"), (balance + 2).alias("high"),
+        (balance - 2).alias("low"), (balance + 1).alias("mean"), balance.alias("median"),
+    )
+    grid = spine.dense_panel(prices(spark, d), "ticker", _quarter())
+    latest = latest_recommendations(recs, ["o_orderdate", "o_orderkey"])
+    return enrich_panel(grid, latest, price_targets(targets, digits=None))
+
+
 def _two_stage(columns):
     group = ", ".join(
         f"""coalesce("{c}", median({units(f'"{c}"', 4)}) OVER (PARTITION BY ticker) / 10000) AS "{c}" """ for c in columns

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +27,24 @@ def power_mentions(filings: DataFrame, pattern: str = POWER_PATTERN) -> DataFram
     return filings.withColumn("mw_mentions", section_hits(texts, pattern))
 
 
-def text_features(filings: DataFrame) -> DataFrame:
+# Output columns and the terms they count.
+TERM_COLUMNS = {"dc_count_10k": DATA_CENTER_TERM, "ai_mentions": AI_TERM, "renewable_mentions": RENEWABLE_TERM}
+
+
+def text_features(
+    filings: DataFrame,
+    pattern: str = POWER_PATTERN,
+    terms: Mapping[str, str] = TERM_COLUMNS,
+    regions: Sequence[str] = GLOBAL_KEYWORDS,
+) -> DataFrame:
     """Counts per filing over the whole text of all its sections."""
     text = F.array_join(F.map_values("sections"), "\n", "")
-    found = power_mentions(filings)
-    return found.select(
+    return power_mentions(filings, pattern).select(
         "ticker",
         "filing_date",
         F.size("mw_mentions").cast("long").alias("mw_mentions"),
-        term_count(text, DATA_CENTER_TERM).alias("dc_count_10k"),
-        keyword_breadth(text, GLOBAL_KEYWORDS).alias("global_regions"),
-        term_count(text, AI_TERM).alias("ai_mentions"),
-        term_count(text, RENEWABLE_TERM).alias("renewable_mentions"),
+        keyword_breadth(text, regions).alias("global_regions"),
+        *[term_count(text, term).alias(name) for name, term in terms.items()],
     )
 
 

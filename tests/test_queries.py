@@ -12,6 +12,11 @@ TRAINING = {"ml_logreg", "ml_forest", "ml_gbt", "importance_topk", "model_compar
 CHECKED = sorted(entry.oracle_sql())
 
 
+def plan(df):
+    """The plan before adaptive execution changes it."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def con():
     return compare.database(FOLDER)
@@ -20,6 +25,8 @@ def con():
 @pytest.mark.parametrize("name", CHECKED)
 def test_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
+    text = plan(df)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert compare.difference(df, con, entry.oracle_sql()[name]) is None
 
 
@@ -38,17 +45,6 @@ def test_entry(spark):
     assert df.columns[:2] == ["ticker", "quarter"] and df.count() > 0
 
 
-def plan(df):
-    """The plan before adaptive execution changes it."""
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-@pytest.mark.parametrize("name", CHECKED)
-def test_no_cross_joins(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def final_plan(df):
     # The execution has to be the DataFrame's own for its adaptive plan to be final.
     df._jdf.queryExecution().executedPlan().execute().count()

@@ -105,7 +105,8 @@ def test_filing_features(spark):
     )
     schema = "ticker string, filing_date string, sections map<string,string>, subsidiaries array<struct<name:string,jurisdiction:string>>"
     df = spark.createDataFrame([filing, ("AMT", "2024-02-27", {}, [])], schema)
-    got = {r["ticker"]: tuple(r)[2:] for r in filings.text_features(df).collect()}
+    columns = ["mw_mentions", "dc_count_10k", "global_regions", "ai_mentions", "renewable_mentions"]
+    got = {r["ticker"]: tuple(r[c] for c in columns) for r in filings.text_features(df).collect()}
     assert got == {"DLR": (2, 2, 2, 0, 1), "AMT": (0, 0, 0, 0, 0)}
     subs = [tuple(r) for r in filings.subsidiaries(df).orderBy("entity_name").collect()]
     assert subs == [("DLR", "Unit One", "Texas", True), ("DLR", "Unit Two", "Ireland", False)]
