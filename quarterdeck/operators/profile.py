@@ -49,47 +49,44 @@ def require_rows(df: DataFrame, minimum: int) -> int:
     return n
 
 
-def _pair_sums(x: Column, y: Column, name: str) -> list[Column]:
-    both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
-
-    return [
-        F.count(x).cast("decimal(38,0)").alias(f"{name}_n"),
-        exact_total(x).alias(f"{name}_x"),
-        exact_total(y).alias(f"{name}_y"),
-        product_total(x, x).alias(f"{name}_xx"),
-        product_total(y, y).alias(f"{name}_yy"),
-        product_total(x, y).alias(f"{name}_xy"),
-    ]
-
-
 def correlations(
     df: DataFrame, pairs: Sequence[tuple[str, str]], scales: dict[str, int] | None = None
 ) -> DataFrame:
     """Pearson correlation of each pair of columns, as rows ``(left, right, corr)``.
 
-    One pass over the table with exact sums; null if a side does not vary.
+    One pass with exact sums over the rows where both are known; null if a side
+    does not vary. Every row is unfolded into its pairs, which each task sums up
+    before the shuffle, so what is shuffled is a row per pair and task.
     """
     scales = scales or {}
-
-    def units(c: str) -> Column:
-        return fixed(F.col(c), scales.get(c, 0))
-
-    sums = df.agg(*[s for i, (a, b) in enumerate(pairs) for s in _pair_sums(units(a), units(b), f"p{i}")])
-
-    def value(i: int) -> Column:
-        n, x, y, xx, yy, xy = (F.col(f"p{i}_{s}") for s in ("n", "x", "y", "xx", "yy", "xy"))
-        across = (n * xy - x * y).cast("double")
-        left, right = (n * xx - x * x).cast("double"), (n * yy - y * y).cast("double")
-        return across / F.nullif(F.sqrt(left) * F.sqrt(right), F.lit(0.0))
-
-    cells = F.array(
-        *[
-            F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), value(i).alias("corr"))
-            for i, (a, b) in enumerate(pairs)
-        ]
+    used = sorted({c for pair in pairs for c in pair})
+    units = df.select(*[fixed(F.col(c), scales.get(c, 0)).alias(c) for c in used])
+
+    def cell(i: int, a: str, b: str) -> Column:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        return F.struct(F.lit(i).alias("_i"), F.when(both, F.col(a)).alias("x"), F.when(both, F.col(b)).alias("y"))
+
+    cells = F.array(*[cell(i, a, b) for i, (a, b) in enumerate(pairs)])
+    x, y = F.col("x"), F.col("y")
+    sums = (
+        units.select(F.explode(cells).alias("_c"))
+        .select("_c.*")
+        .groupBy("_i")
+        .agg(
+            F.count(x).cast("decimal(38,0)").alias("n"),
+            exact_total(x).alias("sx"),
+            exact_total(y).alias("sy"),
+            product_total(x, x).alias("sxx"),
+            product_total(y, y).alias("syy"),
+            product_total(x, y).alias("sxy"),
+        )
     )
-    return sums.select(F.explode(cells).alias("_c")).select("_c.*")
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    across = (n * F.col("sxy") - sx * sy).cast("double")
+    left, right = (n * F.col("sxx") - sx * sx).cast("double"), (n * F.col("syy") - sy * sy).cast("double")
+    corr = across / F.nullif(F.sqrt(left) * F.sqrt(right), F.lit(0.0))
+    names = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in pairs])
+    return sums.select(F.get(names, F.col("_i")).alias("_p"), corr.alias("corr")).select("_p.*", "corr")
 
 
 def label_correlations(

@@ -17,7 +17,7 @@ PREFIX = 4  # hex digits of the hash, 65,536 cells per class
 def stratified_split(
     df: DataFrame, label: str, key: str, test_percent: int = 20, seed: int = 42, out: str = "is_test"
 ) -> DataFrame:
-    """Mark ``test_percent`` of every class, rounded down, as test rows.
+    """Mark ``test_percent`` of every class, rounded down, as test rows. ``key`` must be unique.
 
     Rows are ranked within their class by a hash of ``key``, so the split does
     not depend on partitioning. No class is sorted: counts per hash prefix show

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -115,13 +115,11 @@ def promise_model(matrix: DataFrame, key: str, fit_on: str = "train") -> DataFra
 
 
 def compare_models(data: Prepared, key: str) -> DataFrame:
-    """One row of test metrics per model; the training rows are kept for the three fits."""
-    data = Prepared(data.train.persist(), data.test, data.features)
+    """One row of test metrics per model. Scores are written once, the metrics read them several times."""
     scored = {
         "Logistic Regression": train_logistic(data, key),
         "Random Forest": train_forest(data, key),
         "Boosted Trees": train_boosted(data, key),
     }
-    rows: Sequence[DataFrame] = [evaluate(df, name) for name, df in scored.items()]
-    data.train.unpersist()
+    rows = [evaluate(materialize(df), name) for name, df in scored.items()]
     return reduce(DataFrame.unionByName, rows)
