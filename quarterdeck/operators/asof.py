@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarterdeck.functions.keys import day_start
 from quarterdeck.operators.rows import known, order_key
+from quarterdeck.operators.skew import HOT_ROWS, hot_groups
 
 
 def asof_calendar(
@@ -44,6 +47,32 @@ def asof_calendar(
     return keyed.join(F.broadcast(in_force), "_at", "left").drop("_at")
 
 
+def _latest_match(rows: DataFrame, matches: DataFrame, within: Sequence[str]) -> DataFrame:
+    """For each left row the latest right row at or before it inside the given partition."""
+    both = rows.withColumn("_side", F.lit(1)).unionByName(
+        matches.withColumn("_side", F.lit(0)), allowMissingColumns=True
+    )
+    so_far = W.partitionBy(*within).orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("_found", F.last("_match", ignorenulls=True).over(so_far)).filter("_side = 1")
+
+
+def _latest_match_by_cell(rows: DataFrame, matches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """As ``_latest_match``, spread over (entity, day) cells.
+
+    Inside a cell the window sees only the rows of one day. A left row with no
+    match there takes the last right row of the entity's earlier days, from a
+    table with one row per cell.
+    """
+    closing = matches.groupBy(*by, "_cell").agg(F.max_by("_match", F.struct("_t", "_tie")).alias("_closing"))
+    left_cells = rows.select(*by, "_cell").distinct()
+    earlier = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    opening = left_cells.join(closing, [*by, "_cell"], "full").select(
+        *by, "_cell", F.last("_closing", ignorenulls=True).over(earlier).alias("_opening")
+    )
+    found = _latest_match(rows, matches, [*by, "_cell"])
+    return found.join(opening, [*by, "_cell"], "left").withColumn("_found", F.coalesce("_found", "_opening"))
+
+
 def asof_keyed(
     left: DataFrame,
     right: DataFrame,
@@ -53,43 +82,36 @@ def asof_keyed(
     columns: Sequence[str],
     tie: Sequence[str] = (),
     cell: Callable[[Column], Column] = day_start,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """As-of join within entities, both sides of any size.
 
-    Work is spread over (entity, day) cells, so an entity with very many rows
-    does not end up in one task. Inside a cell the latest right row is found
-    with a window over both sides; a left row with none before it in its cell
-    takes the last right row of the entity's earlier cells, which comes from a
-    table with one row per cell. A right row at the same instant counts, and of
-    several the one with the highest ``tie`` wins.
+    A right row at the same instant counts, and of several the one with the
+    highest ``tie`` wins. Ordinary entities take one shuffle and one window over
+    both sides. Entities with more than ``hot_rows`` rows are spread over their
+    days (or a finer ``cell``). Rows without a key or a time have no match.
     """
     by = list(by)
+    needed = [*by, left_ts]
+    complete = known(left, needed)
+    rows = complete.select(
+        *by,
+        F.col(left_ts).alias("_t"),
+        cell(F.col(left_ts)).alias("_cell"),
+        F.struct(*left.columns).alias("_left"),
+    )
     matches = known(right, [*by, right_ts]).select(
         *by,
         F.col(right_ts).alias("_t"),
+        cell(F.col(right_ts)).alias("_cell"),
         F.struct(*tie, F.lit(0).alias("_none")).alias("_tie"),
         F.struct(*columns).alias("_match"),
-        cell(F.col(right_ts)).alias("_cell"),
-    )
-    closing = matches.groupBy(*by, "_cell").agg(
-        F.max_by("_match", F.struct("_t", "_tie")).alias("_closing")
-    )
-    left_cells = known(left, [*by, left_ts]).select(*by, cell(F.col(left_ts)).alias("_cell")).distinct()
-    earlier = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    opening = left_cells.join(closing, [*by, "_cell"], "full").select(
-        *by, "_cell", F.last("_closing", ignorenulls=True).over(earlier).alias("_opening")
     )
+    hot = F.broadcast(hot_groups(rows.select(*by).unionByName(matches.select(*by)), by, hot_rows))
+    ordinary = _latest_match(rows.join(hot, by, "left_anti"), matches.join(hot, by, "left_anti"), by)
+    large = _latest_match_by_cell(rows.join(hot, by, "left_semi"), matches.join(hot, by, "left_semi"), by)
+    found = ordinary.select("_left", "_found").unionByName(large.select("_left", "_found"))
 
-    rows = left.select(
-        *by,
-        F.col(left_ts).alias("_t"),
-        cell(F.col(left_ts)).alias("_cell"),
-        F.struct(*left.columns).alias("_left"),
-    )
-    both = rows.withColumn("_side", F.lit(1)).unionByName(
-        matches.withColumn("_side", F.lit(0)), allowMissingColumns=True
-    )
-    inside = W.partitionBy(*by, "_cell").orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
-    found = both.withColumn("_found", F.last("_match", ignorenulls=True).over(inside)).filter("_side = 1")
-    joined = found.join(opening, [*by, "_cell"], "left")
-    return joined.withColumn("_row", F.coalesce("_found", "_opening")).select("_left.*", "_row.*")
+    lacking = left.filter(reduce(or_, [F.col(c).isNull() for c in needed]))
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in right.select(*columns).schema.fields}
+    return found.select("_left.*", "_found.*").unionByName(lacking.withColumns(nothing))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from quarterdeck.functions.exact import WIDE, fixed, spread
 from quarterdeck.functions.keys import day_start
-from quarterdeck.operators.rows import order_key
-from quarterdeck.operators.skew import BLOCK, HOT_ROWS, drop_halo, split_series
+from quarterdeck.operators.rows import known, order_key
+from quarterdeck.operators.skew import BLOCK, HOT_ROWS, drop_halo, hot_groups, split_series
 
 
 def _square(units: Column) -> Column:
@@ -147,19 +147,32 @@ def trailing_rank(
 
 
 def quarter_to_date_return(
-    df: DataFrame, entity: str, order: Sequence[str], price: str, quarter: Column, out: str = "qtd_return"
+    df: DataFrame,
+    entity: str,
+    order: Sequence[str],
+    price: str,
+    quarter: Column,
+    out: str = "qtd_return",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Change against the entity's first price of the same quarter.
 
-    The first prices come from an aggregate, which combines before its shuffle,
-    and are joined back; a window would gather an entity's quarter in one task.
+    One window per entity and quarter. Quarters with more than ``hot_rows`` rows
+    are not gathered: their first prices come from an aggregate, which combines
+    before its shuffle, and are broadcast back.
     """
-    work = df.withColumn("_q", quarter)
-    first = work.groupBy(entity, "_q").agg(
-        F.min_by(price, order_key(order)).alias("_first")
-    )
+    keys = [entity, "_q"]
+    work = known(df.withColumn("_q", quarter), keys)
+    hot = F.broadcast(hot_groups(work.select(*keys), keys, hot_rows))
+    in_order = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    ordinary = work.join(hot, keys, "left_anti").withColumn("_first", F.first(price).over(in_order))
+    large = work.join(hot, keys, "left_semi")
+    # One row per hot group, as few as the groups broadcast above.
+    firsts = large.groupBy(*keys).agg(F.min_by(price, order_key(order)).alias("_first"))
+    large = large.join(F.broadcast(firsts), keys)
     change = F.col(price) / F.nullif(F.col("_first"), F.lit(0.0)) - F.lit(1.0)
-    return work.join(first, [entity, "_q"], "left").withColumn(out, change).select(*df.columns, out)
+    both = ordinary.unionByName(large.select(*ordinary.columns))
+    return both.withColumn(out, change).select(*df.columns, out)
 
 
 def change_over(df: DataFrame, keys: list[str], period: str, value: str, lag: int, out: str) -> DataFrame:

@@ -115,6 +115,8 @@ def test_quarter_to_date_and_yoy(spark, rows):
     )
     out = rolling.quarter_to_date_return(df, "k", ["t", "id"], "p", F.quarter("t"))
     assert rows(out.select("id", "qtd_return")) == [(1, 0.0), (2, 1.0), (3, None), (4, None)]
+    split_up = rolling.quarter_to_date_return(df, "k", ["t", "id"], "p", F.quarter("t"), hot_rows=1)
+    assert rows(split_up) == rows(out)
     quarters = spark.createDataFrame([(1, 10, 4.0), (1, 13, 5.0), (1, 14, 6.0)], "k long, period long, p double")
     out = rolling.change_over(quarters, ["k"], "period", "p", 4, "yoy")
     assert rows(out.select("period", "yoy")) == [(10, None), (13, None), (14, 0.5)]
@@ -148,8 +150,9 @@ def test_asof_calendar_skips_null_values(spark, rows):
     assert rows(asof.asof_calendar(left, "t", right, "d", ["x"]).select("x")) == [(1.0,)]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_asof_keyed(spark, seed):
+@pytest.mark.parametrize("hot_rows", [HOT_ROWS, 60, 20, 1])
+def test_asof_keyed(spark, hot_rows):
+    seed = hot_rows % 7
     rng = np.random.default_rng(seed)
 
     def side(n, name):
@@ -164,7 +167,8 @@ def test_asof_keyed(spark, seed):
     left, right = side(120, "id"), side(90, "rid")
     right["x"] = rng.integers(0, 100, 90).astype(float)
     out = asof.asof_keyed(
-        spark.createDataFrame(left), spark.createDataFrame(right).withColumnRenamed("t", "rt"), ["k"], "t", "rt", ["rid", "x"], tie=["rid"]
+        spark.createDataFrame(left), spark.createDataFrame(right).withColumnRenamed("t", "rt"), ["k"], "t", "rt", ["rid", "x"],
+        tie=["rid"], hot_rows=hot_rows,
     ).toPandas().sort_values("id").reset_index(drop=True)
     want = merge(left, right, "k")
     np.testing.assert_array_equal(out["rid"].astype(float), want["rid"].astype(float))
