@@ -108,15 +108,16 @@ def explode_children(spark, d):
 
 # Filling. The test tables have no nulls, so some values are taken out by rule.
 
-GAPS = """WITH g AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 <> 0 AND o_custkey % 7 <> 0
+GAPS = """WITH g AS (SELECT o_orderkey, o_custkey, o_orderdate AS day, CASE WHEN o_orderkey % 3 <> 0 AND o_custkey % 7 <> 0
     THEN o_totalprice END AS v, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey::DOUBLE END AS w FROM orders)"""
 
 
-def _gaps(spark, d):
+def _gaps(spark, d, *keep):
     key, owner = F.col("o_orderkey"), F.col("o_custkey")
     return table(spark, d, "orders").select(
         "o_orderkey",
         "o_custkey",
+        *keep,
         F.when((key % 3 != 0) & (owner % 7 != 0), F.col("o_totalprice")).alias("v"),
         F.when(F.col("o_orderpriority") != "5-LOW", key.cast("double")).alias("w"),
     )
@@ -138,11 +139,13 @@ def fill_median(spark, d):
 @query(
     "fill_median_train",
     GAPS + f"""SELECT o_orderkey, o_custkey,
-    coalesce(v, (SELECT median({V}) / 100 FROM g WHERE o_custkey % 5 <> 0)) AS v, w FROM g""",
+    coalesce(v, (SELECT median({V}) / 100 FROM g WHERE day < TIMESTAMP '2000-01-01')) AS v, w FROM g""",
 )
 def fill_median_train(spark, d):
-    rows = _gaps(spark, d)
-    return fill.fill_column_median(rows, ["v"], fit_on=rows.filter("o_custkey % 5 <> 0"), scale=2)
+    # Orders of the earlier years are the training rows.
+    rows = _gaps(spark, d, "o_orderdate")
+    train = rows.filter("o_orderdate < TIMESTAMP_NTZ '2000-01-01'")
+    return fill.fill_column_median(rows, ["v"], fit_on=train, scale=2).drop("o_orderdate")
 
 
 @query(

@@ -45,6 +45,12 @@ def parse_ts_lenient(text: Column) -> Column:
     return text.try_cast("timestamp").cast("timestamp_ntz")
 
 
+def parse_ts_mixed(text: Column, formats: Iterable[str]) -> Column:
+    """As ``parse_ts_lenient``, trying further date patterns in turn on texts that are not ISO."""
+    tried = [text.try_cast("timestamp"), *[F.try_to_timestamp(text, F.lit(f)) for f in formats]]
+    return F.coalesce(*tried).cast("timestamp_ntz")
+
+
 def strip_prefix(col: Column, prefix: str) -> Column:
     """Every occurrence of a literal removed."""
     return F.replace(col, F.lit(prefix), F.lit(""))

@@ -178,13 +178,10 @@ def quarter_to_date_return(
 def change_over(df: DataFrame, keys: list[str], period: str, value: str, lag: int, out: str) -> DataFrame:
     """Relative change against ``lag`` periods earlier, on a table with one row per key and period.
 
-    ``period`` counts periods as whole numbers. Matching the number itself, not
-    a row offset, keeps the result right where a period is missing.
+    ``period`` counts periods as whole numbers. The frame holds just the row
+    whose period is ``lag`` less, so the result is right where one is missing. A
+    key has as many rows as the calendar has periods.
     """
-    past = df.select(
-        *keys,
-        (F.col(period) + F.lit(lag)).alias(period),
-        F.col(value).alias("_past"),
-    )
-    change = F.col(value) / F.nullif(F.col("_past"), F.lit(0.0)) - F.lit(1.0)
-    return df.join(past, [*keys, period], "left").withColumn(out, change).select(*df.columns, out)
+    before = W.partitionBy(*keys).orderBy(period).rangeBetween(-lag, -lag)
+    past = F.first(value).over(before)
+    return df.withColumn(out, F.col(value) / F.nullif(past, F.lit(0.0)) - F.lit(1.0))

@@ -39,6 +39,14 @@ def test_parse_ts(spark, written, naive):
     assert one(spark, keys.parse_ts_lenient(F.lit(written))) == naive
 
 
+def test_mixed_patterns(spark):
+    parse = lambda t: one(spark, keys.parse_ts_mixed(F.lit(t), ["MM/dd/yyyy", "d MMM yyyy"]))
+    assert parse("01/31/2021") == dt.datetime(2021, 1, 31)
+    assert parse("5 Feb 2021") == dt.datetime(2021, 2, 5)
+    assert parse("2021-03-04T05:06:07Z") == dt.datetime(2021, 3, 4, 5, 6, 7)
+    assert parse("soon") is None
+
+
 def test_junk_timestamps(spark):
     assert one(spark, keys.parse_ts_lenient(F.lit("TBD"))) is None
     df = spark.createDataFrame([("TBD",)], ["t"])
