@@ -294,7 +294,8 @@ def text_regex_hits(spark, d):
 def list_len(spark, d):
     # Hits written out as list text, as a file would hold them; French rows are malformed.
     hits = F.regexp_extract_all("text", F.lit(f"({NUMBER})"), 1)
-    stored = F.concat(F.lit("["), F.array_join(F.transform(hits, lambda h: F.concat(F.lit("'"), h, F.lit("'"))), ", "), F.lit("]"))
+    quoted = F.transform(hits, lambda h: F.concat(F.lit("'"), h, F.lit("'")))
+    stored = F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
     rows = table(spark, d, "documents").select(
         "doc_id", F.when(F.col("lang") == "fr", F.lit("n/a")).otherwise(stored).alias("mentions")
     )

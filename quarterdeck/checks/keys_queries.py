@@ -10,6 +10,7 @@ from quarterdeck.functions import keys
 from quarterdeck.functions.exact import exact_sum, percent
 from quarterdeck.operators.rollup import rate_by, weighted_mean
 from quarterdeck.operators.split import one_hot
+from quarterdeck.plans.promises import with_timing
 
 HIGH = {"1-URGENT": "HIGH", "2-HIGH": "HIGH", "3-MEDIUM": "MID"}
 
@@ -129,24 +130,20 @@ def repair_shift(spark, d):
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
 def temporal_features(spark, d):
-    start, end = F.col("o_orderdate"), F.col("l_shipdate")
+    # Line items as promises: announced with the order, due on the ship date.
     lines = table(spark, d, "lineitem").join(
         table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     )
-    return lines.select(
+    dated = lines.select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
         "l_suppkey",
         "l_extendedprice",
-        F.quarter(start).alias("announced_quarter"),
-        F.month(start).alias("announced_month"),
-        F.dayofweek(start).alias("announced_weekday"),
-        keys.days_apart(start, end).alias("days_to_target"),
-        keys.months_apart(start, end).alias("months_to_target"),
-        keys.in_season(start).alias("in_season"),
-        keys.fiscal_quarter(start).alias("fiscal_quarter"),
+        F.col("o_orderdate").alias("announcement_date"),
+        F.col("l_shipdate").alias("target_date"),
     )
+    return with_timing(dated).drop("announcement_date", "target_date")
 
 
 @query(

@@ -65,7 +65,9 @@ def label_encode(spark, d):
 
 @query(
     "ml_features",
-    DOCS + " SELECT doc_id, n_chars::DOUBLE + n_lines + n_numbers + n_the + n_license AS total, quality FROM f WHERE quality IS NOT NULL",
+    DOCS
+    + """ SELECT doc_id, n_chars::DOUBLE + n_lines + n_numbers + n_the + n_license AS total, quality FROM f
+    WHERE quality IS NOT NULL""",
 )
 def ml_features(spark, d):
     rows = _documents(spark, d).filter(F.col("quality").isNotNull())

@@ -15,9 +15,7 @@ from quarterdeck.checks.views import (
     quarter,
     queue,
     ratios,
-    std,
     table,
-    total,
     traded,
     units,
     with_views,
@@ -319,7 +317,9 @@ def _two_stage(columns):
     group = ", ".join(
         f"""coalesce("{c}", median({units(f'"{c}"', 4)}) OVER (PARTITION BY ticker) / 10000) AS "{c}" """ for c in columns
     )
-    final = ", ".join(f"""coalesce("{c}", (SELECT median({units(f'"{c}"', 5)}) / 100000 FROM g)) AS "{c}" """ for c in columns)
+    final = ", ".join(
+        f"""coalesce("{c}", (SELECT median({units(f'"{c}"', 5)}) / 100000 FROM g)) AS "{c}" """ for c in columns
+    )
     return group, final
 
 
@@ -337,7 +337,8 @@ _GROUP, _FINAL = _two_stage(REBUILT)
     macro_l AS (SELECT {quarter('date')} AS quarter, {LAST_OF_QUARTER} FROM macro GROUP BY 1),
     analyst AS (SELECT c_custkey AS ticker, c_nationkey::DOUBLE AS "strongBuy",
       CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_acctbal END AS buy FROM customer),
-    p AS (SELECT s.ticker, s.quarter, f."Close", f."Volume", f.market_cap, f.profit_margin, {MACRO_LIST}, a."strongBuy", a.buy, l.promise_kept, l.promised_mw,
+    p AS (SELECT s.ticker, s.quarter, f."Close", f."Volume", f.market_cap, f.profit_margin, {MACRO_LIST}, a."strongBuy", a.buy,
+      l.promise_kept, l.promised_mw,
       (l.promise_kept IS NOT NULL)::INT AS has_promise
       FROM spine s LEFT JOIN fin3 f ON s.ticker = f.ticker AND s.quarter = f.quarter
       LEFT JOIN macro_l m ON s.quarter = m.quarter LEFT JOIN analyst a ON s.ticker = a.ticker

@@ -18,7 +18,6 @@ from quarterdeck.checks.views import (
     units,
     with_views,
 )
-from quarterdeck.functions.fixed_values import DAILY_MACRO
 from quarterdeck.functions.keys import quarter_index, quarter_key
 from quarterdeck.operators import asof, joins, rolling, rollup, spine
 from quarterdeck.plans.daily import daily_features

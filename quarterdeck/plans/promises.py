@@ -7,11 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.fixed_values import GRID_REGIONS, PROMISE_RATIOS, TICKER_PREFIX
-from quarterdeck.functions.keys import quarter_key, quarter_start, repair_shift, strip_prefix
+from quarterdeck.functions.fixed_values import (
+    GRID_REGIONS,
+    PROMISE_RATIOS,
+    TICKER_PREFIX,
+    TIER_BOUNDS,
+    TIERS,
+)
+from quarterdeck.functions.keys import (
+    bucket,
+    days_apart,
+    fiscal_quarter,
+    in_season,
+    months_apart,
+    quarter_key,
+    quarter_start,
+    repair_shift,
+    strip_prefix,
+)
 from quarterdeck.operators.joins import lookup
 from quarterdeck.operators.rollup import mean_rollup, queue_depth, resample_last
 from quarterdeck.operators.spine import quarter_calendar
+from quarterdeck.operators.split import one_hot
 from quarterdeck.sources.files import pick
 
 COMPANY_MEANS = ["Close", "Volume", "market_cap", "revenue", "ebitda"]
@@ -23,6 +40,32 @@ def clean_ticker(promises: DataFrame) -> Column:
     return repair_shift(code, strip_prefix(F.col("company_tier"), TICKER_PREFIX), GRID_REGIONS)
 
 
+def company_tier(market_cap: Column) -> Column:
+    """Tier of a company by its market value in dollars."""
+    return bucket(market_cap, TIER_BOUNDS, TIERS[-1])
+
+
+def tier_columns(df: DataFrame, column: str = "company_tier") -> DataFrame:
+    """A 0/1 column per tier."""
+    return one_hot(df, column, TIERS, prefix="")
+
+
+def with_timing(promises: DataFrame) -> DataFrame:
+    """When a promise was announced and how long it ran to its target."""
+    start, end = F.col("announcement_date"), F.col("target_date")
+    return promises.withColumns(
+        {
+            "announced_quarter": F.quarter(start),
+            "announced_month": F.month(start),
+            "announced_weekday": F.dayofweek(start),
+            "days_to_target": days_apart(start, end),
+            "months_to_target": months_apart(start, end),
+            "in_season": in_season(start),
+            "fiscal_quarter": fiscal_quarter(start),
+        }
+    )
+
+
 def promise_matrix(
     promises: DataFrame,
     prices: DataFrame,

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterdeck.functions.fixed_values import MACRO_LAST, MACRO_MEAN
-from quarterdeck.functions.keys import days_apart
 from quarterdeck.operators.fill import fill_column_median
 from quarterdeck.operators.models import (
     assemble,
@@ -24,6 +23,7 @@ from quarterdeck.operators.models import (
 )
 from quarterdeck.operators.profile import columns_with_nulls
 from quarterdeck.operators.split import encode_labels, scale_columns, stratified_split
+from quarterdeck.plans.promises import with_timing
 from quarterdeck.session import materialize
 
 SUFFIX = "_z"
@@ -101,8 +101,7 @@ def promise_features(matrix: DataFrame) -> tuple[DataFrame, list[str]]:
     """The promise matrix with region and tier as codes, and the model's feature names."""
     coded = encode_labels(matrix.fillna("", subset=["iso", "company_tier"]), ["iso", "company_tier"])
     if "days_to_target" not in coded.columns:
-        days = days_apart(F.col("announcement_date"), F.col("target_date"))
-        coded = coded.withColumn("days_to_target", days)
+        coded = with_timing(coded)
     names = [c for c in PROMISE_FEATURES if c in coded.columns]
     return coded, [*names, "iso_encoded", "company_tier_encoded"]
 

@@ -46,9 +46,12 @@ def read_named(
     types: Mapping[str, str],
     stamps: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
-    """CSV with a header; known columns cast by name, timestamps parsed by the given functions."""
+    """CSV with a header; known columns cast by name, timestamps parsed by the given functions.
+
+    A written-out NaN counts as missing.
+    """
     raw = spark.read.csv(path, header=True, quote='"', escape='"')
-    typed = {c: F.col(c).cast(t) for c, t in types.items() if c in raw.columns}
+    typed = {c: F.nullif(F.col(c), F.lit("NaN")).cast(t) for c, t in types.items() if c in raw.columns}
     parsed = {c: parse(F.col(c)) for c, parse in (stamps or {}).items() if c in raw.columns}
     return raw.withColumns({**typed, **parsed})
 

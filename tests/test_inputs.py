@@ -18,7 +18,7 @@ FILES = {
 2021-01-04,50,7
 """,
     "ratios": "ticker,sector,beta,market_cap\nMSFT,Tech,0.9,2e12\n",
-    "macro": "date,Real GDP,Fed Funds Rate\n2021-01-01,10,0.25\n2021-02-01,,0.35\n2021-04-01,11,0.1\n",
+    "macro": "date,Real GDP,Fed Funds Rate\n2021-01-01,10,0.25\n2021-02-01,NaN,0.35\n2021-04-01,11,0.1\n",
     "queue": "iso,Queue Date,capacity\npjm,2021-01-09,5\nPJM,TBD,6\nPJM,,7\nCAISO,2021-02-01 12:00:00,8\n",
     "promises": """company_ticker,company_tier,iso,location,announcement_date,target_date,promised_mw,promise_kept
 TICKER_MSFT,TIER_1,PJM,"Ashburn, VA",2021-01-02,2021-03-01,100,1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarterdeck.plans.analyst import enrich_panel, latest_recommendations, price_targets
 from quarterdeck.plans.daily import DAILY_COLUMNS, daily_features
 from quarterdeck.plans.panel import quarterly_panel
-from quarterdeck.plans.promises import promise_matrix
+from quarterdeck.plans.promises import company_tier, promise_matrix, tier_columns, with_timing
 from quarterdeck.plans.rebuild import full_panel
 from quarterdeck.plans.training import compare_models, prepare
 
@@ -105,6 +105,15 @@ def test_promise_matrix(inputs):
     assert shifted["Real GDP"] is None  # the second quarter has no macro row
 
 
+def test_tiers_and_timing(spark, rows):
+    df = spark.createDataFrame([(2e12,), (5e8,), (None,)], "market_cap double")
+    tiers = tier_columns(df.select(company_tier(F.col("market_cap")).alias("company_tier")))
+    assert rows(tiers.select("TIER_1", "TIER_4")) == [(0, 0), (0, 1), (1, 0)]
+    one = spark.createDataFrame([(D(2021, 5, 1), D(2022, 2, 1))], "announcement_date timestamp_ntz, target_date timestamp_ntz")
+    row = with_timing(one).first()
+    assert tuple(row)[2:] == (2, 5, 7, 276, 9, 1, 3)
+
+
 def test_full_panel(spark, inputs):
     analyst = spark.createDataFrame([("MSFT", 10), ("DLR", None)], "ticker string, strongBuy long")
     panel = full_panel(
