@@ -7,8 +7,8 @@ paths to each node; backward sampling draws edges from the end, each with its sh
 segmentation has the probability of its weight among all of them.
 
 No piece holds a space after another character, nor a line feed, so lattices never reach beyond a run of
-spaces with the word after it. Those parts repeat: the filtered lattice of a part is kept, up to a fixed
-number of edges, and the draws for all parts of many texts are made together in numpy.
+spaces with the word after it. The distinct parts of some hundred texts are filtered together in numpy, and
+the draws for all places they stand at are made together.
 
 Draws depend on the row's key, the part's place in the text and the step alone, so a row gets the same
 segmentation on any executor, in any batch, after any retry. As in the vocabulary's own encoder, a text
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,36 +33,68 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from quarterdeck.llm.common import SLICE_ROWS, table
+from quarterdeck.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 PARTS = re.compile(r" *[^ \n]+| +|\n")
 BYTE_WEIGHT = math.log(1 / 40_000)
-CACHED_EDGES = 3_000_000
+#: Texts whose lattices are held at a time, and the odd number the hash of a spelling is built with.
+TEXTS = 512
+BASE = np.uint64(0x9E3779B97F4A7C15)
+SLOTS = 1 << 20
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well mixed 64-bit words of counters."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Vocabulary:
-    """The pieces of a model file, with spaces for their mark."""
+    """The pieces of a model file, with spaces for their mark, and a table to find them by hash."""
 
     def __init__(self, name: str) -> None:
         model = SentencePieceProcessor(model_file=public_tokenizers.path(name))
-        self.id: dict[str, int] = {}
-        self.weight: dict[str, float] = {}
-        self.byte = [0] * 256
-        self.spelling = [b""] * model.get_piece_size()
-        for i in range(model.get_piece_size()):
+        n = model.get_piece_size()
+        self.byte, self.spelling, weight, pieces = [0] * 256, [b""] * n, np.full(n, -np.inf), []
+        for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 value = int(piece[3:-1], 16)
                 self.byte[value], self.spelling[i] = i, bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 piece = piece.replace(SPACE, " ")
-                self.id[piece] = i
-                rank = min(max(-model.get_score(i), 0.0), float(model.get_piece_size()))
-                self.weight[piece] = -math.log(rank + 1)
+                weight[i] = -math.log(min(max(-model.get_score(i), 0.0), float(n)) + 1)
                 self.spelling[i] = piece.encode()
-        self.longest = max(map(len, self.id))
+                pieces.append((piece, i))
+        self.weight, self.longest = weight, max(len(p) for p, _ in pieces)
+        hashes = np.array([self._hash(p) for p, _ in pieces], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], np.array([i for _, i in pieces], dtype=np.int32)[order]
+        self.used = np.zeros(SLOTS, bool)
+        self.used[self._slot(self.hashes)] = True
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(BASE) + ord(c) + 1) % (1 << 64)
+        return h
+
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return _mixed(hashes) & np.uint64(SLOTS - 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 where there is none."""
+        out = np.full(hashes.shape, -1, np.int32)
+        maybe = np.nonzero(self.used[self._slot(hashes)])
+        wanted = hashes[maybe]
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        out[maybe] = np.where(self.hashes[at] == wanted, self.ids[at], -1)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -71,118 +102,102 @@ def vocabulary(name: str) -> Vocabulary:
     return Vocabulary(name)
 
 
-def edges_of(part: str, words: Vocabulary) -> list[list[tuple[int, str, float]]]:
-    """For each end in a part: start, text and weight of the edges to it."""
-    out: list[list[tuple[int, str, float]]] = []
-    for end in range(1, len(part) + 1):
-        into = []
-        for start in range(max(0, end - words.longest), end):
-            piece = part[start:end]
-            weight = words.weight.get(piece)
-            if weight is not None:
-                into.append((start, piece, weight))
-        if part[end - 1] not in words.weight:
-            into.append((end - 1, part[end - 1], len(part[end - 1].encode()) * BYTE_WEIGHT))
-        out.append(into)
-    return out
-
-
-class Lattices:
-    """Filtered lattices of the parts seen so far, as flat arrays."""
-
-    def __init__(self, name: str, sharpness: float) -> None:
-        self.words, self.sharpness = vocabulary(name), sharpness
-        self.clear()
-
-    def clear(self) -> None:
-        self.end: dict[str, int] = {}
-        self.nodes = 0
-        #: Per edge: number of its end plus the share of all edges up to it; start node; first id and number of ids.
-        self.share, self.start = array("d"), array("q")
-        self.first_id, self.n_ids, self.ids = array("q"), array("i"), array("i")
-        self.is_first = array("b")
-
-    def add(self, part: str) -> int:
-        base, filtered = self.nodes, [0.0]
-        for k, into in enumerate(edges_of(part, self.words)):
-            sums = [filtered[s] + self.sharpness * w for s, _, w in into]
-            top = max(sums)
-            parts = [math.exp(x - top) for x in sums]
-            total, seen = sum(parts), 0.0
-            filtered.append(top + math.log(total))
-            for i, ((s, piece, _), x) in enumerate(zip(into, parts)):
-                seen += x
-                # The last share is a whole, whatever the rounding of the others.
-                self.share.append(base + k + 1 + (1.0 if i + 1 == len(into) else min(seen / total, 1.0 - 2**-20)))
-                self.start.append(base + s)
-                self.is_first.append(s == 0)
-                self.first_id.append(len(self.ids))
-                own = self.words.id.get(piece)
-                coded = [own] if own is not None else [self.words.byte[b] for b in piece.encode()]
-                self.n_ids.append(len(coded))
-                self.ids.extend(coded)
-        self.nodes += len(part) + 1
-        self.end[part] = base + len(part)
-        return self.end[part]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Well mixed 64-bit words of counters."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def sample(keys: list[str | None], texts: list[str | None], lattices: Lattices, seed: int = 0) -> list[np.ndarray | None]:
+def _filtered(parts: list[str], words: Vocabulary, sharpness: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of parts of about one length, per part and character: shares up to, and ids of, the edges that end there.
+
+    Edge e spans e + 1 characters. An id of -2 - c stands for the bytes of character c, -1 for no edge.
+    """
+    size, n = max(map(len, parts)), len(parts)
+    reach = min(words.longest, size)
+    chars = np.array([p.ljust(size, "\0") for p in parts], dtype=f"<U{size}").view(np.uint32).reshape(n, size).astype(np.uint64)
+    ids = np.full((n, size, reach), -1, np.int32)
+    hashes = np.zeros((n, size), np.uint64)  # by start, of ever longer spellings
+    for e in range(reach):
+        hashes = hashes[:, : size - e] * BASE + chars[:, e:] + np.uint64(1)
+        ids[:, e:, e] = words.find(hashes)
+    weights = np.where(ids >= 0, words.weight[ids], -np.inf)
+    spelt = ids[:, :, 0] < 0
+    width = 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
+    weights[:, :, 0] = np.where(spelt, width * BYTE_WEIGHT, weights[:, :, 0])
+    ids[:, :, 0] = np.where(spelt, -2 - chars.astype(np.int64), ids[:, :, 0])
+    weights *= sharpness
+    sums = np.full((n, size + reach), -np.inf)  # of node k at k + reach - 1
+    sums[:, reach - 1] = 0.0
+    shares = np.empty((n, size, reach))
+    for k in range(size):
+        into = sums[:, k : k + reach][:, ::-1] + weights[:, k]
+        top = into.max(axis=1, keepdims=True)
+        share = np.exp(into - top).cumsum(axis=1)
+        total = share[:, -1:]
+        sums[:, k + reach] = (top + np.log(total))[:, 0]
+        shares[:, k] = share / total
+    return shares, ids
+
+
+def _lattices(parts: list[str], words: Vocabulary, sharpness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All parts' edges with a row per character, and each part's first row."""
+    sizes = np.array([len(p) for p in parts])
+    first = np.zeros(len(parts), np.int64)
+    shares, ids, rows = [], [], 0
+    classes = np.maximum(3, np.ceil(2 * np.log2(np.maximum(sizes, 1))))
+    for c in np.unique(classes):
+        mine = np.flatnonzero(classes == c)
+        share, own = _filtered([parts[i] for i in mine], words, sharpness)
+        n, size, reach = share.shape
+        pad = ((0, 0), (0, words.longest - reach))
+        shares.append(np.pad(share.reshape(n * size, reach), pad, constant_values=2.0))
+        ids.append(np.pad(own.reshape(n * size, reach), pad, constant_values=-1))
+        first[mine] = rows + np.arange(n) * size
+        rows += n * size
+    return np.concatenate(shares), np.concatenate(ids), first
+
+
+def sample(
+    keys: list[str | None], texts: list[str | None], words: Vocabulary, sharpness: float = 1.0, seed: int = 0,
+) -> list[np.ndarray | None]:
     """A sampled segmentation of each text, as piece ids."""
-    if len(lattices.share) > CACHED_EDGES:
-        lattices.clear()
-    ends: list[int] = []
+    number: dict[str, int] = {}
+    places: list[int] = []
     counts = []
-    get = lattices.end.get
     for text in texts:
         parts = PARTS.findall(" " + text) if text else []
-        found = list(map(get, parts))
-        if None in found:
-            found = [lattices.add(p) if (n := get(p)) is None else n for p in parts]
-        ends.extend(found)
+        places.extend([number.setdefault(p, len(number)) for p in parts])
         counts.append(len(parts))
-    hashes = np.array([xxhash.xxh64_intdigest(k or "", seed) for k in keys], dtype=np.uint64)
-    base = np.repeat(hashes, counts)
+    if not places:
+        return [None if t is None else np.zeros(0, np.int32) for t in texts]
+    parts = list(number)
+    shares, ids, rows = _lattices(parts, words, sharpness)
+    which = np.array(places)
     first = np.cumsum(counts) - counts
-    place = np.arange(len(ends)) - np.repeat(first, counts)
-    share, start = np.frombuffer(lattices.share), np.frombuffer(lattices.start, np.int64)
-    is_first = np.frombuffer(lattices.is_first, np.int8).astype(bool) if len(ends) else np.zeros(0, bool)
-    node, who = np.array(ends, dtype=np.int64), np.arange(len(ends))
+    hashes = np.array([xxhash.xxh64_intdigest(k or "", seed) for k in keys], dtype=np.uint64)
+    place = (np.arange(len(which)) - np.repeat(first, counts)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        stream = _mixed(base + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        drawn, owners, step = [], [], 0
+        stream = _mixed(np.repeat(hashes, counts) + place * BASE)
+        row, left = rows[which], np.array([len(p) for p in parts])[which]
+        who, drawn, owners, step = np.arange(len(which)), [], [], 0
         while len(who):
             step += 1
             u = (_mixed(stream[who] + np.uint64(step) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)) * 2.0**-53
-            edge = np.searchsorted(share, node + u, side="right")
-            drawn.append(edge)
+            at = row[who] + left[who] - 1
+            edge = (shares[at] <= u[:, None]).sum(axis=1)
+            drawn.append(ids[at, edge])
             owners.append(who)
-            more = ~is_first[edge]
-            node, who = start[edge[more]], who[more]
-    if not drawn:
-        return [None if t is None else np.zeros(0, np.int32) for t in texts]
-    edge, owner = np.concatenate(drawn), np.concatenate(owners)
+            left[who] -= edge + 1
+            who = who[left[who] > 0]
     # Steps come last edge first; turned round, and by part, they are in text order.
-    order = np.argsort(owner[::-1], kind="stable")
-    edge, owner = edge[::-1][order], owner[::-1][order]
-    n = np.frombuffer(lattices.n_ids, np.int32)[edge].astype(np.int64)
-    at = np.repeat(np.frombuffer(lattices.first_id, np.int64)[edge] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    ids = np.frombuffer(lattices.ids, np.int32)[at]
-    per_part = np.bincount(owner, n, len(ends)).astype(np.int64)
-    borders = np.concatenate([[0], np.cumsum(per_part)])[np.concatenate([first, [len(ends)]])]
-    out: list[np.ndarray | None] = [ids[a:b] for a, b in zip(borders[:-1], borders[1:])]
-    return [None if t is None else x for t, x in zip(texts, out)]
-
-
-@lru_cache(maxsize=2)
-def _lattices(name: str, sharpness: float) -> Lattices:
-    return Lattices(name, sharpness)
+    owner, code = np.concatenate(owners)[::-1], np.concatenate(drawn)[::-1]
+    order = np.argsort(owner, kind="stable")
+    owner, code = owner[order], code[order]
+    odd = np.flatnonzero(code < 0)  # characters without a piece
+    spelt = [[words.byte[b] for b in chr(-2 - c).encode("utf-8", "surrogatepass")] for c in code[odd].tolist()]
+    n = np.ones(len(code), np.int64)
+    n[odd] = [len(x) for x in spelt]
+    starts = np.cumsum(n) - n
+    owner, code = np.repeat(owner, n), np.repeat(code, n)
+    for start, x in zip(starts[odd].tolist(), spelt):
+        code[start : start + len(x)] = x
+    borders = np.searchsorted(owner, [*first.tolist(), len(which)])
+    return [None if t is None else code[a:b] for t, a, b in zip(texts, borders[:-1], borders[1:])]
 
 
 def encode(key: Column, text: Column, seed: int = 0, sharpness: float = 1.0, model: str = MODEL) -> Column:
@@ -191,9 +206,9 @@ def encode(key: Column, text: Column, seed: int = 0, sharpness: float = 1.0, mod
     @F.arrow_udf("array<int>")
     def sampled_pieces(keys: pa.Array, texts: pa.Array) -> pa.Array:
         chunks = []
-        for at in range(0, len(texts), SLICE_ROWS):
-            some = texts.slice(at, SLICE_ROWS).to_pylist()
-            ids = sample(keys.slice(at, SLICE_ROWS).to_pylist(), some, _lattices(model, sharpness), seed)
+        for at in range(0, len(texts), TEXTS):
+            some = texts.slice(at, TEXTS).to_pylist()
+            ids = sample(keys.slice(at, TEXTS).to_pylist(), some, vocabulary(model), sharpness, seed)
             present = [np.zeros(0, np.int32) if x is None else x for x in ids]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in present])]).astype(np.int32)
             mask = pa.array([x is None for x in ids])
@@ -215,7 +230,7 @@ def decode(ids: Column, model: str = MODEL) -> Column:
     def decoded_text(lists: pa.Array) -> pa.Array:
         spelling, out = vocabulary(model).spelling, []
         for row in lists:
-            out.append(spelled(row.values.drop_null().to_numpy(), spelling) if row.is_valid else None)
+            out.append(spelled(row.values.drop_null().to_numpy(zero_copy_only=False), spelling) if row.is_valid else None)
         return pa.array(out, pa.string())
 
     return decoded_text(ids)

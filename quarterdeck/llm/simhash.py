@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterdeck.llm.common import by_slices, table
+from quarterdeck.llm.common import boxed, by_slices, table, unboxed
 from quarterdeck.session import materialize
 
 SEED = 42
@@ -275,16 +275,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` of every row: the smallest id that links lead to."""
-    marked = materialize(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprint(F.col(f"`{text}`"), size).alias("fp")))
+    """A row per row: ``doc_id``, ``text_hash``, ``fp``, ``root`` (its group's smallest fingerprint) and
+    ``component_id``, the smallest id that links lead to."""
+    marked = materialize(docs.select(
+        F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"),
+        fingerprint(F.col(f"`{text}`"), size).alias("fp"),
+    ))
     first = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(first.select("fp"))).withColumnRenamed("a", "fp")
     rooted = materialize(
         first.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     )
     smallest = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = materialize(rooted.join(smallest, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(rooted.join(smallest, "root").select("fp", "root", "component_id"))
+    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the row with the smallest id stays.
+
+    Rows that share id and text count as one; rows without an id stay only where their whole group has none.
+    """
+    groups = near_duplicates(docs, doc_id, text, size)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best")
+    kept = materialize(groups.groupBy("root").agg(best).select("best.doc_id", "best.text_hash").distinct())
+    rows = boxed(docs, doc_id=doc_id, text=text).select("doc", "doc_id", F.xxhash64("text").alias("text_hash"))
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_hash"] == kept["text_hash"])
+    staying = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return unboxed(staying, docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
