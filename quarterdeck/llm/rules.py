@@ -123,13 +123,15 @@ def judge_lines(docs: DataFrame, text: str = "text", limits: Limits = Limits())
         F.array_join(F.transform(good, lambda x: x["line"]), "\n").alias("clean_text"),
         F.filter("lines", lambda x: x.rlike(WORD)).alias("worded"),
     )
-    measured = cleaned.select(
-        "doc", "clean_text", "word_chars", "n_symbols",
+    # Behind ``inline`` a filter on the verdict stays above the measures; pushed below, it would hold copies
+    # of the expressions of all steps, and measure each word's text anew.
+    measured = cleaned.select("doc", F.inline(F.array(F.struct(
+        "clean_text", "word_chars", "n_symbols",
         n.cast("long").alias("n_words"),
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
         _repeated(F.col("words"), F.col("windows")).cast("long").alias("n_repeat_words"),
         (F.col("word_chars") - _left(F.col("clean_text"), SPACE)).cast("long").alias("lost_chars"),
-    )
+    ))))
     failed = (F.col("n_words") < limits.min_words) | (
         100 * F.col("n_repeat_words") > limits.max_repeat * F.col("n_words")
     )
