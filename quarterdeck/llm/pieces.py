@@ -28,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,12 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 PARTS = re.compile(r" *[^ \n]+| +|\n")
 BYTE_WEIGHT = math.log(1 / 40_000)
-#: Texts whose lattices are held at a time, and the odd number the hash of a spelling is built with.
-TEXTS = 512
+#: Texts, and their characters unless one has more, whose lattices are held at a time.
+TEXTS = 1024
+CHARACTERS = 4_000_000
+#: The odd number that hashes of spellings are built with, and the places of the table that says which are in use.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-SLOTS = 1 << 20
+SLOT_BITS = 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -58,7 +61,7 @@ class Vocabulary:
     def __init__(self, name: str) -> None:
         model = SentencePieceProcessor(model_file=public_tokenizers.path(name))
         n = model.get_piece_size()
-        self.byte, self.spelling, weight, pieces = [0] * 256, [b""] * n, np.full(n, -np.inf), []
+        self.byte, self.spelling, weight, pieces = [0] * 256, [b""] * n, np.full(n + 1, -np.inf), []
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -73,7 +76,7 @@ class Vocabulary:
         hashes = np.array([self._hash(p) for p, _ in pieces], dtype=np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array([i for _, i in pieces], dtype=np.int32)[order]
-        self.used = np.zeros(SLOTS, bool)
+        self.used = np.zeros(1 << SLOT_BITS, bool)
         self.used[self._slot(self.hashes)] = True
 
     @staticmethod
@@ -85,7 +88,7 @@ class Vocabulary:
 
     @staticmethod
     def _slot(hashes: np.ndarray) -> np.ndarray:
-        return _mixed(hashes) & np.uint64(SLOTS - 1)
+        return (hashes * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - SLOT_BITS)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where there is none."""
@@ -115,7 +118,7 @@ def _filtered(parts: list[str], words: Vocabulary, sharpness: float) -> tuple[np
     for e in range(reach):
         hashes = hashes[:, : size - e] * BASE + chars[:, e:] + np.uint64(1)
         ids[:, e:, e] = words.find(hashes)
-    weights = np.where(ids >= 0, words.weight[ids], -np.inf)
+    weights = words.weight[ids]  # the last weight, where -1 points, is that of no edge
     spelt = ids[:, :, 0] < 0
     width = 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
     weights[:, :, 0] = np.where(spelt, width * BYTE_WEIGHT, weights[:, :, 0])
@@ -123,14 +126,14 @@ def _filtered(parts: list[str], words: Vocabulary, sharpness: float) -> tuple[np
     weights *= sharpness
     sums = np.full((n, size + reach), -np.inf)  # of node k at k + reach - 1
     sums[:, reach - 1] = 0.0
-    shares = np.empty((n, size, reach))
+    shares = np.empty((n, size, reach), np.float32)
     for k in range(size):
         into = sums[:, k : k + reach][:, ::-1] + weights[:, k]
         top = into.max(axis=1, keepdims=True)
-        share = np.exp(into - top).cumsum(axis=1)
+        share = np.exp((into - top).astype(np.float32)).cumsum(axis=1)
         total = share[:, -1:]
         sums[:, k + reach] = (top + np.log(total))[:, 0]
-        shares[:, k] = share / total
+        np.divide(share, total, out=shares[:, k])
     return shares, ids
 
 
@@ -177,7 +180,7 @@ def sample(
         who, drawn, owners, step = np.arange(len(which)), [], [], 0
         while len(who):
             step += 1
-            u = (_mixed(stream[who] + np.uint64(step) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)) * 2.0**-53
+            u = (_mixed(stream[who] + np.uint64(step) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
             at = row[who] + left[who] - 1
             edge = (shares[at] <= u[:, None]).sum(axis=1)
             drawn.append(ids[at, edge])
@@ -200,15 +203,26 @@ def sample(
     return [None if t is None else code[a:b] for t, a, b in zip(texts, borders[:-1], borders[1:])]
 
 
+def _portions(texts: pa.Array) -> list[tuple[int, int]]:
+    """Starts and numbers of rows of portions of bounded size."""
+    out, start, size = [], 0, 0
+    for i, length in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > start and (i - start == TEXTS or size + length > CHARACTERS):
+            out.append((start, i - start))
+            start, size = i, 0
+        size += length
+    return [*out, (start, len(texts) - start)] if len(texts) else out
+
+
 def encode(key: Column, text: Column, seed: int = 0, sharpness: float = 1.0, model: str = MODEL) -> Column:
     """Piece ids of a text, sampled by the row's key."""
 
     @F.arrow_udf("array<int>")
     def sampled_pieces(keys: pa.Array, texts: pa.Array) -> pa.Array:
         chunks = []
-        for at in range(0, len(texts), TEXTS):
-            some = texts.slice(at, TEXTS).to_pylist()
-            ids = sample(keys.slice(at, TEXTS).to_pylist(), some, vocabulary(model), sharpness, seed)
+        for at, n in _portions(texts):
+            some = texts.slice(at, n).to_pylist()
+            ids = sample(keys.slice(at, n).to_pylist(), some, vocabulary(model), sharpness, seed)
             present = [np.zeros(0, np.int32) if x is None else x for x in ids]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in present])]).astype(np.int32)
             mask = pa.array([x is None for x in ids])
