@@ -193,7 +193,7 @@ def summary(spark, d):
         "o_custkey", "o_orderdate", quarter_key(F.col("o_orderdate")).alias("quarter"), "o_totalprice",
         (F.col("o_orderstatus") == "F").cast("int").alias("kept"),
     )
-    return profile.panel_summary(rows, "o_custkey", "quarter", "o_orderdate", "kept", "o_totalprice").toDF(
+    return profile.panel_summary(rows, "o_custkey", "quarter", "o_orderdate", "kept", "o_totalprice", 2).toDF(
         "n_rows", "n_entities", "n_quarters", "first_day", "last_day", "n_kept", "kept_rate", "mean_price"
     )
 

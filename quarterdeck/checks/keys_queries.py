@@ -172,7 +172,7 @@ def timeline_adherence(spark, d):
 )
 def capacity_pct(spark, d):
     done = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        exact_sum(F.col("l_extendedprice")).alias("delivered")
+        exact_sum(F.col("l_extendedprice"), 2).alias("delivered")
     )
     rows = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("promised"))
     return rows.join(done, "o_orderkey", "left").withColumn(
@@ -274,4 +274,4 @@ def rate_by_priority(spark, d):
        / nullif(sum(l_quantity::BIGINT)::DOUBLE * 100, 0) AS weighted_mean FROM lineitem GROUP BY 1""",
 )
 def weighted_mean_price(spark, d):
-    return weighted_mean(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", "l_quantity")
+    return weighted_mean(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", "l_quantity", 2)

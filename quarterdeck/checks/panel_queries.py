@@ -58,7 +58,7 @@ def panel_spine_fixed(spark, d):
 def fin_quarter(spark, d):
     rows = traded(spark, d).withColumn("quarter", _quarter())
     means = {"Open": "q_avg_open", "High": "q_avg_high", "Low": "q_avg_low"}
-    return rollup.price_rollup(rows, KEYS, "Close", "Volume", means)
+    return rollup.price_rollup(rows, KEYS, "Close", "Volume", means, 2, 0)
 
 
 @query(
@@ -69,7 +69,7 @@ def fin_quarter(spark, d):
 )
 def fin_quarter_mean(spark, d):
     rows = traded(spark, d).withColumn("quarter", _quarter())
-    return rollup.mean_rollup(rows, KEYS, ["Close", "Volume", "market_cap", "revenue", "ebitda"])
+    return rollup.mean_rollup(rows, KEYS, ["Close", "Volume", "market_cap", "revenue", "ebitda"], scale=2)
 
 
 @query(
@@ -104,7 +104,7 @@ LABELLED = """SELECT s.ticker, s.quarter, l.promise_kept, coalesce(l.promised_mw
 def _labelled(spark, d, policy):
     grid = spine.dense_panel(prices(spark, d), "ticker", _quarter())
     events = promise_events(promises(spark, d), promise_ticker())
-    rows = joins.label_rows(events, KEYS, policy, ORDER, "promise_kept", "promised_mw")
+    rows = joins.label_rows(events, KEYS, policy, ORDER, "promise_kept", "promised_mw", scale=2)
     return joins.attach_labels(grid, rows, KEYS, "promise_kept", "promised_mw")
 
 
@@ -138,7 +138,7 @@ def panel_labels(spark, d):
 )
 def labels_agg(spark, d):
     events = promise_events(promises(spark, d), promise_ticker())
-    return joins.label_rows(events, KEYS, "total", ORDER, "promise_kept", "promised_mw")
+    return joins.label_rows(events, KEYS, "total", ORDER, "promise_kept", "promised_mw", scale=2)
 
 
 @query(
@@ -172,7 +172,7 @@ def macro_quarter(spark, d):
 
 @query("ffill_calendar", with_views("macro", "macro_q", "macro_f") + f"SELECT quarter, {MACRO_LIST} FROM macro_f")
 def ffill_calendar(spark, d):
-    return macro_quarters(macro(spark, d))
+    return macro_quarters(macro(spark, d), 2)
 
 
 @query(
@@ -183,7 +183,7 @@ def ffill_calendar(spark, d):
     "Core CPI" / nullif(lag("Core CPI") OVER (ORDER BY quarter), 0) - 1 AS "Core CPI_growth" FROM macro_f""",
 )
 def growth_rate(spark, d):
-    return spine.growth(macro_quarters(macro(spark, d)), "quarter", MACRO[:2])
+    return spine.growth(macro_quarters(macro(spark, d), 2), "quarter", MACRO[:2])
 
 
 LAST_OF_QUARTER = ", ".join(f'arg_max("{c}", date) FILTER (WHERE "{c}" IS NOT NULL) AS "{c}"' for c in MACRO)
@@ -257,7 +257,7 @@ PANEL_VIEWS = (
 def panel(spark, d):
     return quarterly_panel(
         traded(spark, d), ratios(spark, d), macro(spark, d), queue(spark, d), promises(spark, d),
-        ticker=promise_ticker(), regions=REGIONS, label_order=ORDER,
+        ticker=promise_ticker(), regions=REGIONS, label_order=ORDER, scale=2,
     )
 
 
@@ -277,7 +277,7 @@ def panel(spark, d):
 def promise_features(spark, d):
     return promise_matrix(
         promises(spark, d), traded(spark, d), ratios(spark, d), macro(spark, d), queue(spark, d),
-        ticker=promise_ticker(),
+        ticker=promise_ticker(), scale=2,
     )
 
 

@@ -48,17 +48,17 @@ COLS = 'ticker, "Date", row_id, "Close"'
 
 @query("rolling_sma", with_views("prices") + f"SELECT {COLS}, {SMA_20} AS sma_20, {SMA_60} AS sma_60 FROM prices")
 def rolling_sma(spark, d):
-    return rolling.indicators(prices(spark, d), "ticker", ORDER, "Close", sma=(20, 60))
+    return rolling.indicators(prices(spark, d), "ticker", ORDER, "Close", sma=(20, 60), scale=2)
 
 
 @query("rolling_vol", with_views("prices") + f"SELECT {COLS}, {VOL_20} AS volatility_20d FROM prices")
 def rolling_vol(spark, d):
-    return rolling.indicators(prices(spark, d), "ticker", ORDER, "Close", volatility=(20,))
+    return rolling.indicators(prices(spark, d), "ticker", ORDER, "Close", volatility=(20,), scale=2)
 
 
 @query("momentum", with_views("prices") + f"SELECT {COLS}, {MOM_20} AS momentum_20d FROM prices")
 def momentum(spark, d):
-    return rolling.indicators(prices(spark, d), "ticker", ORDER, "Close", momentum=(20,))
+    return rolling.indicators(prices(spark, d), "ticker", ORDER, "Close", momentum=(20,), scale=2)
 
 
 @query(
@@ -66,7 +66,7 @@ def momentum(spark, d):
     with_views("prices") + f", base AS (SELECT * FROM prices) SELECT {COLS}, {RSI_14} AS rsi_14 FROM ({DELTAS})",
 )
 def rsi(spark, d):
-    return rolling.indicators(prices(spark, d), "ticker", ORDER, "Close", rsi=(14,))
+    return rolling.indicators(prices(spark, d), "ticker", ORDER, "Close", rsi=(14,), scale=2)
 
 
 @query(
@@ -75,7 +75,7 @@ def rsi(spark, d):
 )
 def volume_ratio(spark, d):
     rows = traded(spark, d).select(*IDS, "Volume")
-    return rolling.indicators(rows, "ticker", ORDER, "Close", "Volume", volume_ratio=(20,))
+    return rolling.indicators(rows, "ticker", ORDER, "Close", "Volume", volume_ratio=(20,), scale=2)
 
 
 EVENT_FRAME = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
@@ -90,7 +90,7 @@ EVENT_UNITS = units("value")
 )
 def rolling_events(spark, d):
     rows = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
-    return rolling.indicators(rows, "user_id", ["ts", "event_id"], "value", sma=(20,), momentum=(5,))
+    return rolling.indicators(rows, "user_id", ["ts", "event_id"], "value", sma=(20,), momentum=(5,), scale=2)
 
 
 @query(
@@ -152,7 +152,7 @@ def yoy_return(spark, d):
 def ts_features(spark, d):
     return daily_features(
         traded(spark, d), macro(spark, d), queue(spark, d), promises(spark, d),
-        order=ORDER, keep=["row_id"], ticker=promise_ticker(), label_order=["announcement_date", "promise_id"],
+        order=ORDER, keep=["row_id"], ticker=promise_ticker(), label_order=["announcement_date", "promise_id"], scale=2,
     )
 
 

@@ -67,11 +67,11 @@ def macro(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "lineitem")
         .groupBy(month_start(F.col("l_shipdate")).alias("date"))
         .agg(
-            exact_sum(F.col("l_extendedprice")).alias("gdp"),
+            exact_sum(F.col("l_extendedprice"), 2).alias("gdp"),
             F.max(fixed(F.col("l_extendedprice"))).alias("cpi"),
-            exact_sum(F.col("l_discount")).alias("Fed Funds Rate"),
-            exact_sum(F.col("l_tax")).alias("Unemployment Rate"),
-            exact_sum(F.col("l_quantity")).alias("30Y Mortgage Rate"),
+            exact_sum(F.col("l_discount"), 2).alias("Fed Funds Rate"),
+            exact_sum(F.col("l_tax"), 2).alias("Unemployment Rate"),
+            exact_sum(F.col("l_quantity"), 2).alias("30Y Mortgage Rate"),
             F.count(F.lit(1)).cast("double").alias("10Y Treasury"),
         )
     )

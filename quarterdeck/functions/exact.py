@@ -1,4 +1,7 @@
-"""Aggregates over fixed-point values.
+"""Aggregates over numbers as they are, or over fixed-point values.
+
+Without a ``scale`` values are taken as they are and summed as doubles. With one, the column is declared to have
+that many decimals; further ones are rounded away.
 
 Sums of doubles depend on the order rows arrive in, so they change with the
 partitioning and after a task is retried. Summing scaled integers and dividing
@@ -52,12 +55,16 @@ def product_total(x: Column, y: Column) -> Column:
     return (F.coalesce(common, F.lit(0).cast(WIDE)) + F.coalesce(rare, F.lit(0)).cast(WIDE)).cast(WIDE)
 
 
-def exact_sum(col: Column, scale: int = 2) -> Column:
+def exact_sum(col: Column, scale: int | None = None) -> Column:
+    if scale is None:
+        return F.sum(col.cast("double"))
     return exact_total(fixed(col, scale)).cast("double") / F.lit(float(10**scale))
 
 
-def exact_mean(col: Column, scale: int = 2) -> Column:
+def exact_mean(col: Column, scale: int | None = None) -> Column:
     """Mean of the non-null values; null when there are none."""
+    if scale is None:
+        return F.avg(col.cast("double"))
     n = F.count(col).cast("double")
     return exact_total(fixed(col, scale)).cast("double") / F.nullif(n * F.lit(float(10**scale)), F.lit(0.0))
 
@@ -75,13 +82,17 @@ def _deviation(col: Column, scale: int, ddof: int) -> Column:
     return spread(F.count(col), exact_total(units), product_total(units, units), scale, ddof)
 
 
-def exact_std(col: Column, scale: int = 2) -> Column:
+def exact_std(col: Column, scale: int | None = None) -> Column:
     """Sample standard deviation; null for fewer than two values."""
+    if scale is None:
+        return F.stddev_samp(col.cast("double"))
     return _deviation(col, scale, ddof=1)
 
 
-def exact_std_pop(col: Column, scale: int = 2) -> Column:
+def exact_std_pop(col: Column, scale: int | None = None) -> Column:
     """Population standard deviation."""
+    if scale is None:
+        return F.stddev_pop(col.cast("double"))
     return _deviation(col, scale, ddof=0)
 
 

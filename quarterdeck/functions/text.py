@@ -44,6 +44,6 @@ def keyword_breadth(text: Column, keywords: Iterable[str]) -> Column:
 
 def stored_list_len(text: Column) -> Column:
     """Length of a list kept as text; null, empty and malformed text count as 0."""
-    quoted = F.replace(text, F.lit("'"), F.lit('"'))
-    items = F.from_json(quoted, "array<string>", {"mode": "PERMISSIVE"})
-    return F.coalesce(F.size(items), F.lit(0)).cast("long")
+    item = r"""('([^'\\\\]|\\\\.)*'|"([^"\\\\]|\\\\.)*"|[^\s,'"\[\]]+)"""
+    whole = text.rlike(rf"^\s*\[\s*({item}\s*(,\s*{item}\s*)*,?)?\s*\]\s*$")
+    return F.when(whole, F.regexp_count(text, F.lit(item))).otherwise(F.lit(0)).cast("long")

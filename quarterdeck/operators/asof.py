@@ -29,7 +29,7 @@ def asof_calendar(
     unfolded so that every calendar day up to the last one has the row then in
     force. That table has one row per day at most, so it is broadcast and the
     left side is neither shuffled nor sorted. Left rows beyond the last day
-    look up that day.
+    look up that day; those without a date find nothing.
     """
     newest = order_key([right_ts, *tie])
     daily = (
@@ -43,7 +43,7 @@ def asof_calendar(
         F.explode(F.sequence("_day", "_until", one_day)).alias("_at"), *columns
     )
     last_day = daily.agg(F.max("_day")).scalar()
-    keyed = left.withColumn("_at", F.least(day_start(F.col(left_ts)), last_day))
+    keyed = left.withColumn("_at", F.when(F.col(left_ts).isNotNull(), F.least(day_start(F.col(left_ts)), last_day)))
     return keyed.join(F.broadcast(in_force), "_at", "left").drop("_at")
 
 

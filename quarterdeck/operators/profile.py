@@ -54,11 +54,20 @@ def correlations(
 ) -> DataFrame:
     """Pearson correlation of each pair of columns, as rows ``(left, right, corr)``.
 
-    One pass with exact sums over the rows where both are known; null if a side
-    does not vary. Every row is unfolded into its pairs, which each task sums up
+    One pass over the rows where both are known; null if a side does not vary.
+    With ``scales``, the numbers of decimals by column (0 where it has none), the
+    sums are exact; every row is unfolded into its pairs, which each task sums up
     before the shuffle, so what is shuffled is a row per pair and task.
     """
-    scales = scales or {}
+    if scales is None:
+        def corr(a: str, b: str) -> Column:
+            x, y = F.col(a).cast("double"), F.col(b).cast("double")
+            both = x.isNotNull() & y.isNotNull()
+            spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+            return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+        cells = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), corr(a, b).alias("corr")) for a, b in pairs]
+        return df.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
     used = sorted({c for pair in pairs for c in pair})
     units = df.select(*[fixed(F.col(c), scales.get(c, 0)).alias(c) for c in used])
 
@@ -106,7 +115,9 @@ def redundant_features(
     return strong.select(F.col("right").alias("feature")).distinct()
 
 
-def panel_summary(df: DataFrame, entity: str, period: str, ts: str, flag: str, value: str) -> DataFrame:
+def panel_summary(
+    df: DataFrame, entity: str, period: str, ts: str, flag: str, value: str, scale: int | None = None
+) -> DataFrame:
     """Size, coverage, date range, flag count and rate, and a mean, in one row."""
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -116,5 +127,5 @@ def panel_summary(df: DataFrame, entity: str, period: str, ts: str, flag: str, v
         F.max(ts).alias("last"),
         F.sum(flag).alias("n_flagged"),
         ratio(F.sum(flag), F.count(flag)).alias("flag_rate"),
-        exact_mean(F.col(value)).alias("mean_value"),
+        exact_mean(F.col(value), scale).alias("mean_value"),
     )

@@ -29,6 +29,29 @@ def _last_n(running: str, n: int, series) -> Column:
     return now - F.coalesce(F.lag(running, n).over(series), F.lit(0))
 
 
+def _as_they_are(blocks, series, price, volume, sma, volatility, momentum, rsi, volume_ratio):
+    """The indicators over doubles, one frame per window; the table and the names of its new columns."""
+
+    def last(n: int):
+        return series.rowsBetween(-(n - 1), 0)
+
+    value = F.col(price).cast("double")
+    out: dict[str, Column] = {f"sma_{n}": F.avg(value).over(last(n)) for n in sma}
+    out |= {f"volatility_{n}d": F.stddev_samp(value).over(last(n)) for n in volatility}
+    for n in momentum:
+        out[f"momentum_{n}d"] = F.col(price) / F.nullif(F.lag(price, n).over(series), F.lit(0.0)) - F.lit(1.0)
+    if rsi:
+        blocks = blocks.withColumn("_d", value - F.lag(value, 1).over(series))
+    for n in rsi:
+        gain = F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_d"))).over(last(n)), F.lit(0.0))
+        loss = F.coalesce(F.sum(F.when(F.col("_d") < 0, -F.col("_d"))).over(last(n)), F.lit(0.0))
+        out[f"rsi_{n}"] = F.lit(100.0) * gain / F.nullif(gain + loss, F.lit(0.0))
+    for n in volume_ratio:
+        amount = F.col(volume).cast("double")
+        out[f"volume_ratio_{n}"] = amount / F.nullif(F.avg(amount).over(last(n)), F.lit(0.0))
+    return blocks.withColumns(out), list(out)
+
+
 def indicators(
     df: DataFrame,
     entity: str,
@@ -41,7 +64,7 @@ def indicators(
     momentum: Sequence[int] = (),
     rsi: Sequence[int] = (),
     volume_ratio: Sequence[int] = (),
-    scale: int = 2,
+    scale: int | None = None,
     volume_scale: int = 0,
     day: Column | None = None,
     hot_rows: int = HOT_ROWS,
@@ -57,12 +80,19 @@ def indicators(
     n rows earlier, ``rsi_<n>`` relative strength from plain means of gains and
     losses, ``volume_ratio_<n>`` volume against its own mean. Frames count rows,
     nulls included; means skip nulls. A division by zero gives null.
+
+    Prices are taken as they are. With ``scale`` they count as numbers of so many
+    decimals (volumes of ``volume_scale``), sums are exact and the same on every run,
+    and the cost per row does not grow with the window.
     """
     lookback = max(
         [n - 1 for n in (*sma, *volatility, *volume_ratio)] + list(momentum) + list(rsi) + [1]
     )
     blocks = split_series(df, [entity], day if day is not None else day_start(F.col(order[0])), lookback, hot_rows)
     series = W.partitionBy(entity, BLOCK).orderBy(*order)
+    if scale is None:
+        own = _as_they_are(blocks, series, price, volume, sma, volatility, momentum, rsi, volume_ratio)
+        return drop_halo(own[0]).select(*df.columns, *own[1])
     running = series.rowsBetween(W.unboundedPreceding, W.currentRow)
 
     work = blocks.withColumn("_p", fixed(F.col(price), scale))

@@ -28,8 +28,8 @@ def price_rollup(
     price: str,
     volume: str | None = None,
     means: Mapping[str, str] | None = None,
-    scale: int = 2,
-    volume_scale: int = 0,
+    scale: int | None = None,
+    volume_scale: int | None = None,
 ) -> DataFrame:
     """Mean, deviation, lowest and highest price, volume mean and total, further means.
 
@@ -51,7 +51,7 @@ def price_rollup(
 
 
 def mean_rollup(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], prefix: str = "q_", scale: int = 2
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], prefix: str = "q_", scale: int | None = None
 ) -> DataFrame:
     """Means of those listed columns the table has, prefixed and in lower case."""
     present = [c for c in columns if c in df.columns]
@@ -63,12 +63,12 @@ def calendar_rollup(
     quarter: Column,
     order: str,
     last: Sequence[str] = (),
-    mean: Mapping[str, int] | None = None,
+    mean: Mapping[str, int | None] | None = None,
     out: str = "quarter",
 ) -> DataFrame:
     """Per quarter the last non-null value of some columns and the mean of others.
 
-    ``mean`` maps a column to its number of decimals.
+    ``mean`` maps a column to its number of decimals, or None for values as they are.
     """
     aggs = [last_value(c, F.col(order)).alias(c) for c in last]
     aggs += [exact_mean(F.col(c), scale).alias(c) for c, scale in (mean or {}).items()]
@@ -133,11 +133,20 @@ def rate_by(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     )
 
 
-def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str, scale: int = 2) -> DataFrame:
-    """Weighted mean of a column, null where the weights sum to zero."""
+def weighted_mean(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str, scale: int | None = None, weight_scale: int = 0
+) -> DataFrame:
+    """Weighted mean of a column, null where the weights sum to zero.
+
+    With ``scale`` values and weights count as numbers of so many decimals, and the sums are exact.
+    """
     both = F.col(value).isNotNull() & F.col(weight).isNotNull()
+    if scale is None:
+        product, share = F.col(value).cast("double") * F.col(weight), F.col(weight).cast("double")
+        mean = F.sum(F.when(both, product)) / F.nullif(F.sum(F.when(both, share)), F.lit(0.0))
+        return df.groupBy(*keys).agg(mean.alias("weighted_mean"))
     values = F.when(both, fixed(F.col(value), scale))
-    weights = F.when(both, fixed(F.col(weight), 0))
+    weights = F.when(both, fixed(F.col(weight), weight_scale))
     total = exact_total(weights).cast("double") * F.lit(float(10**scale))
     return df.groupBy(*keys).agg(
         (product_total(values, weights).cast("double") / F.nullif(total, F.lit(0.0))).alias("weighted_mean")

@@ -76,5 +76,5 @@ def growth(calendar: DataFrame, order: str, columns: Sequence[str], lag: int = 1
 def trailing_period(df: DataFrame, ts: str, months: int) -> DataFrame:
     """Rows of the last ``months`` months, counted back from the newest row."""
     newest = df.agg(F.max(ts)).scalar()
-    start = F.add_months(newest, -months).cast("timestamp_ntz")
+    start = newest.cast("timestamp_ntz") - F.make_ym_interval(F.lit(0), F.lit(months))
     return df.filter(F.col(ts) >= start)

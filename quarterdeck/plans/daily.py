@@ -34,16 +34,19 @@ def daily_features(
     ticker: Column | None = None,
     label_order: Sequence[str] = ("announcement_date",),
     hot_rows: int = HOT_ROWS,
+    scale: int | None = None,
+    day: Column | None = None,
 ) -> DataFrame:
     """Rolling indicators, macro values in force, queue depth and the quarter's promise label.
 
     A missing label becomes 0 in ``promise_label``; ``has_promise`` tells it
     from a broken promise. The first row of each company has no deviation and
-    is dropped.
+    is dropped. ``scale`` and ``day`` are those of ``indicators``.
     """
     rolled = indicators(
         prices, "ticker", list(order), "Close", "Volume",
         sma=(20, 60), volatility=(20,), momentum=(20,), rsi=(14,), volume_ratio=(20,), hot_rows=hot_rows,
+        scale=scale, day=day,
     ).withColumnRenamed("volume_ratio_20", "volume_ma_ratio")
     rolled = known(rolled, ["sma_20", "volatility_20d"])
 

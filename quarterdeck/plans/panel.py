@@ -27,7 +27,7 @@ PRICE_FEATURES = [
 ]
 
 
-def macro_quarters(macro: DataFrame, scale: int = 2) -> DataFrame:
+def macro_quarters(macro: DataFrame, scale: int | None = None) -> DataFrame:
     """One row per quarter: last level of output and prices, mean of the rates, gaps filled forward."""
     means = {c: scale for c in MACRO_MEAN if c in macro.columns}
     lasts = [c for c in MACRO_LAST if c in macro.columns]
@@ -53,30 +53,34 @@ def quarterly_panel(
     policy: str = "total",
     label_order: Sequence[str] = ("announcement_date",),
     zero_fill: bool = False,
+    scale: int | None = None,
 ) -> DataFrame:
     """Every company beside every quarter, with price, ratio, macro and queue features and labels.
 
     ``policy`` says what several promises of one company and quarter become
     (see ``label_rows``). Queue columns are 0 without a project; ``zero_fill``
-    also zeroes every other missing number except the label.
+    also zeroes every other missing number except the label. ``scale`` declares
+    the decimals of prices, rates and amounts, volumes being whole; sums are then exact.
     """
     quarter = quarter_key(F.col("Date"))
     means = {c: f"q_avg_{c.lower()}" for c in ("Open", "High", "Low") if c in prices.columns}
     features = price_rollup(
-        prices.select("*", quarter.alias("quarter")), ["ticker", "quarter"], "Close", "Volume", means
+        prices.select("*", quarter.alias("quarter")), ["ticker", "quarter"], "Close", "Volume", means,
+        scale, None if scale is None else 0,
     )
     wide = queue_wide(queue_depth(queue, "iso", quarter_key(F.col("Queue Date"))), regions)
     queue_columns = [c for c in wide.columns if c != "quarter"]
 
     labels = label_rows(
-        promise_events(promises, ticker), ["ticker", "quarter"], policy, label_order, "promise_kept", "promised_mw"
+        promise_events(promises, ticker), ["ticker", "quarter"], policy, label_order, "promise_kept", "promised_mw",
+        scale=scale,
     )
 
     # Both joins on company and quarter come first: they share one partitioning.
     spine = dense_panel(prices, "ticker", quarter, attributes=pick(ratios, ["ticker", *RATIO_COLUMNS]))
     panel = spine.join(features, ["ticker", "quarter"], "left")
     panel = attach_labels(panel, labels, ["ticker", "quarter"], "promise_kept", "promised_mw")
-    panel = with_calendar(with_calendar(panel, macro_quarters(macro)), wide)
+    panel = with_calendar(with_calendar(panel, macro_quarters(macro, scale)), wide)
     unfilled = ["ticker", "promise_kept", "promised_mw", "has_promise"]
     panel = fill_zero(panel, None if zero_fill else queue_columns, exclude=unfilled)
     return pick(

@@ -75,6 +75,7 @@ def promise_matrix(
     *,
     ticker: Column | None = None,
     macro_columns: Sequence[str] | None = None,
+    scale: int | None = None,
 ) -> DataFrame:
     """Promises with macro values, company means, ratios and queue depth of their announcement quarter."""
     macro_columns = list(macro_columns or [c for c in macro.columns if c != "date"])
@@ -91,7 +92,8 @@ def promise_matrix(
     out = lookup(base, F.broadcast(by_quarter), {"announcement_quarter": "quarter"})
 
     company = mean_rollup(
-        prices.select("*", quarter_key(F.col("Date")).alias("quarter")), ["ticker", "quarter"], COMPANY_MEANS
+        prices.select("*", quarter_key(F.col("Date")).alias("quarter")), ["ticker", "quarter"], COMPANY_MEANS,
+        scale=scale,
     )
     out = lookup(out, company, {"ticker_clean": "ticker", "announcement_quarter": "quarter"})
     out = lookup(out, pick(ratios, ["ticker", *PROMISE_RATIOS]), {"ticker_clean": "ticker"})

@@ -45,7 +45,7 @@ def full_panel(
     quarter = quarter_key(F.col("Date"))
     by_quarter = prices.select("*", quarter.alias("quarter")).groupBy("ticker", "quarter").agg(
         last_value("Close", order_key(order)).alias("Close"),
-        exact_mean(F.col("Volume"), 0).alias("Volume"),
+        exact_mean(F.col("Volume"), None if scale is None else 0).alias("Volume"),
     )
     # Ratios belong to a quarter the company traded in, as do its prices.
     by_quarter = with_dimension(by_quarter, ratios, "ticker")
@@ -59,7 +59,7 @@ def full_panel(
     extras = [c for c in ("median_income", "median_home_value") if c in promises.columns]
     labels = label_rows(
         promise_events(promises, ticker), ["ticker", "quarter"], "total", label_order,
-        "promise_kept", "promised_mw", extras,
+        "promise_kept", "promised_mw", extras, scale,
     )
     panel = spine.join(by_quarter, ["ticker", "quarter"], "left").join(labels, ["ticker", "quarter"], "left")
     panel = with_dimension(with_calendar(panel, macro_q), analyst, "ticker")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,16 +31,13 @@ def session(app: str = "quarterdeck", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
+    """A fresh folder below the one named in ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
-    Every executor must see it, so a machine-local folder is only made up when
-    the setting is missing and the session itself is local.
+    Every executor must see it, so none is made up here.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="quarterdeck-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return f"{base.rstrip('/')}/quarterdeck-{uuid.uuid4().hex}"
 
 

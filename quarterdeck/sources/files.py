@@ -11,8 +11,12 @@ from pyspark.sql.types import StructType
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
-    """CSV with a header, quotes doubled inside quoted text, read with a declared schema."""
-    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=False)
+    """CSV with a header, quotes doubled inside quoted text, read with a declared schema.
+
+    Columns are found by name; quoted text may hold line feeds, and a value that does not convert raises."""
+    wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted.fields])
 
 
 def union_tagged(frames: Mapping[str, DataFrame], tag: str, **constants: Mapping[str, object]) -> DataFrame:

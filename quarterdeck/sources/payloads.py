@@ -10,18 +10,17 @@ from pyspark.sql.types import StructType
 
 
 def json_rows(
-    df: DataFrame, body: str, keep: Sequence[str], fields: Mapping[str, str], min_length: int = 10
+    df: DataFrame, body: str, keep: Sequence[str], fields: Mapping[str, str]
 ) -> DataFrame:
     """Rows of a JSON array of arrays whose first entry is a header.
 
-    Bodies that are missing, too short or without data rows are skipped.
+    Bodies that are missing or without data rows are skipped.
     ``fields`` names the positions and gives each its type; a value that does
     not convert raises.
     """
     rows = F.from_json(F.col(body), "array<array<string>>")
     return (
-        df.filter(F.length(body) > min_length)
-        .select(*keep, rows.alias("_rows"))
+        df.select(*keep, rows.alias("_rows"))
         .filter(F.size("_rows") > 1)
         .select(*keep, F.explode(F.slice("_rows", 2, F.size("_rows") - 1)).alias("_row"))
         .select(
@@ -46,6 +45,12 @@ def children(df: DataFrame, nested: Column, keep: Sequence[str], out: str = "chi
     return df.select(*keep, F.posexplode(nested).alias("position", out))
 
 
+def _joined(section: str, text: str, name: str) -> Column:
+    """All texts of one section, in text order, a line feed between; null without the section."""
+    found = F.sort_array(F.collect_list(F.when(F.col(section) == name, F.coalesce(text, F.lit("")))))
+    return F.when(F.size(found) > 0, F.array_join(found, "\n"))
+
+
 def sections(
     df: DataFrame, keys: Sequence[str], section: str, text: str, wanted: Sequence[str]
 ) -> DataFrame:
@@ -54,7 +59,7 @@ def sections(
     Records without any wanted section get an ``error`` text instead of being lost.
     """
     texts = df.groupBy(*keys).agg(
-        *[F.max(F.when(F.col(section) == s, F.coalesce(text, F.lit("")))).alias(f"_{s}") for s in wanted]
+        *[_joined(section, text, s).alias(f"_{s}") for s in wanted]
     )
     rows = F.array(
         *[F.struct(F.lit(s).alias(section), F.coalesce(f"_{s}", F.lit("")).alias(text)) for s in wanted]

@@ -9,10 +9,10 @@ from quarterdeck.session import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = session(
         "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-        spark__driver__memory="6g",
+        spark__driver__memory="6g", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -31,7 +31,8 @@ def test_matches_sql(spark, con, name):
 
 
 def test_only_training_lacks_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == TRAINING
+    lacking = set(entry.queries()) - set(entry.oracle_sql())
+    assert {n for n in lacking if n != "pipeline" and not re.match(r"op\d+_", n)} == TRAINING
 
 
 def test_forest_scores(spark):
