@@ -252,7 +252,10 @@ def decode(ids: Column, model: str = MODEL) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = docs.select("doc_id", "text", encode(F.col("doc_id"), F.col("text")).alias("ids"))
+    # Behind ``inline`` the ids are drawn once; side by side with decoding, Spark would draw them for each.
+    coded = docs.select(F.inline(F.array(F.struct(
+        "doc_id", "text", encode(F.col("doc_id"), F.col("text")).alias("ids")
+    ))))
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
         decode(F.col("ids")).eqNullSafe(F.col("text")).alias("lossless"),
