@@ -7,8 +7,8 @@ paths to each node; backward sampling draws edges from the end, each with its sh
 segmentation has the probability of its weight among all of them.
 
 No piece holds a space after another character, nor a line feed, so lattices never reach beyond a run of
-spaces with the word after it. The distinct parts of some hundred texts are filtered together in numpy, and
-the draws for all places they stand at are made together.
+spaces with the word after it. The distinct parts of some hundred texts are filtered in numpy, a block of about
+one length at a time, and the draws for all places they stand at are made together.
 
 Draws depend on the row's key, the part's place in the text and the step alone, so a row gets the same
 segmentation on any executor, in any batch, after any retry. As in the vocabulary's own encoder, a text
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -43,6 +44,8 @@ BYTE_WEIGHT = math.log(1 / 40_000)
 #: Texts, and their characters unless one has more, whose lattices are held at a time.
 TEXTS = 1024
 CHARACTERS = 4_000_000
+#: Edges filtered at a time, unless one part has more; few enough for a processor's cache.
+CELLS = 1 << 18
 #: The odd number that hashes of spellings are built with, and the places of the table that says which are in use.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 20
@@ -72,7 +75,7 @@ class Vocabulary:
                 weight[i] = -math.log(min(max(-model.get_score(i), 0.0), float(n)) + 1)
                 self.spelling[i] = piece.encode()
                 pieces.append((piece, i))
-        self.weight, self.longest = weight, max(len(p) for p, _ in pieces)
+        self.weight, self.longest = weight.astype(np.float32), max(len(p) for p, _ in pieces)
         hashes = np.array([self._hash(p) for p, _ in pieces], dtype=np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array([i for _, i in pieces], dtype=np.int32)[order]
@@ -118,12 +121,11 @@ def _filtered(parts: list[str], words: Vocabulary, sharpness: float) -> tuple[np
     for e in range(reach):
         hashes = hashes[:, : size - e] * BASE + chars[:, e:] + np.uint64(1)
         ids[:, e:, e] = words.find(hashes)
-    weights = words.weight[ids]  # the last weight, where -1 points, is that of no edge
+    weights = (words.weight * np.float32(sharpness))[ids]  # the last weight, where -1 points, is that of no edge
     spelt = ids[:, :, 0] < 0
     width = 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
-    weights[:, :, 0] = np.where(spelt, width * BYTE_WEIGHT, weights[:, :, 0])
+    weights[:, :, 0] = np.where(spelt, width * BYTE_WEIGHT * sharpness, weights[:, :, 0])
     ids[:, :, 0] = np.where(spelt, -2 - chars.astype(np.int64), ids[:, :, 0])
-    weights *= sharpness
     sums = np.full((n, size + reach), -np.inf)  # of node k at k + reach - 1
     sums[:, reach - 1] = 0.0
     shares = np.empty((n, size, reach), np.float32)
@@ -137,56 +139,70 @@ def _filtered(parts: list[str], words: Vocabulary, sharpness: float) -> tuple[np
     return shares, ids
 
 
-def _lattices(parts: list[str], words: Vocabulary, sharpness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All parts' edges with a row per character, and each part's first row."""
-    sizes = np.array([len(p) for p in parts])
-    first = np.zeros(len(parts), np.int64)
-    shares, ids, rows = [], [], 0
-    classes = np.maximum(3, np.ceil(2 * np.log2(np.maximum(sizes, 1))))
-    for c in np.unique(classes):
-        mine = np.flatnonzero(classes == c)
-        share, own = _filtered([parts[i] for i in mine], words, sharpness)
-        n, size, reach = share.shape
-        pad = ((0, 0), (0, words.longest - reach))
-        shares.append(np.pad(share.reshape(n * size, reach), pad, constant_values=2.0))
-        ids.append(np.pad(own.reshape(n * size, reach), pad, constant_values=-1))
-        first[mine] = rows + np.arange(n) * size
-        rows += n * size
-    return np.concatenate(shares), np.concatenate(ids), first
+def _blocks(sizes: list[int], longest: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Parts in an order where those of about one length stand together, and the borders of blocks of them."""
+    classes = np.maximum(3, np.ceil(2 * np.log2(np.maximum(sizes, 1)))).astype(np.int64)
+    order = np.argsort(classes, kind="stable")
+    out, start = [], 0
+    for c, n in zip(*np.unique(classes, return_counts=True)):
+        size = int(2 ** (c / 2)) + 1
+        step = max(1, CELLS // (size * min(size, longest)))
+        out.extend((a, min(a + step, start + n)) for a in range(start, start + int(n), step))
+        start += int(n)
+    return order, out
+
+
+def _drawn(
+    parts: list[str], which: np.ndarray, stream: np.ndarray, words: Vocabulary, sharpness: float,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Edges drawn for occurrences ``which`` of a block of parts, last edge first: occurrences and ids."""
+    shares, ids = _filtered(parts, words, sharpness)
+    _, size, reach = shares.shape
+    shares, ids = shares.reshape(-1, reach), ids.reshape(-1, reach)
+    row, left = which * size - 1, np.array([len(p) for p in parts])[which]
+    who, drawn, owners, step = np.arange(len(which)), [], [], 0
+    while len(who):
+        step += 1
+        u = (_mixed(stream + np.uint64(step) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+        at = row + left
+        edge = np.count_nonzero(shares[at] <= u[:, None], axis=1)
+        drawn.append(ids[at, edge])
+        owners.append(who)
+        left = left - edge - 1
+        on = left > 0
+        who, row, left, stream = who[on], row[on], left[on], stream[on]
+    return np.concatenate(owners), np.concatenate(drawn)
 
 
 def sample(
     keys: list[str | None], texts: list[str | None], words: Vocabulary, sharpness: float = 1.0, seed: int = 0,
 ) -> list[np.ndarray | None]:
     """A sampled segmentation of each text, as piece ids."""
-    number: dict[str, int] = {}
-    places: list[int] = []
-    counts = []
-    for text in texts:
-        parts = PARTS.findall(" " + text) if text else []
-        places.extend([number.setdefault(p, len(number)) for p in parts])
-        counts.append(len(parts))
-    if not places:
+    split = [PARTS.findall(" " + text) if text else [] for text in texts]
+    counts = np.array([len(parts) for parts in split], dtype=np.int64)
+    if not counts.any():
         return [None if t is None else np.zeros(0, np.int32) for t in texts]
-    parts = list(number)
-    shares, ids, rows = _lattices(parts, words, sharpness)
-    which = np.array(places)
+    every = list(chain.from_iterable(split))
+    parts = list(dict.fromkeys(every))
+    number = dict(zip(parts, range(len(parts))))
+    which = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
     first = np.cumsum(counts) - counts
     hashes = np.array([xxhash.xxh64_intdigest(k or "", seed) for k in keys], dtype=np.uint64)
     place = (np.arange(len(which)) - np.repeat(first, counts)).astype(np.uint64)
+    owners, drawn = [], []
     with np.errstate(over="ignore"):
         stream = _mixed(np.repeat(hashes, counts) + place * BASE)
-        row, left = rows[which], np.array([len(p) for p in parts])[which]
-        who, drawn, owners, step = np.arange(len(which)), [], [], 0
-        while len(who):
-            step += 1
-            u = (_mixed(stream[who] + np.uint64(step) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-            at = row[who] + left[who] - 1
-            edge = (shares[at] <= u[:, None]).sum(axis=1)
-            drawn.append(ids[at, edge])
-            owners.append(who)
-            left[who] -= edge + 1
-            who = who[left[who] > 0]
+        by_class, blocks = _blocks([len(p) for p in parts], words.longest)
+        rank = np.empty(len(parts), np.int64)
+        rank[by_class] = np.arange(len(parts))
+        rank = rank[which]
+        order = np.argsort(rank, kind="stable")
+        borders = np.searchsorted(rank[order], [a for a, _ in blocks] + [len(parts)]).tolist()
+        for (a, b), low, high in zip(blocks, borders, borders[1:]):
+            here = order[low:high]
+            owner, code = _drawn([parts[i] for i in by_class[a:b]], rank[here] - a, stream[here], words, sharpness)
+            owners.append(here[owner])
+            drawn.append(code)
     # Steps come last edge first; turned round, and by part, they are in text order.
     owner, code = np.concatenate(owners)[::-1], np.concatenate(drawn)[::-1]
     order = np.argsort(owner, kind="stable")
