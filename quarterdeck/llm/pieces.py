@@ -77,10 +77,14 @@ class Vocabulary:
                 pieces.append((piece, i))
         self.weight, self.longest = weight.astype(np.float32), max(len(p) for p, _ in pieces)
         hashes = np.array([self._hash(p) for p, _ in pieces], dtype=np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array([i for _, i in pieces], dtype=np.int32)[order]
-        self.used = np.zeros(1 << SLOT_BITS, bool)
-        self.used[self._slot(self.hashes)] = True
+        slots = self._slot(hashes).astype(np.int64)
+        order = np.argsort(slots, kind="stable")
+        held, first, counts = np.unique(slots[order], return_index=True, return_counts=True)
+        self.most = int(counts.max())  # pieces that share a slot
+        self.hashes = np.append(hashes[order], np.zeros(self.most, np.uint64))
+        self.ids = np.append(np.array([i for _, i in pieces], dtype=np.int32)[order], np.full(self.most, -1, np.int32))
+        self.used, self.first = np.zeros(1 << SLOT_BITS, bool), np.zeros(1 << SLOT_BITS, np.int32)
+        self.used[held], self.first[held] = True, first
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -96,13 +100,25 @@ class Vocabulary:
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where there is none."""
         out = np.full(hashes.shape, -1, np.int32)
-        maybe = np.nonzero(self.used[self._slot(hashes)])
-        wanted = hashes[maybe]
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        out[maybe] = np.where(self.hashes[at] == wanted, self.ids[at], -1)
+        slots = self._slot(hashes)
+        maybe = np.nonzero(self.used[slots])
+        wanted, at = hashes[maybe], self.first[slots[maybe]]
+        found = np.full(len(wanted), -1, np.int32)
+        for k in range(self.most):
+            same = np.flatnonzero(self.hashes[at + k] == wanted)
+            found[same] = self.ids[at[same] + k]
+        out[maybe] = found
         return out
 
 
+class Numbers(dict):
+    """Numbers strings as they are first looked up."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 @lru_cache(maxsize=2)
 def vocabulary(name: str) -> Vocabulary:
     return Vocabulary(name)
@@ -183,9 +199,9 @@ def sample(
     if not counts.any():
         return [None if t is None else np.zeros(0, np.int32) for t in texts]
     every = list(chain.from_iterable(split))
-    parts = list(dict.fromkeys(every))
-    number = dict(zip(parts, range(len(parts))))
+    number = Numbers()
     which = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+    parts = list(number)
     first = np.cumsum(counts) - counts
     hashes = np.array([xxhash.xxh64_intdigest(k or "", seed) for k in keys], dtype=np.uint64)
     place = (np.arange(len(which)) - np.repeat(first, counts)).astype(np.uint64)
