@@ -264,19 +264,37 @@ def encode(key: Column, text: Column, seed: int = 0, sharpness: float = 1.0, mod
     return sampled_pieces(key.cast("string"), text)
 
 
-def spelled(ids: np.ndarray, spelling: list[bytes]) -> str:
-    text = b"".join(map(spelling.__getitem__, ids.tolist())).decode("utf-8", "replace")
+def _unspaced(spelling: bytes) -> str:
+    """The text of its pieces' bytes, without the space added before encoding."""
+    text = spelling.decode("utf-8", "replace")
     return text[1:] if text[:1] == " " else text
 
 
+def spelled(ids: np.ndarray, spelling: list[bytes]) -> str:
+    return _unspaced(b"".join(map(spelling.__getitem__, ids.tolist())))
+
+
+def _decoded(lists: pa.Array, spelling: pa.Array) -> list[str | None]:
+    """Texts of lists of ids, whose pieces' bytes are put together for all of them at once."""
+    ids, row = lists.flatten(), pc.list_parent_indices(lists)
+    if ids.null_count:
+        ids, row = ids.drop_null(), row.filter(ids.is_valid())
+    if not len(ids):
+        return ["" if ok else None for ok in lists.is_valid().to_pylist()]
+    _, ends, data = spelling.take(ids).buffers()
+    bytes_before, data = np.frombuffer(ends, np.int64)[: len(ids) + 1], memoryview(data)
+    borders = bytes_before[np.searchsorted(row.to_numpy(), np.arange(len(lists) + 1))].tolist()
+    return [_unspaced(bytes(data[x:y])) if ok else None for ok, x, y in zip(lists.is_valid().to_pylist(), borders, borders[1:])]
+
+
 def decode(ids: Column, model: str = MODEL) -> Column:
     """The text that piece ids spell."""
 
     @F.arrow_udf("string")
     def decoded_text(lists: pa.Array) -> pa.Array:
-        spelling, out = vocabulary(model).spelling, []
-        for row in lists:
-            out.append(spelled(row.values.drop_null().to_numpy(zero_copy_only=False), spelling) if row.is_valid else None)
+        spelling, out = pa.array(vocabulary(model).spelling, pa.large_binary()), []
+        for at in range(0, len(lists), TEXTS):
+            out.extend(_decoded(lists.slice(at, TEXTS), spelling))
         return pa.array(out, pa.string())
 
     return decoded_text(ids)
