@@ -296,7 +296,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
 
     Rows that share id and text count as one; rows without an id stay only where their whole group has none.
     """
-    groups = near_duplicates(docs, doc_id, text, size)
+    return first_of_groups(docs, near_duplicates(docs, doc_id, text, size), doc_id, text)
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each group (``doc_id``, ``text_hash``, ``root``) the row with the smallest id, rows without one last."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best")
     kept = materialize(groups.groupBy("root").agg(best).select("best.doc_id", "best.text_hash").distinct())
     rows = boxed(docs, doc_id=doc_id, text=text).select("doc", "doc_id", F.xxhash64("text").alias("text_hash"))
