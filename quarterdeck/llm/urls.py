@@ -10,6 +10,9 @@ per block in use and at most ``MAX_BLOCKS`` rows of 80 bytes, so it can be broad
 the list: a longer list only lets more false hits pass. They end at the join with the list, by the key itself.
 
 Two lists are looked up: rules, and below them listed hosts and pages, which block a URL that no rule fits.
+Rules meet host and path as they are. Listed entries meet the URL's canonical form: no user-info, port or last
+dot of the host, ``/`` for an empty path, escapes of unreserved characters undone and others in upper case; dot
+segments stay. ``listed_urls`` makes such entries from a table of URLs of any size.
 
 Defined results: host and path as in ``split_url``; a null URL or one without ``://`` has an empty host and
 path and is allowed by default; repeated rows are returned as often as they came; rows without an id are
@@ -44,6 +47,26 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+def _unescaped(part: Column) -> Column:
+    """Percent escapes of unreserved characters undone, others in upper case; stray percent signs stay."""
+
+    def piece(p: Column, i: Column) -> Column:
+        digits, rest = F.substring(p, 1, 2), F.substring(p, 3, 1 << 30)
+        char = F.unhex(digits).cast("string")
+        escape = F.when(char.rlike("^[A-Za-z0-9._~-]$"), char).otherwise(F.concat(F.lit("%"), F.upper(digits)))
+        valid = (i > 0) & digits.rlike("^[0-9A-Fa-f]{2}$")
+        return F.when(valid, F.concat(escape, rest)).when(i > 0, F.concat(F.lit("%"), p)).otherwise(p)
+
+    return F.when(part.contains("%"), F.array_join(F.transform(F.split(part, "%"), piece), "")).otherwise(part)
+
+
+def canonical(host: Column, path: Column) -> tuple[Column, Column]:
+    """Host and path of ``split_url`` in the form in which listed entries are looked up."""
+    bare = F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
+    bare = F.regexp_replace(F.lower(_unescaped(bare)), r"\.$", "")
+    return bare, F.when(bare == "", "").when(path == "", "/").otherwise(_unescaped(path))
+
+
 def _key(host: Column, path: Column) -> Column:
     return F.concat(host, path)
 
@@ -84,6 +107,13 @@ def listed(spark: SparkSession, rules: list[tuple[str, str, str]], priority: int
     return rows.withColumn("priority", F.lit(priority))
 
 
+def listed_urls(urls: DataFrame, url: str = "url", verdict: str = "block") -> DataFrame:
+    """Entries below the rules from a table of URLs: each fits its canonical form and what lies below it."""
+    host, path = canonical(*split_url(F.col(f"`{url}`")))
+    rows = urls.select(host.alias("host"), path.alias("path")).filter("host <> ''").distinct()
+    return rows.select("host", "path", F.lit(verdict).alias("verdict"), F.lit(1).alias("priority"))
+
+
 def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule`` and ``verdict`` of every page.
 
@@ -101,19 +131,31 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
     sizes = materialize(rules.select(F.length("path").alias("size")).distinct())
     # At most one row for each length a URL's path can have.
     path_sizes = [r["size"] for r in sizes.orderBy("size").collect()]
-    labels = F.split("host", r"\.")
-    ends = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
-    fitting = F.filter(
-        F.array(*[F.lit(s) for s in path_sizes]).cast("array<int>"), lambda s: s <= F.length("path")
+    sizes_array = F.array(*[F.lit(s) for s in path_sizes]).cast("array<int>")
+
+    def keys(host: str, path: str, plain: Column, canon: Column) -> Column:
+        labels = F.split(host, r"\.")
+        ends = F.transform(
+            F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+        )
+        fitting = F.filter(sizes_array, lambda s: s <= F.length(path))
+        return F.flatten(F.transform(ends, lambda e: F.transform(fitting, lambda s: F.struct(
+            F.concat(e, F.substring(F.col(path), F.lit(1), s)).alias("key"), F.length(e).alias("host_size"),
+            plain.alias("plain"), canon.alias("canon"),
+        ))))
+
+    canon_host, canon_path = canonical(F.col("host"), F.col("path"))
+    both = base.filter("host <> ''").select("*", canon_host.alias("canon_host"), canon_path.alias("canon_path"))
+    same = (F.col("host") == F.col("canon_host")) & (F.col("path") == F.col("canon_path"))
+    plain_keys = keys("host", "path", F.lit(True), same)
+    # Most URLs are canonical and need no second lookup.
+    all_keys = F.when(same, plain_keys).otherwise(
+        F.concat(plain_keys, keys("canon_host", "canon_path", F.lit(False), F.lit(True)))
     )
-    keys = F.flatten(F.transform(ends, lambda e: F.transform(fitting, lambda s: F.struct(
-        F.concat(e, F.substring("path", F.lit(1), s)).alias("key"), F.length(e).alias("host_size")
-    ))))
-    candidates = base.filter("host <> ''").select("*", F.explode(keys).alias("k")).select("page_id", "host", "path", "k.*")
+    candidates = both.select("page_id", "host", "path", F.explode(all_keys).alias("k")).select("page_id", "host", "path", "k.*")
     possible = may_hold(candidates, bloom_filter(entries, blocks), blocks)
-    hits = possible.join(entries, ["key", "host_size"]).select(
+    hits = possible.join(entries, ["key", "host_size"]).filter(F.when(F.col("priority") == 0, F.col("plain")).otherwise(F.col("canon")))
+    hits = hits.select(
         "page_id", "host", "path", F.lit(0).alias("n"),
         F.struct((-F.col("priority")).alias("high"), F.length("key").alias("size"), "host_size", "key", "verdict").alias("hit"),
     )
