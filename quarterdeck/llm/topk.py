@@ -1,9 +1,10 @@
 """Exact top-k search by inner product: tiles of queries and vectors, merged by a tree.
 
-Queries are cut into blocks and vectors into shards, both by a hash of their id. A tile is one block against
+Queries are cut into blocks and vectors into shards, both by a hash of id, vector and number among equal rows; of
+equal rows ``k`` at most can be in a list, so no more are placed. A tile is one block against
 one shard: a matrix product in a task, of which each query keeps its k best. Every query's lists then meet
 in a tree, ``FAN_IN`` lists to a step, so that no task ever holds all lists of a query. Blocks and shards
-have bounded sizes, and so has the product, which is formed for some queries at a time.
+have bounded rows and, by the longest vector, bounded bytes, and so has the product, which is formed for some queries at a time.
 
 A component x counts as floor(1024 x); scores are sums of whole numbers, so they are exact. Doubles do the
 product where no sum can pass 2**53, Python's whole numbers otherwise; a score beyond a long is set to the
@@ -31,6 +32,8 @@ EVERY = 100
 QUERY_ROWS = 4096
 SHARD_ROWS = 65536
 LEAST_SHARD_ROWS = 1024
+#: Of a block's or shard's matrix.
+MATRIX_BYTES = 1 << 26
 FAN_IN = 16
 #: Scores held at a time.
 CELLS = 1 << 21
@@ -113,12 +116,16 @@ def top_k(
     rows = vectors.filter(F.col(f"`{vec_id}`").isNotNull() & usable(F.col(f"`{vector}`"))).select(
         F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("vector"), is_query.alias("asks")
     )
-    n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
+    n, asking, width = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("vector"))).first()
+    most = max(1, MATRIX_BYTES // (8 * (width or 1)))
     spark = vectors.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, -(-n // SHARD_ROWS), min(tasks, -(-n // LEAST_SHARD_ROWS)))
-    blocks = max(1, -(-asking // QUERY_ROWS))
-    hashed = F.xxhash64("id")
+    shards = max(1, -(-n // min(SHARD_ROWS, most)), min(tasks, -(-n // LEAST_SHARD_ROWS)))
+    blocks = max(1, -(-asking // min(QUERY_ROWS, most)))
+    # Of equal rows the first k fill every list; equal rows combine before they are shuffled.
+    counted = rows.groupBy("id", "vector", "asks").agg(F.count("*").alias("n"))
+    rows = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k).cast("long")))))
+    hashed = F.xxhash64("id", "vector", "copy")
     queries = rows.filter("asks").select(
         "id", "vector", F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
