@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quarterdeck.llm import licenses, packing, pieces, quality, rules, simhash, token_files, topk, toxicity, urls
+from quarterdeck.llm import (
+    collocations, licenses, negatives, packing, pieces, quality, rules, simhash, token_files, topk, toxicity, urls, windows,
+)
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_best_fit_packing": packing.query,
     "op9_token_files": token_files.query,
     "op10_exact_top_k": topk.query,
+    "op11_window_packing": windows.query,
+    "op12_collocations": collocations.query,
+    "op13_hard_negatives": negatives.query,
 }
 
 SQL = {
@@ -22,4 +27,6 @@ SQL = {
     "op3_url_filters": urls.SQL,
     "op7_license_scan": licenses.SQL,
     "op10_exact_top_k": topk.SQL,
+    "op12_collocations": collocations.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
