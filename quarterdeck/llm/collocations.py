@@ -2,15 +2,17 @@
 
 Words follow each other within a piece of text; from every word on, the next ``DEPTH`` words are a suffix.
 The suffixes are divided by their first words (vertical partitioning): a first word with more than a
-``SPLIT``-th of the budget of occurrences is extended by the second, such a pair by the third, and prefixes
-are dealt out to so many groups that none holds more than ``BUDGET`` occurrences. Each group sorts its
-suffixes, which is its part of the suffix tree: a node is a run of leaves that begin alike, and its count
-the sum of their totals. A node above the extended prefixes is spread over groups; its parts are added up.
-
-A phrase is a candidate only if it occurs ``LEAST`` times, and then so do its words. Suffixes therefore end
-before rarer words, and those without a second word are left out, as words are counted first. Which words are rarer and which prefixes are extended, tasks
-look up in two bit sets of fixed size; bits that are set for another word as well cost time, never a count.
-Tasks add up equal suffixes before they send them.
+``SPLIT``-th of the budget of occurrences is extended by the second, such a pair by the third, and so on, and
+prefixes are dealt out by hash to so many groups that a group holds half of ``BUDGET`` occurrences on average. Each
+group sorts its suffixes, which is its part of the suffix tree: a node is a run of leaves that begin alike,
+and its count the sum of their totals. A node above the extended prefixes is spread over groups; its parts
+are added up.
+
+A phrase is a candidate only if it occurs ``LEAST`` times, and then so do its parts. A suffix therefore ends
+where the phrase up to there is too rare, and is left out if its first pair is. Words are counted exactly
+for that. Of phrases of two words and more, hashes are counted in cells (up to ``CELLS`` for each length, a fixed bound), and cells
+with fewer than ``LEAST`` hold no candidate; the tasks get a bit per cell. A cell that rare phrases share may
+let them through, which costs time and never changes a count; the same holds for cells of frequent prefixes.
 
 A candidate is cut after every word; both parts have counts of their own, joined by phrase. The score is
 whole-number division of decimals, exact beyond 64 bits. Candidates that lie in a longer one of nearly their
@@ -48,11 +50,14 @@ UNKNOWN = "und"
 #: Suffixes of a group, counted as often as they occur.
 BUDGET = 1 << 20
 SPLIT = 16
-#: Bits of a set that tasks look up.
-BITS = 1 << 26
-#: Distinct phrases a task holds before it sends them on.
+#: Bits of the set of frequent words, and most cells for the phrases of a length.
+BITS = 1 << 25
+CELLS = 1 << 26
+CHUNK = 1 << 16
+#: Distinct phrases and numbers a task holds before it sends them on.
 HELD = 200_000
-#: Phrases of a language whose look-up a task remembers, and their bytes at most.
+HELD_NUMBERS = 1 << 20
+#: Words of a language whose hash a task remembers, and their bytes at most.
 REMEMBERED = 200_000
 REMEMBERED_LENGTH = 64
 SALTS = 32
@@ -71,42 +76,50 @@ def words_of(text: str | None) -> list[bytes]:
     return [w for w in plain.replace(b"\n", b" \n ").split(b" ") if w]
 
 
-class BitSet:
-    """Which pairs of a language and a phrase may be in a set; always true of those that are."""
+@lru_cache(maxsize=1024)
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), SEED)
 
-    def __init__(self, words: np.ndarray) -> None:
-        self.words = words
-        self.empty = not words.any()
-        self.known: dict[str, dict[bytes, bool]] = {}
 
-    def holds(self, number: int) -> bool:
-        """Whether the bit of a phrase's hash is set."""
-        at = number & (BITS - 1)
-        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+def hashed(lang: str, word: bytes) -> int:
+    """As ``xxhash64`` of both columns; 0 is kept for what is not a word."""
+    return xxhash.xxh64_intdigest(word, _seed(lang)) or 1
 
-    def all(self, lang: str, phrases: list[bytes]) -> list[bool]:
-        known, extra = self.known.setdefault(lang, {END: False}), {}
-        for phrase in set(phrases).difference(known):
-            got = not self.empty and self.holds(hashed(lang, phrase))
-            (known if len(known) < REMEMBERED and len(phrase) <= REMEMBERED_LENGTH else extra)[phrase] = got
-        found = list(map(known.get, phrases))
-        return [extra[p] if f is None else f for f, p in zip(found, phrases)] if extra else found
 
+class Hashes:
+    """Hashes of words, those of frequent ones remembered."""
 
-@lru_cache(maxsize=1024)
-def _seed(lang: str) -> int:
-    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), SEED)
+    def __init__(self) -> None:
+        self.known: dict[str, dict[bytes, int]] = {}
+
+    def of(self, lang: str, words: list[bytes]) -> np.ndarray:
+        known, extra = self.known.setdefault(lang, {END: 0}), {}
+        for word in set(words).difference(known):
+            keep = len(known) < REMEMBERED and len(word) <= REMEMBERED_LENGTH
+            (known if keep else extra)[word] = hashed(lang, word)
+        found = list(map(known.get, words))
+        if extra:
+            found = [extra[w] if f is None else f for f, w in zip(found, words)]
+        return np.array(found, np.uint64)
+
+
+def followed(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a phrase followed by a word."""
+    mixed = (phrase * np.uint64(0x9E3779B97F4A7C15) + word) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed ^ (mixed >> np.uint64(32))
 
 
-def hashed(lang: str, phrase: bytes) -> int:
-    """As ``xxhash64`` of both columns."""
-    return xxhash.xxh64_intdigest(phrase, _seed(lang))
+def in_set(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether the bits of hashes are set; there are a power of two of them."""
+    word = (numbers >> np.uint64(6)) & np.uint64(len(bits) - 1)
+    return (bits[word.astype(np.int64)] >> (numbers & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def bit_set(rows: DataFrame) -> np.ndarray:
+def bit_set(words: DataFrame) -> np.ndarray:
     """The bits of ``lang`` and ``phrase``: ``BITS`` / 64 longs at most."""
-    at = F.xxhash64("lang", "phrase").bitwiseAND(F.lit(BITS - 1))
-    bits = rows.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
+    number = F.xxhash64("lang", "phrase")
+    at = F.when(number == 0, 1).otherwise(number).bitwiseAND(F.lit(BITS - 1))
+    bits = words.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
     ).toArrow()
     out = np.zeros(BITS // 64, np.uint64)
@@ -114,13 +127,11 @@ def bit_set(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def stretches(words: list[bytes], lang: str, often: BitSet) -> np.ndarray:
-    """How many frequent words there are in a row from each word on, ``DEPTH`` at most."""
-    flags = np.zeros(len(words) + DEPTH, bool)
-    flags[: len(words)] = often.all(lang, words)
-    out = np.zeros(len(words), np.int8)
-    for n in range(DEPTH):
-        out += (out == n) & flags[n : n + len(words)]
+def phrase_hashes(numbers: np.ndarray) -> list[np.ndarray]:
+    """Of the phrases of 1 to ``DEPTH`` words from each place on."""
+    out = [numbers]
+    for n in range(1, DEPTH):
+        out.append(followed(out[-1][:-1], numbers[n:]) if len(out[-1]) else out[-1])
     return out
 
 
@@ -129,6 +140,8 @@ def joined(words: list[bytes], n: int, at: np.ndarray) -> Iterator[bytes]:
     return map(b" ".join, compress(zip(*[words[k:] for k in range(n)]), at[: len(words) - n + 1].tolist()))
 
 
+CELL_COUNTS = pa.schema([("words", pa.int32()), ("chunk", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
+CELL_BITS = pa.schema([("words", pa.int32()), ("chunk", pa.int32()), ("often", pa.binary()), ("long", pa.binary())])
 COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
 SUFFIXES = pa.schema([("group", pa.int64()), ("lang", pa.string()), ("suffix", pa.binary()), ("n", pa.int64())])
 
@@ -163,81 +176,132 @@ def _words(lang: str, words: list[bytes]) -> list[bytes]:
     return words
 
 
-def _longer(often: np.ndarray, long: np.ndarray, n: int):
-    """Beginnings of ``n`` words whose first n - 1 words are extended."""
-    frequent, extended = BitSet(often), BitSet(long)
+def _cells(often: np.ndarray, cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How many phrases of frequent words fall into each cell, in chunks of cells."""
+    hashes = Hashes()
 
-    def each(lang: str, words: list[bytes]) -> Iterator[bytes]:
-        if len(words) < n:
-            return iter(())
-        at = stretches(words, lang, frequent) >= n
-        for k in range(1, n):
-            at[at] = extended.all(lang, list(joined(words, k, at)))
-        return joined(words, n, at)
+    def send(n: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at, counts = np.unique(np.concatenate(held) & np.uint64(cells - 1), return_counts=True)
+        chunk, at = (at // CHUNK).astype(np.int32), (at % CHUNK).astype("<u2")
+        starts = np.flatnonzero(np.diff(chunk, prepend=-1))
+        ends = [*starts[1:].tolist(), len(at)]
+        pairs = list(zip(starts.tolist(), ends))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(starts), n, np.int32)), pa.array(chunk[starts]),
+            pa.array([at[a:b].tobytes() for a, b in pairs], pa.binary()),
+            pa.array([counts[a:b].astype("<u4").tobytes() for a, b in pairs], pa.binary()),
+        ], schema=CELL_COUNTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {n: [] for n in range(2, DEPTH + 1)}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(at, SLICE_ROWS)
+                for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist()):
+                    numbers = hashes.of(lang, words_of(text))
+                    run_on = in_set(often, numbers) & (numbers != 0)
+                    for n, phrases in enumerate(phrase_hashes(numbers)[1:], 2):
+                        run_on = run_on[: len(phrases)] & _shifted(numbers, often, n - 1)[: len(phrases)]
+                        held[n].append(phrases[run_on])
+                for n, some in held.items():
+                    if sum(map(len, some)) >= HELD_NUMBERS:
+                        yield from send(n, some)
+                        held[n] = []
+        for n, some in held.items():
+            if sum(map(len, some)):
+                yield from send(n, some)
+
+    return run
 
-    return each
 
+def _shifted(numbers: np.ndarray, often: np.ndarray, n: int) -> np.ndarray:
+    """Whether the word ``n`` places on is frequent."""
+    later = numbers[n:]
+    return in_set(often, later) & (later != 0)
 
-def _suffixes(often: np.ndarray):
-    frequent = BitSet(often)
+
+def _merged(least: int, many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Bits of the cells with ``least`` phrases at all, and of those with more than ``many``; rows come by chunk."""
+
+    def bits(key: tuple[int, int], sums: np.ndarray) -> pa.RecordBatch:
+        sets = (np.packbits(x, bitorder="little").tobytes() for x in (sums >= least, sums > many))
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, *sets), CELL_BITS)], schema=CELL_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sums = None, np.zeros(CHUNK, np.int64)
+        for batch in batches:
+            for words, chunk, cells, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (words, chunk) != key:
+                    if key:
+                        yield bits(key, sums)
+                    key, sums = (words, chunk), np.zeros(CHUNK, np.int64)
+                sums[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, "<u4")
+        if key:
+            yield bits(key, sums)
+
+    return run
+
+
+def _cell_bits(read: DataFrame, often: np.ndarray, cells: int, least: int, many: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """By number of words less two: the bits of cells that may hold a candidate, and of those with long prefixes."""
+    counts = read.mapInArrow(_cells(often, cells), "words int, chunk int, cells binary, counts binary")
+    chunks = counts.repartition("words", "chunk").sortWithinPartitions("words", "chunk").mapInArrow(
+        _merged(least, many), "words int, chunk int, often binary, long binary"
+    )
+    sets = tuple([np.zeros(cells // 64, np.uint64) for _ in range(2, DEPTH + 1)] for _ in range(2))
+    size = min(CHUNK, cells) // 64
+    # Two bits a cell, of a bounded number of cells.
+    for row in chunks.toArrow().to_pylist():
+        for out, name in zip(sets, ("often", "long")):
+            at = row["chunk"] * CHUNK // 64
+            out[row["words"] - 2][at : at + size] = np.frombuffer(row[name], "<u8")[:size]
+    return sets
+
+
+def _suffixes(often: np.ndarray, candidates: list[np.ndarray]):
+    """From every place the longest phrase all of whose parts may be frequent."""
+    hashes = Hashes()
 
     def each(lang: str, words: list[bytes]) -> Iterator[bytes]:
-        length = stretches(words, lang, frequent)
+        numbers = hashes.of(lang, words)
+        fits = in_set(often, numbers) & (numbers != 0)
+        length = fits.astype(np.int8)
+        for n, (phrases, bits) in enumerate(zip(phrase_hashes(numbers)[1:], candidates), 2):
+            fits = fits[:-1] & fits[1:] & in_set(bits, phrases)  # both parts of one word less
+            length[: len(fits)][fits] = n
+            if not fits.any():
+                break
         return chain.from_iterable(joined(words, n, length == n) for n in range(2, min(DEPTH, len(words)) + 1))
 
     return each
 
 
-class Grouping:
-    """Groups of suffixes, by the shortest beginning that is not extended."""
-
-    def __init__(self, long: np.ndarray, groups: int) -> None:
-        self.extended, self.groups = BitSet(long), groups
-        #: The groups of first words, -1 if extended.
-        self.known: dict[str, dict[bytes, int]] = {}
+def _as_suffixes(long: list[np.ndarray], groups: int) -> Callable[[str, Counter], pa.RecordBatch]:
+    """``long`` has the bits of the prefixes of one word and more that are extended."""
+    hashes = Hashes()
 
-    def group(self, suffix: bytes, lang: str, words: int = 1) -> int:
-        """The group of a suffix whose beginnings of fewer words are known to be extended."""
-        at = -1
-        for _ in range(words):
-            at = suffix.find(b" ", at + 1)
-        while at >= 0:
-            number = hashed(lang, suffix[:at])
-            if not self.extended.holds(number):
-                return number % self.groups
-            at = suffix.find(b" ", at + 1)
-        return hashed(lang, suffix) % self.groups
-
-    def all(self, suffixes: list[bytes], lang: str) -> list[int]:
-        known = self.known.setdefault(lang, {})
-        firsts = [suffix.partition(b" ")[0] for suffix in suffixes]
-        for first in set(firsts).difference(known):
-            number = hashed(lang, first)
-            known[first] = -1 if self.extended.holds(number) else number % self.groups
-        out = [g if g >= 0 else self.group(suffix, lang, 2) for g, suffix in zip(map(known.get, firsts), suffixes)]
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
-
-
-def _as_suffixes(long: np.ndarray, groups: int) -> Callable[[str, Counter], pa.RecordBatch]:
-    grouping = Grouping(long, groups)
+    def grouped(suffixes: list[bytes], lang: str) -> np.ndarray:
+        words = [(*suffix.split(b" "), END, END)[:DEPTH] for suffix in suffixes]
+        prefix = hashes.of(lang, [w[0] for w in words])
+        open_ = np.ones(len(words), bool)
+        for n in range(1, DEPTH):
+            following = hashes.of(lang, [w[n] for w in words])
+            open_ &= in_set(long[n - 1], prefix) & (following != 0)
+            prefix = np.where(open_, followed(prefix, following), prefix)
+        return (prefix % np.uint64(groups)).astype(np.int64)
 
     def send(lang: str, held: Counter) -> pa.RecordBatch:
         suffixes = list(held)
         return pa.RecordBatch.from_arrays([
-            pa.array(grouping.all(suffixes, lang), pa.int64()), pa.array([lang] * len(held)), pa.array(suffixes, pa.binary()),
+            pa.array(grouped(suffixes, lang)), pa.array([lang] * len(held)), pa.array(suffixes, pa.binary()),
             pa.array(list(held.values()), pa.int64()),
         ], schema=SUFFIXES)
 
     return send
 
 
-def subtree(rows: pa.Table, least: int = LEAST, whole: Callable[[str, bytes, int], bool] = lambda *_: True) -> pa.Table:
-    """The nodes of the suffixes of a group: ``lang``, ``phrase`` of two words or more, and its count here.
-
-    A node counted here in full is left out where its count is below ``least``; ``whole`` tells which are.
-    """
+def subtree(rows: pa.Table) -> pa.Table:
+    """The nodes of the suffixes of a group: ``lang``, ``phrase`` of two words or more, and its count here."""
     rows = rows.group_by(["lang", "suffix"]).aggregate([("n", "sum")])
     lang = pc.dictionary_encode(rows.column("lang")).combine_chunks()
     words = pc.split_pattern(rows.column("suffix"), b" ").combine_chunks()
@@ -259,25 +323,10 @@ def subtree(rows: pa.Table, least: int = LEAST, whole: Callable[[str, bytes, int
         counts = np.add.reduceat(totals, starts)
         real = leaves[starts, depth] >= 0
         for at, n in zip(starts[real].tolist(), counts[real].tolist()):
-            name, phrase = names[langs[at]], None
-            if n < least:
-                phrase = b" ".join(spelling[w] for w in leaves[at, : depth + 1].tolist())
-                if whole(name, phrase, depth + 1):
-                    continue
-            out.append((name, phrase or b" ".join(spelling[w] for w in leaves[at, : depth + 1].tolist()), n))
+            out.append((names[langs[at]], b" ".join([spelling[w] for w in leaves[at, : depth + 1].tolist()]), n))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else ([], [], []), COUNTS)], schema=COUNTS)
 
 
-def _subtree(least: int, long: np.ndarray) -> Callable[[pa.Table], pa.Table]:
-    extended = BitSet(long)
-
-    def whole(lang: str, phrase: bytes, n: int) -> bool:
-        """Whether all occurrences are in one group: unless the phrase is a prefix that was extended."""
-        return n >= DEPTH or not extended.holds(hashed(lang, phrase))
-
-    return lambda rows: subtree(rows.select(["lang", "suffix", "n"]), least, whole)
-
-
 def phrase_counts(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, budget: int = BUDGET,
 ) -> DataFrame:
@@ -290,40 +339,21 @@ def phrase_counts(
     )
     frequent = words.filter(F.col("n") >= least)
     often = bit_set(frequent)
-    # Prefixes that stay as they are, and the bits of those that are extended.
-    long, kept, level = np.zeros(BITS // 64, np.uint64), [], frequent
-    for n in range(2, DEPTH + 1):
-        above = level.filter(F.col("n") > budget // SPLIT)
-        kept.append(level.filter(F.col("n") <= budget // SPLIT))
-        if n == DEPTH or above.isEmpty():
-            break
-        long = long | bit_set(above)
-        level = materialize(
-            read.mapInArrow(_counted(_longer(often, long, n), _as_counts), counted).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-        )
-    prefixes = kept[0]
-    for more in kept[1:]:
-        prefixes = prefixes.unionByName(more)
-    total = prefixes.agg(F.sum("n")).first()[0] or 0
+    total = frequent.agg(F.sum("n")).first()[0] or 0
+    many = budget // SPLIT
+    cells = min(CELLS, max(CHUNK, 1 << total.bit_length()))
+    candidates, long = _cell_bits(read, often, cells, least, many)
+    long = [bit_set(frequent.filter(F.col("n") > many)), *long]
     groups = max(1, -(-2 * total // budget))
-    while groups < total and prefixes.groupBy(_group(groups)).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > budget:
-        groups *= 2
     suffixes = read.mapInArrow(
-        _counted(_suffixes(often), _as_suffixes(long, groups)), "group long, lang string, suffix binary, n long"
+        _counted(_suffixes(often, candidates), _as_suffixes(long, groups)), "group long, lang string, suffix binary, n long"
     )
-    nodes = suffixes.groupBy("group").applyInArrow(_subtree(least, long), counted)
+    nodes = suffixes.groupBy("group").applyInArrow(lambda rows: subtree(rows.select(["lang", "suffix", "n"])), counted)
     phrases = nodes.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     named = words.unionByName(phrases).withColumn("phrase", F.col("phrase").cast("string"))
     return named.select("lang", "phrase", (F.size(F.split("phrase", " "))).alias("words"), F.col("n").alias("f"))
 
 
-def _group(groups: int) -> Column:
-    """As ``hashed`` modulo ``groups``, of an unsigned number."""
-    h = F.xxhash64("lang", "phrase")
-    # 2**64 is added to negative numbers, modulo the groups.
-    return F.pmod(F.pmod(h, F.lit(groups)) + F.when(h < 0, F.lit((1 << 64) % groups)).otherwise(F.lit(0)), F.lit(groups))
-
-
 def _part(words: Column, first: Column | int, length: Column | int) -> Column:
     return F.array_join(F.slice(words, F.lit(first) if isinstance(first, int) else first, F.lit(length) if isinstance(length, int) else length), " ")
 

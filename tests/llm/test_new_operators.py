@@ -156,6 +156,7 @@ def test_collocations(spark, monkeypatch, budget):
     if budget < 4000:
         monkeypatch.setattr(collocations, "HELD", 50)
         monkeypatch.setattr(collocations, "REMEMBERED", 7)
+        monkeypatch.setattr(collocations, "HELD_NUMBERS", 100)
     rows = made_texts()
     docs = spark.createDataFrame([(g, t, "p") for g, t in rows], "lang string, text string, phrase string").repartition(5)
     out = collocations.collocations(docs.withColumn("n", F.lit("clash")), least=20, best=15, budget=budget)
@@ -169,7 +170,7 @@ def test_no_collocations(spark):
 
 def test_subtree_counts_are_sums_of_leaves():
     rows = pa.table({"lang": ["en"] * 4 + ["de"], "suffix": [b"a b c", b"a b", b"a b d e", b"a b c", b"a b"], "n": [3, 5, 2, 1, 7]})
-    out = {(r["lang"], r["phrase"]): r["n"] for r in collocations.subtree(rows, 1).to_pylist()}
+    out = {(r["lang"], r["phrase"]): r["n"] for r in collocations.subtree(rows).to_pylist()}
     assert out == {("en", b"a b"): 11, ("en", b"a b c"): 4, ("en", b"a b d"): 2, ("en", b"a b d e"): 2, ("de", b"a b"): 7}
 
 
