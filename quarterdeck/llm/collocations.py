@@ -26,10 +26,10 @@ give no rows. Only text and language are read; a word may be as long as its text
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,50 +57,86 @@ CHUNK = 1 << 16
 #: Distinct phrases and numbers a task holds before it sends them on.
 HELD = 200_000
 HELD_NUMBERS = 1 << 20
-#: Words of a language whose hash a task remembers, and their bytes at most.
-REMEMBERED = 200_000
-REMEMBERED_LENGTH = 64
+#: Bytes of text, and of words, that are looked at together; the second is a multiple of the number of weights.
+BLOCK = 1 << 22
+HASHED = 1 << 20
+#: Of the bytes of a word, in turn.
+WEIGHTS = np.random.default_rng(42).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SALTS = 32
 SEED = 42
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lower case, a line feed for every character that ends a piece, a space for a tab.
 PLAIN = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\r\t", LOWER.encode() + b"\n" * 9 + b" ")
-#: Not a word.
-END = b"\n"
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text, and ``END`` where a piece ends."""
-    plain = (text or "").encode("utf-8", "surrogatepass").translate(PLAIN)
-    return [w for w in plain.replace(b"\n", b" \n ").split(b" ") if w]
-
-
-@lru_cache(maxsize=1024)
-def _seed(lang: str) -> int:
-    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), SEED)
-
-
-def hashed(lang: str, word: bytes) -> int:
-    """As ``xxhash64`` of both columns; 0 is kept for what is not a word."""
-    return xxhash.xxh64_intdigest(word, _seed(lang)) or 1
-
-
-class Hashes:
-    """Hashes of words, those of frequent ones remembered."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, dict[bytes, int]] = {}
-
-    def of(self, lang: str, words: list[bytes]) -> np.ndarray:
-        known, extra = self.known.setdefault(lang, {END: 0}), {}
-        for word in set(words).difference(known):
-            keep = len(known) < REMEMBERED and len(word) <= REMEMBERED_LENGTH
-            (known if keep else extra)[word] = hashed(lang, word)
-        found = list(map(known.get, words))
-        if extra:
-            found = [extra[w] if f is None else f for f, w in zip(found, words)]
-        return np.array(found, np.uint64)
+SPACES = re.compile(b" {2,}")
+
+
+def plain(text: str | None) -> bytes:
+    """Words with one space between them, and a line feed where a piece ends."""
+    return SPACES.sub(b" ", (text or "").encode("utf-8", "surrogatepass").translate(PLAIN))
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """A language and texts in it, together; a longer text is a block of its own."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            rows = batch.slice(at, SLICE_ROWS)
+            for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist()):
+                held.setdefault(lang, []).append(plain(text))
+                size += len(held[lang][-1])
+                if size >= BLOCK:
+                    yield from ((g, b"\n".join(texts)) for g, texts in held.items())
+                    held, size = {}, 0
+    yield from ((g, b"\n".join(texts)) for g, texts in held.items())
+
+
+class Words:
+    """Where the words of a block are, their hashes, and how far they run on within their piece."""
+
+    def __init__(self, lang: str, block: bytes) -> None:
+        data = np.frombuffer(block, np.uint8)
+        ends = np.append(np.flatnonzero((data == 32) | (data == 10)), len(data))
+        starts = np.append(0, ends[:-1] + 1)
+        real = ends > starts
+        # Whether a piece ends between a word and the one before it.
+        breaks = np.cumsum(np.append(0, data[ends[:-1]] == 10))[real]
+        self.starts, self.ends = starts[real], ends[real]
+        self.piece = breaks
+        self.block = block
+        self.numbers = word_hashes(lang, data, self.starts, self.ends)
+
+    def phrases(self, n: int, at: np.ndarray) -> Iterator[bytes]:
+        """The ``n`` words from each of the given places on."""
+        return map(self.block.__getitem__, map(slice, self.starts[at].tolist(), self.ends[at + n - 1].tolist()))
+
+    def pairs(self) -> np.ndarray:
+        """Whether the next word is of the same piece."""
+        return self.piece[1:] == self.piece[:-1]
+
+
+def word_hashes(lang: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word and the language, never 0; a bounded number of bytes at a time."""
+    lengths = ends - starts
+    after = np.cumsum(lengths)
+    before = after - lengths
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(after, before[at] + HASHED, side="right")))
+        if to == at + 1:
+            for first in range(int(starts[at]), int(ends[at]), HASHED):
+                part = data[first : min(first + HASHED, int(ends[at]))].astype(np.uint64) + np.uint64(1)
+                out[at] += (part * np.resize(WEIGHTS, len(part))).sum(dtype=np.uint64)
+        else:
+            size, offsets = lengths[at:to], before[at:to] - before[at]
+            place = np.arange(int(size.sum())) - np.repeat(offsets, size)
+            part = data[place + np.repeat(starts[at:to], size)].astype(np.uint64) + np.uint64(1)
+            out[at:to] = np.add.reduceat(part * WEIGHTS[place % len(WEIGHTS)], offsets)
+        at = to
+    seed = np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), SEED))
+    out = followed(out ^ seed, lengths.astype(np.uint64))
+    return np.maximum(out, np.uint64(1))
 
 
 def followed(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -116,10 +152,8 @@ def in_set(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 
 
 def bit_set(words: DataFrame) -> np.ndarray:
-    """The bits of ``lang`` and ``phrase``: ``BITS`` / 64 longs at most."""
-    number = F.xxhash64("lang", "phrase")
-    at = F.when(number == 0, 1).otherwise(number).bitwiseAND(F.lit(BITS - 1))
-    bits = words.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
+    """The bits of the column ``number``: ``BITS`` / 64 longs at most."""
+    bits = words.select(F.col("number").bitwiseAND(F.lit(BITS - 1)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
     ).toArrow()
     out = np.zeros(BITS // 64, np.uint64)
@@ -135,51 +169,43 @@ def phrase_hashes(numbers: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def joined(words: list[bytes], n: int, at: np.ndarray) -> Iterator[bytes]:
-    """The ``n`` words from each of the marked places on."""
-    return map(b" ".join, compress(zip(*[words[k:] for k in range(n)]), at[: len(words) - n + 1].tolist()))
-
-
 CELL_COUNTS = pa.schema([("words", pa.int32()), ("chunk", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 CELL_BITS = pa.schema([("words", pa.int32()), ("chunk", pa.int32()), ("often", pa.binary()), ("long", pa.binary())])
 COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
+WORDS = pa.schema([*COUNTS, ("number", pa.int64())])
 SUFFIXES = pa.schema([("group", pa.int64()), ("lang", pa.string()), ("suffix", pa.binary()), ("n", pa.int64())])
 
 
 def _counted(
-    each: Callable[[str, list[bytes]], Iterable[bytes]], send: Callable[[str, Counter], pa.RecordBatch],
+    each: Callable[[str, bytes], Iterable[bytes]], send: Callable[[str, Counter], pa.RecordBatch],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of the phrases that ``each`` finds in the words of a text, sent on whenever many are held."""
+    """Counts of the phrases that ``each`` finds in a block, sent on whenever many are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                rows = batch.slice(at, SLICE_ROWS)
-                for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist()):
-                    counts.setdefault(lang, Counter()).update(each(lang, words_of(text)))
-                if sum(map(len, counts.values())) >= HELD:
-                    yield from (send(lang, held) for lang, held in counts.items())
-                    counts = {}
-        yield from (send(lang, held) for lang, held in counts.items())
+        for lang, block in blocks(batches):
+            counts.setdefault(lang, Counter()).update(each(lang, block))
+            if sum(map(len, counts.values())) >= HELD:
+                yield from (send(lang, held) for lang, held in counts.items() if held)
+                counts = {}
+        yield from (send(lang, held) for lang, held in counts.items() if held)
 
     return run
 
 
-def _as_counts(lang: str, held: Counter) -> pa.RecordBatch:
-    held.pop(END, None)
-    columns = [pa.array([lang] * len(held)), pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, schema=COUNTS)
+def _as_words(lang: str, held: Counter) -> pa.RecordBatch:
+    words = list(held)
+    numbers = Words(lang, b"\n".join(words)).numbers.view(np.int64)
+    columns = [pa.array([lang] * len(words)), pa.array(words, pa.binary()), pa.array(list(held.values()), pa.int64()), pa.array(numbers)]
+    return pa.RecordBatch.from_arrays(columns, schema=WORDS)
 
 
-def _words(lang: str, words: list[bytes]) -> list[bytes]:
-    return words
+def _words(lang: str, block: bytes) -> list[bytes]:
+    return block.split()
 
 
 def _cells(often: np.ndarray, cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """How many phrases of frequent words fall into each cell, in chunks of cells."""
-    hashes = Hashes()
-
     def send(n: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         at, counts = np.unique(np.concatenate(held) & np.uint64(cells - 1), return_counts=True)
         chunk, at = (at // CHUNK).astype(np.int32), (at % CHUNK).astype("<u2")
@@ -194,19 +220,16 @@ def _cells(often: np.ndarray, cells: int) -> Callable[[Iterator[pa.RecordBatch]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {n: [] for n in range(2, DEPTH + 1)}
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                rows = batch.slice(at, SLICE_ROWS)
-                for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist()):
-                    numbers = hashes.of(lang, words_of(text))
-                    run_on = in_set(often, numbers) & (numbers != 0)
-                    for n, phrases in enumerate(phrase_hashes(numbers)[1:], 2):
-                        run_on = run_on[: len(phrases)] & _shifted(numbers, often, n - 1)[: len(phrases)]
-                        held[n].append(phrases[run_on])
-                for n, some in held.items():
-                    if sum(map(len, some)) >= HELD_NUMBERS:
-                        yield from send(n, some)
-                        held[n] = []
+        for lang, block in blocks(batches):
+            words = Words(lang, block)
+            fits, pairs = in_set(often, words.numbers), words.pairs()
+            for n, phrases in enumerate(phrase_hashes(words.numbers)[1:], 2):
+                # Both parts of one word less are in a piece and of frequent words.
+                fits = fits[:-1] & fits[1:] & pairs[: len(phrases)]
+                held[n].append(phrases[fits])
+                if sum(map(len, held[n])) >= HELD_NUMBERS:
+                    yield from send(n, held[n])
+                    held[n] = []
         for n, some in held.items():
             if sum(map(len, some)):
                 yield from send(n, some)
@@ -214,12 +237,6 @@ def _cells(often: np.ndarray, cells: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def _shifted(numbers: np.ndarray, often: np.ndarray, n: int) -> np.ndarray:
-    """Whether the word ``n`` places on is frequent."""
-    later = numbers[n:]
-    return in_set(often, later) & (later != 0)
-
-
 def _merged(least: int, many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Bits of the cells with ``least`` phrases at all, and of those with more than ``many``; rows come by chunk."""
 
@@ -260,40 +277,34 @@ def _cell_bits(read: DataFrame, often: np.ndarray, cells: int, least: int, many:
 
 def _suffixes(often: np.ndarray, candidates: list[np.ndarray]):
     """From every place the longest phrase all of whose parts may be frequent."""
-    hashes = Hashes()
 
-    def each(lang: str, words: list[bytes]) -> Iterator[bytes]:
-        numbers = hashes.of(lang, words)
-        fits = in_set(often, numbers) & (numbers != 0)
+    def each(lang: str, block: bytes) -> Iterator[bytes]:
+        words = Words(lang, block)
+        fits, pairs = in_set(often, words.numbers), words.pairs()
         length = fits.astype(np.int8)
-        for n, (phrases, bits) in enumerate(zip(phrase_hashes(numbers)[1:], candidates), 2):
-            fits = fits[:-1] & fits[1:] & in_set(bits, phrases)  # both parts of one word less
+        for n, (phrases, bits) in enumerate(zip(phrase_hashes(words.numbers)[1:], candidates), 2):
+            fits = fits[:-1] & fits[1:] & pairs[: len(phrases)] & in_set(bits, phrases)
             length[: len(fits)][fits] = n
-            if not fits.any():
-                break
-        return chain.from_iterable(joined(words, n, length == n) for n in range(2, min(DEPTH, len(words)) + 1))
+        return chain.from_iterable(words.phrases(n, np.flatnonzero(length == n)) for n in range(2, DEPTH + 1))
 
     return each
 
 
 def _as_suffixes(long: list[np.ndarray], groups: int) -> Callable[[str, Counter], pa.RecordBatch]:
     """``long`` has the bits of the prefixes of one word and more that are extended."""
-    hashes = Hashes()
-
-    def grouped(suffixes: list[bytes], lang: str) -> np.ndarray:
-        words = [(*suffix.split(b" "), END, END)[:DEPTH] for suffix in suffixes]
-        prefix = hashes.of(lang, [w[0] for w in words])
-        open_ = np.ones(len(words), bool)
-        for n in range(1, DEPTH):
-            following = hashes.of(lang, [w[n] for w in words])
-            open_ &= in_set(long[n - 1], prefix) & (following != 0)
-            prefix = np.where(open_, followed(prefix, following), prefix)
-        return (prefix % np.uint64(groups)).astype(np.int64)
 
     def send(lang: str, held: Counter) -> pa.RecordBatch:
         suffixes = list(held)
+        words = Words(lang, b"\n".join(suffixes))
+        first = np.flatnonzero(np.append(True, ~words.pairs()))
+        prefix, open_ = words.numbers[first], np.ones(len(first), bool)
+        for n, phrases in enumerate(phrase_hashes(words.numbers)[1:], 1):
+            at = np.minimum(first, len(phrases) - 1)
+            more = np.append(first[1:], len(words.numbers)) - first > n
+            open_ &= in_set(long[n - 1], prefix) & more
+            prefix = np.where(open_, phrases[at], prefix) if len(phrases) else prefix
         return pa.RecordBatch.from_arrays([
-            pa.array(grouped(suffixes, lang)), pa.array([lang] * len(held)), pa.array(suffixes, pa.binary()),
+            pa.array((prefix % np.uint64(groups)).astype(np.int64)), pa.array([lang] * len(held)), pa.array(suffixes, pa.binary()),
             pa.array(list(held.values()), pa.int64()),
         ], schema=SUFFIXES)
 
@@ -335,7 +346,7 @@ def phrase_counts(
     read = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit(UNKNOWN)).alias("lang"), F.col(f"`{text}`").alias("text"))
     counted = "lang string, phrase binary, n long"
     words = materialize(
-        read.mapInArrow(_counted(_words, _as_counts), counted).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        read.mapInArrow(_counted(_words, _as_words), f"{counted}, number long").groupBy("lang", "phrase", "number").agg(F.sum("n").alias("n"))
     )
     frequent = words.filter(F.col("n") >= least)
     often = bit_set(frequent)
@@ -350,7 +361,7 @@ def phrase_counts(
     )
     nodes = suffixes.groupBy("group").applyInArrow(lambda rows: subtree(rows.select(["lang", "suffix", "n"])), counted)
     phrases = nodes.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    named = words.unionByName(phrases).withColumn("phrase", F.col("phrase").cast("string"))
+    named = words.drop("number").unionByName(phrases).withColumn("phrase", F.col("phrase").cast("string"))
     return named.select("lang", "phrase", (F.size(F.split("phrase", " "))).alias("words"), F.col("n").alias("f"))
 
 

@@ -155,7 +155,8 @@ def test_collocations(spark, monkeypatch, budget):
     """Also where most beginnings are extended, and tasks send on what they hold again and again."""
     if budget < 4000:
         monkeypatch.setattr(collocations, "HELD", 50)
-        monkeypatch.setattr(collocations, "REMEMBERED", 7)
+        monkeypatch.setattr(collocations, "BLOCK", 300)
+        monkeypatch.setattr(collocations, "HASHED", 4096)
         monkeypatch.setattr(collocations, "HELD_NUMBERS", 100)
     rows = made_texts()
     docs = spark.createDataFrame([(g, t, "p") for g, t in rows], "lang string, text string, phrase string").repartition(5)
