@@ -148,6 +148,31 @@ def fill_median_train(spark, d):
     return fill.fill_column_median(rows, ["v"], fit_on=train, scale=2).drop("o_orderdate")
 
 
+PICKED = "(list_sort(list({c}))[(count({c}) + 1) // 2] + list_sort(list({c}))[count({c}) // 2 + 1]) / 2"
+
+
+@query(
+    "median_selection",
+    f"""WITH l AS (SELECT line_group, l_extendedprice * (1 - l_discount) AS net,
+        CASE WHEN l_linenumber % 2 = 0 THEN (l_tax - l_discount) / l_quantity END AS rate
+        FROM (SELECT *, l_returnflag || l_linestatus AS line_group FROM lineitem))
+    SELECT line_group, {PICKED.format(c="net")} AS net, {PICKED.format(c="rate")} AS rate FROM l GROUP BY 1
+    UNION ALL SELECT 'all', {PICKED.format(c="net")}, {PICKED.format(c="rate")} FROM l""",
+)
+def median_selection(spark, d):
+    odd = F.lit(None).cast("double")
+    # Every second rate is missing, as null or as NaN.
+    rows = table(spark, d, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("line_group"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"),
+        F.when(F.col("l_linenumber") % 2 == 0, (F.col("l_tax") - F.col("l_discount")) / F.col("l_quantity"))
+        .when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(odd).alias("rate"),
+    )
+    columns = ["net", "rate"]
+    whole = fill.column_medians(rows, columns).select(F.lit("all").alias("line_group"), *columns)
+    return fill.large_group_medians(rows, "line_group", columns).unionByName(whole)
+
+
 @query(
     "fill_group_median",
     GAPS + f"""SELECT o_orderkey, o_custkey, coalesce(v, median({V}) OVER (PARTITION BY o_custkey) / 100, 0) AS v,

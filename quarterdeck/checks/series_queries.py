@@ -171,6 +171,22 @@ def asof_backward(spark, d):
     return asof.asof_calendar(lines, "l_shipdate", macro(spark, d).select("date", *columns), "date", columns)
 
 
+@query(
+    "asof_intraday",
+    """SELECT e.event_id, e.ts, e.user_id, s.event_id AS signup_id, s.value AS signup_value FROM events e
+    ASOF LEFT JOIN (SELECT ts, event_id, value FROM events WHERE event_type = 'signup'
+                    QUALIFY row_number() OVER (PARTITION BY ts ORDER BY event_id DESC) = 1) s ON e.ts >= s.ts""",
+)
+def asof_intraday(spark, d):
+    events = table(spark, d, "events")
+    signups = events.filter("event_type = 'signup'").select(
+        F.col("ts").alias("signup_ts"), F.col("event_id").alias("signup_id"), F.col("value").alias("signup_value")
+    )
+    return asof.asof_timeline(
+        events.select("event_id", "ts", "user_id"), "ts", signups, "signup_ts", ["signup_id", "signup_value"], tie=["signup_id"]
+    )
+
+
 @query(
     "asof_keyed",
     """WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'),

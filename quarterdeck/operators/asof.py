@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarterdeck.functions.keys import day_start
+from quarterdeck.operators.ranges import CELL, carried, in_cells
 from quarterdeck.operators.rows import known, order_key
 from quarterdeck.operators.skew import HOT_ROWS, hot_groups
 
@@ -29,7 +30,8 @@ def asof_calendar(
     unfolded so that every calendar day up to the last one has the row then in
     force. That table has one row per day at most, so it is broadcast and the
     left side is neither shuffled nor sorted. Left rows beyond the last day
-    look up that day; those without a date find nothing.
+    look up that day; those without a date find nothing. A right row counts for
+    its whole day; where its time of day matters, use ``asof_timeline``.
     """
     newest = order_key([right_ts, *tie])
     daily = (
@@ -47,6 +49,38 @@ def asof_calendar(
     return keyed.join(F.broadcast(in_force), "_at", "left").drop("_at")
 
 
+def asof_timeline(
+    left: DataFrame,
+    left_ts: str,
+    right: DataFrame,
+    right_ts: str,
+    columns: Sequence[str],
+    tie: Sequence[str] = (),
+) -> DataFrame:
+    """As-of join without entity keys, exact to the instant, both sides of any size.
+
+    Both sides are first reduced to a row per instant: the right side to the row with the highest ``tie``
+    among those without a null in ``columns``, the left side to the instants it asks for. That timeline is cut
+    into cells of about equal size, a window looks back inside each, and an instant with nothing before it in
+    its cell takes what the earlier cells closed with. The left side then looks up its instants with an
+    equi-join, which Spark splits where one instant has very many rows. No calendar is unfolded and nothing is broadcast by a hint.
+
+    A right row at the same instant counts. Left rows without a time, or before the first right row, find nothing.
+    """
+    usable = known(right, [right_ts, *columns])
+    best = F.max(F.struct(*[F.struct(*tie).alias("tie")] if tie else [], F.struct(*columns).alias("match")))
+    # Of equal ties the greatest values win, so that the result does not depend on the order of rows.
+    matches = usable.groupBy(F.col(right_ts).alias("_t")).agg(best["match"].alias("_match"))
+    asked = known(left, [left_ts]).select(F.col(left_ts).alias("_t")).distinct()
+    instants = matches.unionByName(asked, allowMissingColumns=True).groupBy("_t").agg(F.max("_match").alias("_match"))
+    cells = in_cells(instants, ["_t"])
+    so_far = W.partitionBy(CELL).orderBy("_t").rowsBetween(W.unboundedPreceding, 0)
+    opening = carried(cells, "_match", F.col("_t"), "_opening")
+    found = cells.withColumn("_found", F.last("_match", ignorenulls=True).over(so_far)).join(opening, CELL)
+    found = found.select(F.col("_t").alias("_at"), F.coalesce("_found", "_opening").alias("_found"))
+    return left.join(found, F.col(left_ts) == F.col("_at"), "left").select(*[left[c] for c in left.columns], "_found.*")
+
+
 def _latest_match(rows: DataFrame, matches: DataFrame, within: Sequence[str]) -> DataFrame:
     """For each left row the latest right row at or before it inside the given partition."""
     both = rows.withColumn("_side", F.lit(1)).unionByName(
