@@ -10,12 +10,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
-    """CSV with a header, quotes doubled inside quoted text, read with a declared schema.
+def raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """CSV files with a header each as text columns, found by name whatever their order in a file.
 
-    Columns are found by name; quoted text may hold line feeds, and a value that does not convert raises."""
+    Files whose headers differ are read apart, a group for each header, and stacked by name; a column that some
+    files lack is null there. A header is read per file where there are several, in one small job each. Text in
+    quotes may hold line feeds, for which a file is read by one task; with ``multi_line`` False, for files that are
+    known to hold none, large files are split.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+
+    def read(some: list[str]) -> DataFrame:
+        # Not enforced, so that a header that does not fit raises.
+        return spark.read.csv(some, header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=False)
+
+    files = [r["path"] for r in spark.read.format("binaryFile").load(paths).select("path").collect()]
+    if len(files) < 2:
+        return read(paths)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(files):
+        groups.setdefault(tuple(read([file]).columns), []).append(file)
+    named = [read(some) for header, some in groups.items() if header]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named) if named else read(paths)
+
+
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: StructType | str, multi_line: bool = True,
+) -> DataFrame:
+    """CSV with a header, quotes doubled inside quoted text, read with a declared schema; files as in ``raw_csv``.
+
+    A value that does not convert raises."""
     wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    raw = raw_csv(spark, path, multi_line)
     return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted.fields])
 
 

@@ -21,7 +21,7 @@ from quarterdeck.functions.fixed_values import (
     TARGETS,
 )
 from quarterdeck.functions.keys import parse_ts, parse_ts_lenient
-from quarterdeck.sources.files import union_tagged
+from quarterdeck.sources.files import raw_csv, union_tagged
 
 PRICE_TYPES = dict.fromkeys(["Open", "High", "Low", "Close", "Volume"], "double")
 RATIO_TYPES = dict.fromkeys(RATIO_COLUMNS, "double")
@@ -50,7 +50,7 @@ def read_named(
 
     A written-out NaN counts as missing.
     """
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    raw = raw_csv(spark, path)
     typed = {c: F.nullif(F.col(c), F.lit("NaN")).cast(t) for c, t in types.items() if c in raw.columns}
     parsed = {c: parse(F.col(c)) for c, parse in (stamps or {}).items() if c in raw.columns}
     return raw.withColumns({**typed, **parsed})

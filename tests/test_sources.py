@@ -110,3 +110,18 @@ def test_filing_features(spark):
     assert got == {"DLR": (2, 2, 2, 0, 1), "AMT": (0, 0, 0, 0, 0)}
     subs = [tuple(r) for r in filings.subsidiaries(df).orderBy("entity_name").collect()]
     assert subs == [("DLR", "Unit One", "Texas", True), ("DLR", "Unit Two", "Ireland", False)]
+
+
+def test_csv_files_of_other_column_orders(spark, tmp_path):
+    for name, text in (("1", "a,b\n1,2\n3,\"x\ny\"\n"), ("2", "b,a\n20,10\n"), ("3", "a,c\n7,8\n"), ("4", "a,b\n5,6\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    expected = [("1", "2"), ("10", "20"), ("3", "x\ny"), ("5", "6"), ("7", None)]
+    for path in (str(tmp_path), [str(tmp_path / f"{n}.csv") for n in "4213"]):
+        assert sorted((r["a"], r["b"]) for r in files.read_csv(spark, path, "a string, b string").collect()) == expected
+
+
+def test_large_csv_files_are_split_without_line_feeds(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n" + "".join(f"{i},{'x' * 90}\n" for i in range(120_000)))
+    whole, split = (files.read_csv(spark, str(tmp_path), "a long, b string", multi_line=m) for m in (True, False))
+    assert whole.rdd.getNumPartitions() == 1 < split.rdd.getNumPartitions()
+    assert split.selectExpr("sum(a)", "count(*)").first() == whole.selectExpr("sum(a)", "count(*)").first()
