@@ -22,6 +22,45 @@ def scan_csv(spark, d):
     return files.read_csv(spark, paths["customer"], source.schema)
 
 
+@query(
+    "sink_readback",
+    """SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, 'csv' AS fmt FROM customer
+       UNION ALL SELECT s_suppkey, s_name, s_acctbal, 'parquet' FROM supplier""",
+)
+def sink_readback(spark, d):
+    """Two tables written with their manifests, and read back against them."""
+    base = shared_dir(spark)
+    customers = table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS name", "c_acctbal AS balance")
+    suppliers = table(spark, d, "supplier").selectExpr("s_suppkey AS id", "s_name AS name", "s_acctbal AS balance")
+    paths = [
+        files.save_tables(customers, "customers", base=base)["customers"],
+        files.save_tables(suppliers, "suppliers", base=base, fmt="parquet")["suppliers"],
+    ]
+    csv, parquet = (files.read_saved(spark, p) for p in paths)
+    return csv.withColumn("fmt", F.lit("csv")).unionByName(parquet.withColumn("fmt", F.lit("parquet")))
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query(
+    "tagged_files",
+    f"""SELECT c_mktsegment AS segment, c_custkey, c_name, c_acctbal FROM customer
+    WHERE c_mktsegment IN ({", ".join(f"'{s}'" for s in SEGMENTS)})""",
+)
+def tagged_files(spark, d):
+    """A folder of CSV files per segment, half of them with the columns in another order, as one table."""
+    base, rows = shared_dir(spark), table(spark, d, "customer")
+    columns = ["c_custkey", "c_name", "c_acctbal"]
+    parts = [
+        rows.filter(F.col("c_mktsegment") == s).select(*(columns if i % 2 else columns[::-1]))
+        for i, s in enumerate(SEGMENTS)
+    ]
+    paths = files.save_tables(parts, SEGMENTS, "segments", base)
+    read = files.raw_csv_tagged(spark, paths, "segment")
+    return read.select("segment", F.col("c_custkey").cast(rows.schema["c_custkey"].dataType), "c_name", F.col("c_acctbal").cast("double"))
+
+
 @query(
     "union_tagged",
     """SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, 'customer' AS source,

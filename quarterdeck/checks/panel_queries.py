@@ -16,6 +16,7 @@ from quarterdeck.checks.views import (
     queue,
     ratios,
     table,
+    total,
     traded,
     units,
     with_views,
@@ -141,6 +142,19 @@ def labels_agg(spark, d):
     return joins.label_rows(events, KEYS, "total", ORDER, "promise_kept", "promised_mw", scale=2)
 
 
+@query(
+    "labels_pending",
+    with_views("promises", "events_q")
+    + f"""SELECT ticker, quarter, arg_min(promise_kept, (announcement_date, promise_id))
+    FILTER (WHERE promise_kept IS NOT NULL) AS promise_kept, {total('promised_mw')} AS promised_mw
+    FROM events_q WHERE ticker IS NOT NULL AND quarter IS NOT NULL GROUP BY ALL""",
+)
+def labels_pending(spark, d):
+    """Amounts of promises that are still open count as well."""
+    events = promise_events(promises(spark, d), promise_ticker())
+    return joins.label_rows(events, KEYS, "total", ORDER, "promise_kept", "promised_mw", scale=2, pending=True)
+
+
 @query(
     "labeled_only",
     with_views("prices", "spine", "promises", "events_q", "labels_total")

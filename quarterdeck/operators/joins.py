@@ -71,13 +71,15 @@ def label_rows(
     amount: str,
     firsts: Sequence[str] = (),
     scale: int | None = None,
+    pending: bool = False,
 ) -> DataFrame:
     """Reduce label events to what one panel key receives.
 
     ``fanout`` keeps every event, so a key with two events gets two panel rows.
     ``first`` keeps the first event. ``total`` takes the events whose flag is
     known, with the first flag, the sum of the amounts and the first of any
-    further columns.
+    further columns. With ``pending`` it takes the other events too: their amounts
+    count, and the flag is null only where none is known.
     """
     usable = known(labels, keys)
     wanted = [*keys, flag, amount, *firsts]
@@ -88,7 +90,7 @@ def label_rows(
         row = F.struct(flag, amount, *firsts)
         return usable.groupBy(*keys).agg(F.min_by(row, at).alias("_row")).select(*keys, "_row.*")
     if policy == "total":
-        return known(usable, [flag]).groupBy(*keys).agg(
+        return (usable if pending else known(usable, [flag])).groupBy(*keys).agg(
             *[
                 F.min_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c)
                 for c in (flag, *firsts)

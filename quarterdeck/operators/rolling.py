@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quarterdeck.functions.exact import WIDE, fixed, spread
 from quarterdeck.functions.keys import day_start
 from quarterdeck.operators.rows import known, order_key
-from quarterdeck.operators.skew import BLOCK, HOT_ROWS, drop_halo, hot_groups, split_series
+from quarterdeck.operators.skew import BLOCK, HOT_ROWS, drop_halo, has_key, hot_groups, of_series, split_series
 
 
 def _square(units: Column) -> Column:
@@ -79,7 +79,7 @@ def indicators(
     sample deviation (null below two values), ``momentum_<n>d`` change against
     n rows earlier, ``rsi_<n>`` relative strength from plain means of gains and
     losses, ``volume_ratio_<n>`` volume against its own mean. Frames count rows,
-    nulls included; means skip nulls. A division by zero gives null.
+    nulls included; means skip nulls. A division by zero gives null. Rows without an entity stay, with nulls.
 
     Prices are taken as they are. With ``scale`` they count as numbers of so many
     decimals (volumes of ``volume_scale``), sums are exact and the same on every run,
@@ -92,7 +92,7 @@ def indicators(
     series = W.partitionBy(entity, BLOCK).orderBy(*order)
     if scale is None:
         own = _as_they_are(blocks, series, price, volume, sma, volatility, momentum, rsi, volume_ratio)
-        return drop_halo(own[0]).select(*df.columns, *own[1])
+        return drop_halo(own[0].withColumns(of_series([entity], {c: F.col(c) for c in own[1]}))).select(*df.columns, *own[1])
     running = series.rowsBetween(W.unboundedPreceding, W.currentRow)
 
     work = blocks.withColumn("_p", fixed(F.col(price), scale))
@@ -154,7 +154,7 @@ def indicators(
     for n in volume_ratio:
         mean = F.col(f"_vs{n}").cast("double") / F.nullif(F.col(f"_vn{n}").cast("double"), F.lit(0.0))
         out[f"volume_ratio_{n}"] = F.col("_v").cast("double") / F.nullif(mean, F.lit(0.0))
-    work = work.withColumns(out)
+    work = work.withColumns(of_series([entity], out))
     return drop_halo(work).select(*df.columns, *out)
 
 
@@ -173,7 +173,7 @@ def trailing_rank(
     frame = W.partitionBy(entity, BLOCK).orderBy(*order).rowsBetween(-(n - 1), 0)
     work = blocks.withColumns({"_lo": F.min(value).over(frame), "_hi": F.max(value).over(frame)})
     place = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    return drop_halo(work.withColumn(out, place)).select(*df.columns, out)
+    return drop_halo(work.withColumns(of_series([entity], {out: place}))).select(*df.columns, out)
 
 
 def quarter_to_date_return(
@@ -189,12 +189,13 @@ def quarter_to_date_return(
 
     One window per entity and quarter. Quarters with more than ``hot_rows`` rows
     are not gathered: their first prices come from an aggregate, which combines
-    before its shuffle, and are broadcast back.
+    before its shuffle, and are broadcast back. Rows without an entity or quarter stay, with a null.
     """
     keys = [entity, "_q"]
-    work = known(df.withColumn("_q", quarter), keys)
-    hot = F.broadcast(hot_groups(work.select(*keys), keys, hot_rows))
-    in_order = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    work = df.withColumn("_q", quarter)
+    hot = F.broadcast(hot_groups(known(work.select(*keys), keys), keys, hot_rows))
+    work = work.withColumn("_apart", F.when(~has_key(keys), F.xxhash64(*order)))
+    in_order = W.partitionBy(*keys, "_apart").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     ordinary = work.join(hot, keys, "left_anti").withColumn("_first", F.first(price).over(in_order))
     large = work.join(hot, keys, "left_semi")
     # One row per hot group, as few as the groups broadcast above.
@@ -202,7 +203,7 @@ def quarter_to_date_return(
     large = large.join(F.broadcast(firsts), keys)
     change = F.col(price) / F.nullif(F.col("_first"), F.lit(0.0)) - F.lit(1.0)
     both = ordinary.unionByName(large.select(*ordinary.columns))
-    return both.withColumn(out, change).select(*df.columns, out)
+    return both.withColumns(of_series(keys, {out: change})).select(*df.columns, out)
 
 
 def change_over(df: DataFrame, keys: list[str], period: str, value: str, lag: int, out: str) -> DataFrame:

@@ -8,6 +8,8 @@ blocks of whole days, each carrying the earlier rows its windows look back on.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +32,15 @@ def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Data
     return sizes.filter(F.col("_rows") > F.lit(hot_rows)).select(*keys)
 
 
+def has_key(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
+def of_series(keys: list[str], columns: dict[str, Column]) -> dict[str, Column]:
+    """Columns that are null on rows without a key."""
+    return {name: F.when(has_key(keys), c) for name, c in columns.items()}
+
+
 def _day_blocks(hot_rows_df: DataFrame, keys: list[str], lookback: int, hot_rows: int) -> DataFrame:
     """For every (entity, day): the block it belongs to and the blocks that need a copy.
 
@@ -71,10 +82,11 @@ def split_series(
     entities are dealt out to blocks of about ``hot_rows`` rows; a row a later
     block looks back on appears there again with ``_halo`` set, to be dropped
     after the windows. ``day`` is a non-decreasing function of the series order.
+    Rows without a key form no series; they stay, dealt out by day however many there are.
     """
-    df = known(df, keys)
-    hot = F.broadcast(hot_groups(df, keys, hot_rows))
-    ordinary = df.join(hot, keys, "left_anti").withColumns({BLOCK: F.lit(0).cast("long"), HALO: F.lit(False)})
+    hot = F.broadcast(hot_groups(known(df, keys), keys, hot_rows))
+    block = F.when(has_key(keys), F.lit(0).cast("long")).otherwise(F.xxhash64(day))
+    ordinary = df.join(hot, keys, "left_anti").withColumns({BLOCK: block, HALO: F.lit(False)})
     large = df.join(hot, keys, "left_semi").withColumn("_day", day)
     blocks = _day_blocks(large, keys, lookback, hot_rows)
     dealt = (

@@ -54,11 +54,12 @@ def quarterly_panel(
     label_order: Sequence[str] = ("announcement_date",),
     zero_fill: bool = False,
     scale: int | None = None,
+    pending: bool = False,
 ) -> DataFrame:
     """Every company beside every quarter, with price, ratio, macro and queue features and labels.
 
     ``policy`` says what several promises of one company and quarter become
-    (see ``label_rows``). Queue columns are 0 without a project; ``zero_fill``
+    (see ``label_rows``, also for ``pending``). Queue columns are 0 without a project; ``zero_fill``
     also zeroes every other missing number except the label. ``scale`` declares
     the decimals of prices, rates and amounts, volumes being whole; sums are then exact.
     """
@@ -73,7 +74,7 @@ def quarterly_panel(
 
     labels = label_rows(
         promise_events(promises, ticker), ["ticker", "quarter"], policy, label_order, "promise_kept", "promised_mw",
-        scale=scale,
+        scale=scale, pending=pending,
     )
 
     # Both joins on company and quarter come first: they share one partitioning.

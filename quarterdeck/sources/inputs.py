@@ -20,8 +20,8 @@ from quarterdeck.functions.fixed_values import (
     RECOMMENDATIONS,
     TARGETS,
 )
-from quarterdeck.functions.keys import parse_ts, parse_ts_lenient
-from quarterdeck.sources.files import raw_csv, union_tagged
+from quarterdeck.functions.keys import parse_ts, parse_ts_lenient, recode
+from quarterdeck.sources.files import raw_csv, raw_csv_tagged
 
 PRICE_TYPES = dict.fromkeys(["Open", "High", "Low", "Close", "Volume"], "double")
 RATIO_TYPES = dict.fromkeys(RATIO_COLUMNS, "double")
@@ -50,7 +50,12 @@ def read_named(
 
     A written-out NaN counts as missing.
     """
-    raw = raw_csv(spark, path)
+    return _typed(raw_csv(spark, path), types, stamps)
+
+
+def _typed(
+    raw: DataFrame, types: Mapping[str, str], stamps: Mapping[str, Callable[[Column], Column]] | None = None
+) -> DataFrame:
     typed = {c: F.nullif(F.col(c), F.lit("NaN")).cast(t) for c, t in types.items() if c in raw.columns}
     parsed = {c: parse(F.col(c)) for c, parse in (stamps or {}).items() if c in raw.columns}
     return raw.withColumns({**typed, **parsed})
@@ -61,9 +66,10 @@ def prices(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def prices_by_ticker(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """Price files landed one per ticker, stacked and marked with ticker and company name."""
-    frames = {ticker: prices(spark, path) for ticker, path in paths.items()}
-    return union_tagged(frames, "ticker", company_name=COMPANIES)
+    """Price files landed one per ticker, stacked and marked with ticker and company name; one scan for all."""
+    stacked = _typed(raw_csv_tagged(spark, paths, "ticker"), PRICE_TYPES, {"Date": parse_ts})
+    named = recode(F.col("ticker"), COMPANIES)
+    return stacked.withColumn("company_name", named)
 
 
 def ratios(spark: SparkSession, path: str | list[str]) -> DataFrame:

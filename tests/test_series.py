@@ -212,3 +212,21 @@ def test_dense_panel(spark, rows):
         ("a", 1), ("b", None),
     ]
     assert spine.dense_panel_fixed(df, ["x", "y"], "k", F.col("q")).count() == 6
+
+
+def test_rows_without_an_entity_stay(spark):
+    from quarterdeck.operators import rolling
+
+    df = spark.createDataFrame(
+        [("a", 1, 1.0), (None, 1, 5.0), (None, 2, 7.0), ("a", 2, 3.0)], "k string, d int, p double"
+    ).selectExpr("k", "timestamp_seconds(d * 86400) AS t", "p")
+    for scale in (None, 2):
+        for hot in (1, 1000):
+            out = rolling.indicators(df, "k", ["t"], "p", sma=(2,), momentum=(1,), rsi=(2,), scale=scale, hot_rows=hot)
+            got = sorted((r["p"], r["sma_2"], r["momentum_1d"]) for r in out.collect() if r["k"])
+            assert got == [(1.0, 1.0, None), (3.0, 2.0, 2.0)]
+            assert sorted((r["p"], r["sma_2"], r["rsi_2"]) for r in out.collect() if not r["k"]) == [(5.0, None, None), (7.0, None, None)]
+    ranked = rolling.trailing_rank(df, "k", ["t"], "p", 2).collect()
+    assert sorted((r["p"], r["trailing_rank"]) for r in ranked) == [(1.0, None), (3.0, 1.0), (5.0, None), (7.0, None)]
+    since = rolling.quarter_to_date_return(df, "k", ["t"], "p", F.quarter("t")).collect()
+    assert sorted((r["p"], r["qtd_return"]) for r in since) == [(1.0, 0.0), (3.0, 2.0), (5.0, None), (7.0, None)]

@@ -125,3 +125,58 @@ def test_large_csv_files_are_split_without_line_feeds(spark, tmp_path):
     whole, split = (files.read_csv(spark, str(tmp_path), "a long, b string", multi_line=m) for m in (True, False))
     assert whole.rdd.getNumPartitions() == 1 < split.rdd.getNumPartitions()
     assert split.selectExpr("sum(a)", "count(*)").first() == whole.selectExpr("sum(a)", "count(*)").first()
+
+
+def test_saved_tables_are_checked(spark, rows):
+    df = spark.createDataFrame([(1, "a", None), (2, None, 0.1), (2, "", 0.1)], "id long, name string, x double")
+    base = shared_dir(spark)
+    csv, parquet = (files.save_tables(df, f, base=base, fmt=f)[f] for f in ("csv", "parquet"))
+    assert rows(files.read_saved(spark, csv)) == rows(files.read_saved(spark, parquet)) == rows(df)
+    empty = files.save_tables(df.filter("id > 5"), "empty", base=base)["empty"]
+    assert files.read_saved(spark, empty).count() == 0
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        files.save_tables(df, "csv", base=base)
+    files.save_tables(df.limit(1), "csv", base=base, overwrite=True)
+    assert files.read_saved(spark, csv).count() == 1
+
+
+def test_changed_tables_are_noticed(spark):
+    base = shared_dir(spark)
+    df = spark.range(4).withColumn("x", F.when(F.col("id") > 0, F.col("id")))
+    path = files.save_tables(df, "t", base=base, fmt="parquet")["t"]
+    spark.range(1).selectExpr("id", "id AS x").write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="wrote 4 rows, read 5"):
+        files.read_saved(spark, path)
+    path = files.save_tables(df, "u", base=base)["u"]
+    # A null moved into the other column.
+    df.select(F.col("x").alias("id"), F.col("id").alias("x")).write.mode("append").csv(f"{path}/more", header=True)
+    other = files.save_tables(df.selectExpr("x AS id", "id AS x"), "v", base=base)["v"]
+    manifests = [spark.read.text(f"{p}/{files.MANIFEST}").first()["value"].split("content")[1] for p in (path, other)]
+    assert manifests[0] != manifests[1]
+
+
+def test_a_plan_is_written_in_one_run(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(0, 50, 1, 2).mapInArrow(count, "id long")
+    files.save_tables(df, "once", base=shared_dir(spark), fmt="parquet")
+    assert runs.value == 50
+
+
+def test_tagged_files_are_one_scan(spark, tmp_path):
+    paths = {}
+    for i in range(12):
+        (tmp_path / f"p {i}").mkdir()
+        for part in range(2):
+            (tmp_path / f"p {i}" / f"{part}.csv").write_text(f"a,b\n{i},{part}\n")
+        paths[f"K{i}"] = str(tmp_path / f"p {i}")
+    df = files.raw_csv_tagged(spark, paths, "k")
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+    assert sorted((r["k"], r["a"], r["b"]) for r in df.collect()) == sorted((f"K{i}", str(i), str(p)) for i in range(12) for p in range(2))
+    with pytest.raises(ValueError, match="named for"):
+        files.raw_csv_tagged(spark, {"x": paths["K0"], "y": paths["K0"]}, "k")
