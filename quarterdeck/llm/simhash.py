@@ -303,9 +303,19 @@ def first_of_groups(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id",
     """Of each group (``doc_id``, ``text_hash``, ``root``) the row with the smallest id, rows without one last."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best")
     kept = materialize(groups.groupBy("root").agg(best).select("best.doc_id", "best.text_hash").distinct())
+    repeated = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1")
+    repeated = materialize(repeated.select("doc_id", "text_hash"))
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+
     rows = boxed(docs, doc_id=doc_id, text=text).select("doc", "doc_id", F.xxhash64("text").alias("text_hash"))
-    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_hash"] == kept["text_hash"])
-    staying = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    single = kept.join(repeated, same(kept, repeated), "left_anti")
+    several = materialize(kept.join(repeated, same(kept, repeated), "left_semi"))
+    # Only rows that occur repeatedly have to meet; where there are none, the second part falls away.
+    once = rows.join(single, same(rows, single), "left_semi")
+    again = rows.join(several, same(rows, several), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    staying = once.unionByName(again)
     return unboxed(staying, docs.columns)
 
 
