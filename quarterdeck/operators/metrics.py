@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarterdeck.functions.exact import ratio
+from quarterdeck.operators.ranges import CELL, in_cells, totals_before
 
 
 def _f1(precision: Column, recall: Column) -> Column:
@@ -77,29 +77,21 @@ def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def roc_auc(df: DataFrame, label: str, score: str, cells: int = 1024) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, cells: int | None = None) -> DataFrame:
     """Area under the ROC curve, ties counted half; null unless both classes occur.
 
-    Rows are first reduced to counts per distinct score. Those are put into
-    order-preserving cells by approximate quantiles, so that the running count
-    of lower-scored negatives is a sum over at most ``cells`` cell totals plus a
-    window inside each cell, never a sort of everything in one task.
+    Rows are first reduced to counts per distinct score, and those dealt out to ranges of scores, so that the
+    running count of lower-scored negatives is a sum over one total per range plus a window inside each. ``cells`` is the number of ranges, by
+    default that of the shuffle partitions.
     """
     scored = df.select(F.col(score).cast("double").alias("_score"), F.col(label).alias("_y")).dropna()
     ties = scored.groupBy("_score").agg(
         F.count_if(F.col("_y") == 1).alias("_pos"), F.count_if(F.col("_y") != 1).alias("_neg")
     )
-    steps = [i / cells for i in range(1, cells)]
-    bounds = sorted(set(scored.approxQuantile("_score", steps, 1.0 / (8 * cells)))) or [0.0]
-    splits = [float("-inf"), *bounds, float("inf")]
-    binned = Bucketizer(splits=splits, inputCol="_score", outputCol="_cell").transform(ties)
-    totals = binned.groupBy("_cell").agg(F.sum("_neg").alias("_n"))
-    lower = W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("_cell", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_offset"))
-    inside = W.partitionBy("_cell").orderBy("_score").rowsBetween(W.unboundedPreceding, -1)
-    # One row per cell.
-    ranked = binned.join(F.broadcast(offsets), "_cell").withColumn(
-        "_below", F.col("_offset") + F.coalesce(F.sum("_neg").over(inside), F.lit(0))
+    ranged = in_cells(ties, ["_score"], cells)
+    inside = W.partitionBy(CELL).orderBy("_score").rowsBetween(W.unboundedPreceding, -1)
+    ranked = ranged.join(totals_before(ranged, F.col("_neg")), CELL).withColumn(
+        "_below", F.col("_before") + F.coalesce(F.sum("_neg").over(inside), F.lit(0))
     )
     wins = F.col("_pos").cast("decimal(19,0)") * (F.lit(2) * F.col("_below") + F.col("_neg")).cast("decimal(19,0)")
     sums = ranked.agg(

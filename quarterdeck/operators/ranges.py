@@ -17,12 +17,15 @@ from quarterdeck.session import materialize
 CELL = "_cell"
 
 
-def in_cells(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+def in_cells(df: DataFrame, order: Sequence[str | Column], cells: int | None = None) -> DataFrame:
     """The rows with the number of their cell, which grows with the order; rows of equal order share a cell.
 
+    ``cells`` is how many there are at most, by default the number of shuffle partitions.
+
     The table is written, so that the cells stay as they are however often it is read or a task is tried again.
     """
-    return materialize(df.repartitionByRange(*order).withColumn(CELL, F.spark_partition_id()))
+    ranged = df.repartitionByRange(*order) if cells is None else df.repartitionByRange(cells, *order)
+    return materialize(ranged.withColumn(CELL, F.spark_partition_id()))
 
 
 def carried(cells: DataFrame, value: str, order: Column, out: str = "_carried") -> DataFrame:

@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarterdeck.functions.exact import exact_mean, exact_std_pop
+from quarterdeck.operators.ranges import rank_rows
+from quarterdeck.operators.rows import known
 
 PREFIX = 4  # hex digits of the hash, 65,536 cells per class
 
 
 def stratified_split(
-    df: DataFrame, label: str, key: str, test_percent: int = 20, seed: int = 42, out: str = "is_test"
+    df: DataFrame, label: str, key: str, test_percent: int = 20, seed: int = 42, out: str = "is_test",
+    at_least_one: bool = False,
 ) -> DataFrame:
     """Mark ``test_percent`` of every class, rounded down, as test rows. ``key`` must be unique.
 
+    With ``at_least_one`` every class of two rows or more has a test row, however small the share.
+
     Rows are ranked within their class by a hash of ``key``, so the split does
     not depend on partitioning. No class is sorted: counts per hash prefix show
     in which cell the cut falls, only the rows of that cell are ranked to get
@@ -31,12 +35,16 @@ def stratified_split(
     )
     of_class = W.partitionBy(label)
     upward = of_class.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+    size = F.sum("_n").over(of_class)
+    wanted = F.floor(size * F.lit(test_percent) / F.lit(100))
+    if at_least_one:
+        wanted = F.when(size >= 2, F.greatest(wanted, F.lit(1).cast("long"))).otherwise(wanted)
     placed = cells.select(
         label,
         "_cell",
         "_n",
         F.sum("_n").over(upward).alias("_end"),
-        F.floor(F.sum("_n").over(of_class) * F.lit(test_percent) / F.lit(100)).alias("_wanted"),
+        wanted.alias("_wanted"),
     )
     cut_cells = placed.filter((F.col("_end") >= F.col("_wanted")) & (F.col("_end") - F.col("_n") < F.col("_wanted")))
     # One cell per class, hence one row per class here and in ``cuts``.
@@ -85,20 +93,28 @@ def scale_columns(
     )
 
 
-def fit_label_codes(df: DataFrame, columns: Sequence[str]) -> StringIndexerModel:
-    """Codes 0, 1, … in alphabetical order; values unseen in ``df`` get the next code."""
-    return StringIndexer(
-        inputCols=list(columns),
-        outputCols=[f"{c}_encoded" for c in columns],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    ).fit(df)
-
+def fit_label_codes(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
+    """Per column a table of its distinct texts, ``value``, and their ``code``: 0, 1, … in alphabetical order.
 
-def encode_labels(df: DataFrame, columns: Sequence[str], model: StringIndexerModel | None = None) -> DataFrame:
-    model = model or fit_label_codes(df, columns)
-    coded = model.transform(df)
-    return coded.withColumns({f"{c}_encoded": F.col(f"{c}_encoded").cast("int") for c in columns})
+    The values are ranked where they are, over ranges; any number of them may occur.
+    """
+    codes = {}
+    for c in columns:
+        values = known(df.select(F.col(f"`{c}`").cast("string").alias("value")), ["value"]).distinct()
+        codes[c] = rank_rows(values, [], ["value"], "code").select("value", (F.col("code") - 1).cast("int").alias("code"))
+    return codes
+
+
+def encode_labels(df: DataFrame, columns: Sequence[str], codes: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Adds ``<column>_encoded``; null and values without a code get the number of codes."""
+    codes = codes or fit_label_codes(df, columns)
+    coded = df
+    for i, c in enumerate(columns):
+        table = codes[c].select(F.col("value").alias(f"_value_{i}"), F.col("code").alias(f"_code_{i}"))
+        unseen = codes[c].agg(F.count(F.lit(1)).cast("int")).scalar()
+        coded = coded.join(table, coded[f"`{c}`"].cast("string") == table[f"_value_{i}"], "left")
+        coded = coded.withColumn(f"{c}_encoded", F.coalesce(F.col(f"_code_{i}"), unseen)).drop(f"_value_{i}", f"_code_{i}")
+    return coded
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str | None = None) -> DataFrame:

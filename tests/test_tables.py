@@ -273,3 +273,18 @@ def test_weighted_mean_and_rates(spark, rows):
 
 def test_default_threshold_is_large():
     assert HOT_ROWS >= 100_000
+
+
+def test_codes_of_nulls_numbers_and_odd_names(spark):
+    df = spark.createDataFrame([("b", 10), (None, 9), ("a", None), ("b", 10)], "`my col` string, n int")
+    out = split.encode_labels(df, ["my col", "n"])
+    assert out.columns == ["my col", "n", "my col_encoded", "n_encoded"]
+    assert sorted(tuple(r)[2:] for r in out.collect()) == [(0, 2), (1, 0), (1, 0), (2, 1)]
+    assert split.encode_labels(df.limit(0), ["n"]).count() == 0
+
+
+def test_small_classes_have_a_test_row_on_request(spark):
+    df = spark.range(25).select("id", F.when(F.col("id") < 4, 1).when(F.col("id") < 5, 2).otherwise(0).alias("y"))
+    marked = split.stratified_split(df, "y", "id", at_least_one=True).filter("is_test = 1")
+    assert {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()} == {0: 4, 1: 1}
+    assert split.stratified_split(df, "y", "id").filter("is_test = 1 AND y = 1").count() == 0
