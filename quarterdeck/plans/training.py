@@ -99,7 +99,9 @@ PROMISE_FEATURES = ["promised_mw", "days_to_target", *MACRO_LAST, *MACRO_MEAN, "
 
 def promise_features(matrix: DataFrame) -> tuple[DataFrame, list[str]]:
     """The promise matrix with region and tier as codes, and the model's feature names."""
-    coded = encode_labels(matrix.fillna("", subset=["iso", "company_tier"]), ["iso", "company_tier"])
+    # Written once: the codes and the training read it several times.
+    matrix = materialize(matrix.fillna("", subset=["iso", "company_tier"]))
+    coded = encode_labels(matrix, ["iso", "company_tier"])
     if "days_to_target" not in coded.columns:
         coded = with_timing(coded)
     names = [c for c in PROMISE_FEATURES if c in coded.columns]
