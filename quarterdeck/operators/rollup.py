@@ -143,7 +143,7 @@ def weighted_mean(
     both = F.col(value).isNotNull() & F.col(weight).isNotNull()
     if scale is None:
         product, share = F.col(value).cast("double") * F.col(weight), F.col(weight).cast("double")
-        mean = F.sum(F.when(both, product)) / F.nullif(F.sum(F.when(both, share)), F.lit(0.0))
+        mean = exact_sum(F.when(both, product)) / F.nullif(exact_sum(F.when(both, share)), F.lit(0.0))
         return df.groupBy(*keys).agg(mean.alias("weighted_mean"))
     values = F.when(both, fixed(F.col(value), scale))
     weights = F.when(both, fixed(F.col(weight), weight_scale))

@@ -73,10 +73,10 @@ def scale_columns(
     """
 
     def mean(c: str, scale: int | None) -> Column:
-        return F.avg(c) if scale is None else exact_mean(F.col(c), scale)
+        return exact_mean(F.col(c), scale)
 
     def deviation(c: str, scale: int | None) -> Column:
-        return F.stddev_pop(c) if scale is None else exact_std_pop(F.col(c), scale)
+        return exact_std_pop(F.col(c), scale)
 
     stats = fit_on.agg(
         F.struct(
