@@ -131,22 +131,24 @@ def _together(totals: Column, powers: range) -> Column:
     """The double that an array of totals of pieces stands for.
 
     Carries go up first, which leaves digits of both signs around zero, so that adding them from the least to the
-    greatest loses nothing to cancellation.
+    greatest loses nothing to cancellation. What each addition rounds away is kept and added at the end.
     """
     half, mask = 1 << (PIECE_BITS - 1), (1 << PIECE_BITS) - 1
     none = F.lit(0).cast("long")
 
     def add(so_far: Column, total: Column) -> Column:
         raised = total + so_far["carry"] + F.lit(half)
-        digit = (raised.bitwiseAND(F.lit(mask)) - F.lit(half)).cast("double")
+        digit = (raised.bitwiseAND(F.lit(mask)) - F.lit(half)).cast("double") * so_far["unit"]
+        value = so_far["value"] + digit
         return F.struct(
-            (so_far["value"] + digit * so_far["unit"]).alias("value"),
+            value.alias("value"),
+            (so_far["lost"] + (so_far["value"] - (value - digit))).alias("lost"),
             F.shiftright(raised, PIECE_BITS).alias("carry"),
             (so_far["unit"] * F.lit(float(1 << PIECE_BITS))).alias("unit"),
         )
 
-    start = F.struct(F.lit(0.0).alias("value"), none.alias("carry"), F.lit(2.0**powers.start).alias("unit"))
-    return F.aggregate(F.concat(totals, F.array(none, none)), start, add, lambda end: end["value"])
+    start = F.struct(F.lit(0.0).alias("value"), F.lit(0.0).alias("lost"), none.alias("carry"), F.lit(2.0**powers.start).alias("unit"))
+    return F.aggregate(F.concat(totals, F.array(none, none)), start, add, lambda end: end["value"] + end["lost"])
 
 
 def _with_rest(totals: Column, powers: range) -> Column:

@@ -20,6 +20,7 @@ CASES = {
     "equal": [0.1] * 17,
     "one": [2.5],
     "zeros": [0.0, -0.0],
+    **{f"many_{i}": [random.Random(i * 100 + j).uniform(-1, 9) for j in range(i + 2)] for i in range(80)},
 }
 
 
@@ -49,15 +50,18 @@ def test_same_bits_in_any_order(spark):
 
 
 def test_odd_numbers(spark):
-    def run(*values):
-        return spark.createDataFrame([(v,) for v in values], "x double").agg(*_aggregates()).first()
-
-    assert tuple(run(None, None)) == (None, None, None, None)
-    assert run(None, 1.5, 2.5)["total"] == 4.0 and run(None, 1.5, 2.5)["mean"] == 2.0
-    assert math.isnan(run(1.0, float("nan"))["total"]) and math.isnan(run(1.0, float("nan"))["std"])
-    assert run(1.0, float("inf"))["total"] == float("inf")
-    assert run(1e-30, 2e-30)["total"] == pytest.approx(3e-30) and run(1e300, 1.0)["total"] == 1e300
-    assert run(1e-30, 3e-30)["std"] == pytest.approx(statistics.stdev([1e-30, 3e-30]))
+    cases = {
+        "none": [None, None], "some": [None, 1.5, 2.5], "nan": [1.0, float("nan")], "infinite": [1.0, float("inf")],
+        "tiny": [1e-30, 3e-30], "huge": [1e300, 1.0],
+    }
+    df = spark.createDataFrame([(k, v) for k, values in cases.items() for v in values], "k string, x double")
+    got = {r["k"]: r for r in df.groupBy("k").agg(*_aggregates()).collect()}
+    assert tuple(got["none"])[1:] == (None, None, None, None)
+    assert got["some"]["total"] == 4.0 and got["some"]["mean"] == 2.0
+    assert math.isnan(got["nan"]["total"]) and math.isnan(got["nan"]["std"])
+    assert got["infinite"]["total"] == float("inf") and got["huge"]["total"] == 1e300
+    assert got["tiny"]["total"] == pytest.approx(4e-30)
+    assert got["tiny"]["std"] == pytest.approx(statistics.stdev(cases["tiny"]))
 
 
 def test_groups_and_weights(spark):
