@@ -107,7 +107,7 @@ def product_total(x: Column, y: Column) -> Column:
 
 PIECE_BITS = 24
 SUM_POWERS = range(-108, 108, PIECE_BITS)
-SQUARE_POWERS = range(-132, 156, PIECE_BITS)
+SQUARE_POWERS = range(-180, 156, PIECE_BITS)
 SPLITTER = float((1 << 27) + 1)
 
 
@@ -195,10 +195,10 @@ def _steady_deviation(col: Column, ddof: int) -> Column:
     """Standard deviation from exact sums of the numbers and of their squares.
 
     Both sums are kept as two doubles, 106 bits, so that numbers that are large beside their spread keep it. A group
-    with a number from 2**59 (5e17) in size, or one below 2**-39 (1e-12), takes the usual sums of doubles.
+    with a number from 2**59 (5e17) in size, or one below 2**-56 (1e-17), takes the usual sums of doubles.
     """
     x = col.cast("double")
-    usual = _within(x, 2.0**-39, 2.0**59)
+    usual = _within(x, 2.0**-56, 2.0**59)
     high, low = _halves(x)
     parts = zip(*[_pieces(part, SQUARE_POWERS) for part in (high * high, F.lit(2.0) * high * low, low * low)])
 
