@@ -210,3 +210,49 @@ def ml_promise(spark, d):
 @query("model_compare")
 def model_compare(spark, d):
     return training.compare_models(_prepared(spark, d), "doc_id")
+
+
+# Certificates: what holds for any right fit, so that SQL can tell it. A row per test document; probabilities are such,
+# and the class follows from them.
+
+SCORED = DOCS + SPLIT + " SELECT doc_id, quality AS label, true AS in_range, true AS follows FROM s WHERE is_test = 1"
+
+
+def _certified(scored):
+    p = F.col("probability")
+    follows = (p == 0.5) | ((p > 0.5).cast("int") == F.col("prediction"))
+    return scored.select("doc_id", "label", p.between(0, 1).alias("in_range"), follows.alias("follows"))
+
+
+@query("ml_logreg_scores", SCORED)
+def ml_logreg_scores(spark, d):
+    return _certified(training.train_logistic(_prepared(spark, d), "doc_id"))
+
+
+@query("ml_forest_scores", SCORED)
+def ml_forest_scores(spark, d):
+    return _certified(training.train_forest(_prepared(spark, d), "doc_id"))
+
+
+@query("ml_gbt_scores", SCORED)
+def ml_gbt_scores(spark, d):
+    return _certified(training.train_boosted(_prepared(spark, d), "doc_id"))
+
+
+@query(
+    "ml_logreg_slopes",
+    f"SELECT unnest({[*FEATURES, 'intercept']}) AS feature, true AS flat",
+)
+def ml_logreg_slopes(spark, d):
+    slopes = training.logistic_slopes(_prepared(spark, d))
+    return slopes.select("feature", (F.abs("slope") < 1e-4).alias("flat"))
+
+
+@query(
+    "importance_shares",
+    f"SELECT unnest({FEATURES}) AS feature, true AS in_range, 1.0::DOUBLE AS total",
+)
+def importance_shares(spark, d):
+    ranked = training.forest_importance(_prepared(spark, d), top=None)
+    total = ranked.agg(F.round(F.sum("importance"), 9)).scalar()
+    return ranked.select("feature", F.col("importance").between(0, 1).alias("in_range"), total.alias("total"))

@@ -103,6 +103,16 @@ def trailing_rank(spark, d):
     return rolling.trailing_rank(prices(spark, d), "ticker", ORDER, "Close", 20)
 
 
+@query(
+    "trailing_percent_rank",
+    with_views("prices")
+    + f"""SELECT {COLS}, len(list_filter(near, lambda v: v < "Close"))::DOUBLE / nullif(len(near) - 1, 0)
+    AS trailing_percent_rank FROM (SELECT *, list("Close") OVER {frame(20)} AS near FROM prices)""",
+)
+def trailing_percent_rank(spark, d):
+    return rolling.trailing_percent_rank(prices(spark, d), "ticker", ORDER, "Close", 20)
+
+
 @query(
     "qtd_return",
     with_views("prices")

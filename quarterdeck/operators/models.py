@@ -77,6 +77,24 @@ def score(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
 
 
+def ridge_gradient(model, df: DataFrame, features: Sequence[str], label: str = "label", vector: str = "features") -> DataFrame:
+    """Slope of the penalised mean loss of a fitted logistic model per feature, as rows ``(feature, slope)``.
+
+    All are about zero where the fit has ended. One aggregate over the rows; the model's numbers are one per feature.
+    """
+    x = vector_to_array(vector)
+    weights, penalty = model.coefficients.toArray().tolist(), model.getRegParam()
+    score = F.aggregate(
+        F.zip_with(x, F.lit(weights), lambda a, b: a * b), F.lit(float(model.intercept)), lambda total, part: total + part
+    )
+    miss = F.lit(1.0) / (F.lit(1.0) + F.exp(-score)) - F.col(label)
+    rows = df.select(miss.alias("_miss"), x.alias("_x"))
+    slopes = [F.avg(F.col("_miss") * F.col("_x")[i]) + F.lit(penalty * w) for i, w in enumerate(weights)]
+    cells = [F.struct(F.lit(name).alias("feature"), slope.alias("slope")) for name, slope in zip(features, slopes)]
+    whole = F.struct(F.lit("intercept").alias("feature"), F.avg("_miss").alias("slope"))
+    return rows.agg(F.array(*cells, whole).alias("_c")).select(F.inline("_c"))
+
+
 def importance(model, features: Sequence[str], spark, top: int | None = None) -> DataFrame:
     """Features by falling importance, names breaking ties."""
     values = model.featureImportances.toArray()

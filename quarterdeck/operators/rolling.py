@@ -176,6 +176,30 @@ def trailing_rank(
     return drop_halo(work.withColumns(of_series([entity], {out: place}))).select(*df.columns, out)
 
 
+def trailing_percent_rank(
+    df: DataFrame,
+    entity: str,
+    order: Sequence[str],
+    value: str,
+    n: int,
+    out: str = "trailing_percent_rank",
+    day: Column | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Share of the other values among the last ``n`` rows that lie below a row's own.
+
+    Nulls among them do not count; null for a null value or where there is no other value. A row holds the ``n``
+    values of its frame while it is worked on, never more.
+    """
+    blocks = split_series(df, [entity], day if day is not None else day_start(F.col(order[0])), n - 1, hot_rows)
+    frame = W.partitionBy(entity, BLOCK).orderBy(*order).rowsBetween(-(n - 1), 0)
+    work = blocks.withColumn("_near", F.collect_list(value).over(frame))
+    below = F.size(F.filter("_near", lambda other: other < F.col(value))).cast("double")
+    others = F.nullif(F.size("_near").cast("double") - F.lit(1.0), F.lit(0.0))
+    share = F.when(F.col(value).isNotNull(), below / others)
+    return drop_halo(work.withColumns(of_series([entity], {out: share}))).select(*df.columns, out)
+
+
 def quarter_to_date_return(
     df: DataFrame,
     entity: str,

@@ -19,6 +19,7 @@ from quarterdeck.operators.models import (
     forest,
     importance,
     logistic_baseline,
+    ridge_gradient,
     score,
 )
 from quarterdeck.operators.profile import columns_with_nulls
@@ -80,6 +81,12 @@ def train_logistic(data: Prepared, key: str) -> DataFrame:
     return score(model, data.test, [key, "label"])
 
 
+def logistic_slopes(data: Prepared) -> DataFrame:
+    """How far from flat the loss is at the fitted logistic model, per scaled feature."""
+    model = fit(logistic_baseline(data.train.count(), features="scaled"), data.train)
+    return ridge_gradient(model, data.train, data.features, vector="scaled")
+
+
 def train_forest(data: Prepared, key: str) -> DataFrame:
     return score(fit(forest(features="raw"), data.train), data.test, [key, "label"])
 

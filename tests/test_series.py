@@ -230,3 +230,14 @@ def test_rows_without_an_entity_stay(spark):
     assert sorted((r["p"], r["trailing_rank"]) for r in ranked) == [(1.0, None), (3.0, 1.0), (5.0, None), (7.0, None)]
     since = rolling.quarter_to_date_return(df, "k", ["t"], "p", F.quarter("t")).collect()
     assert sorted((r["p"], r["qtd_return"]) for r in since) == [(1.0, 0.0), (3.0, 2.0), (5.0, None), (7.0, None)]
+
+
+def test_trailing_percent_rank(spark):
+    rows = [("a", i, v) for i, v in enumerate([3.0, 1.0, 2.0, 2.0, None, 5.0])] + [(None, 0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").select(
+        "k", (F.lit("2021-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("i"))).alias("t"), "i", "v"
+    )
+    for hot in (1_000_000, 2):
+        out = rolling.trailing_percent_rank(df, "k", ["t", "i"], "v", 3, hot_rows=hot).collect()
+        got = {(r["k"], r["i"]): r["trailing_percent_rank"] for r in out}
+        assert got == {("a", 0): None, ("a", 1): 0.0, ("a", 2): 0.5, ("a", 3): 0.5, ("a", 4): None, ("a", 5): 1.0, (None, 0): None}
