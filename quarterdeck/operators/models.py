@@ -61,11 +61,20 @@ def boosted_trees(
 
 
 def fit(estimator, train: DataFrame):
-    """Fit, with a checkpoint folder in place for estimators that cut their lineage."""
-    context = train.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(train.sparkSession))
-    return estimator.fit(train)
+    """Fit, with a checkpoint folder in place for estimators that cut their lineage.
+
+    A model with a summary of its training is written to the shared folder and read back without it: the summary
+    holds the session, which cannot be sent to tasks with the model once a query of the session was observed.
+    """
+    spark = train.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    model = estimator.fit(train)
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = shared_dir(spark)
+    model.write().session(spark).save(path)
+    return type(model).read().session(spark).load(path)
 
 
 def score(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
