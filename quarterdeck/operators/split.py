@@ -78,19 +78,19 @@ def scale_columns(
     def deviation(c: str, scale: int | None) -> Column:
         return exact_std_pop(F.col(c), scale)
 
+    # One row, two numbers a column. They go into the result as numbers: its plan would hold the plan behind them once
+    # for every use of one.
     stats = fit_on.agg(
-        F.struct(
-            *[mean(c, s).alias(f"m_{c}") for c, s in columns.items()],
-            *[deviation(c, s).alias(f"s_{c}") for c, s in columns.items()],
-        )
-    ).scalar()
-    return df.withColumns(
-        {
-            c + suffix: (F.col(c) - stats[f"m_{c}"])
-            / F.when(stats[f"s_{c}"] == 0, F.lit(1.0)).otherwise(stats[f"s_{c}"])
-            for c in columns
-        }
-    )
+        *[mean(c, s).alias(f"m_{c}") for c, s in columns.items()],
+        *[deviation(c, s).alias(f"s_{c}") for c, s in columns.items()],
+    ).first()
+
+    def scaled(c: str) -> Column:
+        centre, deviation = stats[f"m_{c}"], stats[f"s_{c}"]
+        divisor = 1.0 if deviation == 0 else deviation
+        return (F.col(c) - F.lit(centre).cast("double")) / F.lit(divisor).cast("double")
+
+    return df.withColumns({c + suffix: scaled(c) for c in columns})
 
 
 def fit_label_codes(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:

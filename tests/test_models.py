@@ -1,10 +1,11 @@
-"""Fitted models in sessions that did other work before, and in many rounds."""
+"""Fitted models in sessions that did other work before, and what is prepared for them."""
 
+import numpy as np
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from quarterdeck.operators import models
+from quarterdeck.operators import models, split
 
 
 @pytest.fixture
@@ -39,3 +40,21 @@ def test_a_stored_model_gives_the_same_scores(spark, rows_of_a_rule):
         if hasattr(stored, "trees"):
             assert [t.toDebugString.split("\n", 1)[1] for t in stored.trees] == [
                 t.toDebugString.split("\n", 1)[1] for t in as_fitted.trees]
+
+
+def test_scaling_many_columns_keeps_the_plan_small(spark):
+    """The plan behind the moments is not copied into the scaled columns."""
+    names = [f"c{i}" for i in range(6)]
+    df = spark.range(40).select(
+        "id", *[(F.col("id") * (i + 0.5)).alias(c) for i, c in enumerate(names)], F.lit(2.5).alias("same"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    out = split.scale_columns(df, df.filter("id < 30"), dict.fromkeys([*names, "same", "none"]))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "scalar-subquery" not in plan and len(plan) < 5000
+    x = np.arange(30.0)
+    for row in out.collect():
+        assert [row[f"{c}_z"] for c in names] == pytest.approx([(row["id"] - x.mean()) / x.std()] * 6, rel=1e-12)
+        assert row["same_z"] == 0.0 and row["none_z"] is None
+    nothing = split.scale_columns(df, df.filter("id < 0"), {"c1": None})
+    assert nothing.filter("c1_z IS NULL").count() == 40
