@@ -30,6 +30,9 @@ def session(app: str = "quarterdeck", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+FOLDER = "quarterdeck-"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the one named in ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
@@ -38,7 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return f"{base.rstrip('/')}/quarterdeck-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{FOLDER}{uuid.uuid4().hex}"
+
+
+#: Whether the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -46,8 +53,23 @@ def materialize(df: DataFrame) -> DataFrame:
 
     For a result that several later steps read: it is computed once, its
     lineage ends here, a lost executor costs nothing, and each reader scans only
-    the columns it needs.
+    the columns it needs. Nothing reads the shuffles behind it again, so their files go.
     """
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_dir(spark), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a table that ``materialize`` returned, once no table that is still to be computed reads it."""
+    spark = df.sparkSession
+    java = spark.sparkContext._jvm
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith(FOLDER):
+            path = java.org.apache.hadoop.fs.Path(java.java.net.URI(folder))
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
