@@ -15,7 +15,7 @@ up in the tasks; it has a row per pattern and length.
 
 Defined results: a null or empty text is one piece with the end id alone; repeated rows and rows without
 an id are packed like any other; an empty table gives no rows. Only id and text are read. Texts are
-encoded whole, a few hundred at a time.
+encoded whole, a few megabytes at a time.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarterdeck.llm import bpe
-from quarterdeck.llm.common import SLICE_ROWS, table
+from quarterdeck.llm.common import table
 from quarterdeck.session import materialize
 
 CAPACITY = 1024
@@ -47,13 +47,13 @@ def _pieces(capacity: int, tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                rows = batch.slice(at, SLICE_ROWS)
+            for at, ids, bounds in bpe.encoded(batch.column("text"), tokenizer):
                 out: list[tuple] = []
-                coded = bpe.encode_with_end(rows.column("text").to_pylist(), tokenizer)
-                for doc, ids in zip(rows.column("doc_id").to_pylist(), coded):
-                    for k, (start, length) in enumerate(cuts(len(ids), capacity)):
-                        out.append((doc, k, start, length, bpe.crc32(ids[start : start + length]), task, int(seen[length])))
+                begins = bounds.tolist()
+                for doc, begin, end in zip(batch.column("doc_id").slice(at, len(begins) - 1).to_pylist(), begins, begins[1:]):
+                    for k, (start, length) in enumerate(cuts(end - begin, capacity)):
+                        crc = bpe.crc32(ids[begin + start : begin + start + length])
+                        out.append((doc, k, start, length, crc, task, int(seen[length])))
                         seen[length] += 1
                 doc, *rest = zip(*out)
                 yield pa.RecordBatch.from_arrays(

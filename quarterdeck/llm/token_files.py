@@ -11,7 +11,7 @@ Files go to the shared folder through ``pyarrow.fs``, and are read back the same
 
 Defined results: a null or empty text has the end id alone; rows of one id stand in the order of their
 texts; rows without an id come first; an empty table gives no rows. Only id and text are read. A task
-holds one record batch of a few thousand sequences at a time, and one text's ids, however long.
+holds one record batch of a few thousand sequences at a time, and the ids of a block of texts, or of one longer text.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarterdeck.llm import bpe
-from quarterdeck.llm.common import SLICE_ROWS, table
+from quarterdeck.llm.common import table
 from quarterdeck.session import materialize, shared_dir
 
 SEQUENCE = 1024
@@ -139,8 +139,7 @@ def _write(folder: str, length: int, tokenizer: str) -> Callable[[Iterator[pa.Re
         writer, index = None, None
         docs = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                rows = batch.slice(at, SLICE_ROWS)
+            for at, ids, bounds in bpe.encoded(batch.column("text"), tokenizer):
                 if writer is None:
                     system.create_dir(name, recursive=True)
                     size = bpe.encoder(tokenizer).library.get_vocab_size()
@@ -148,12 +147,11 @@ def _write(folder: str, length: int, tokenizer: str) -> Callable[[Iterator[pa.Re
                     sink = _resolved(f"{path}.index.arrow")
                     stream = sink[0].open_output_stream(sink[1])
                     index = pa.ipc.new_file(stream, INDEX)
-                coded = bpe.encode_with_end(rows.column("text").to_pylist(), tokenizer)
-                starts = [writer.add(ids) for ids in coded]
+                starts, n = writer.add(ids) + bounds[:-1], len(bounds) - 1
                 index.write_batch(pa.RecordBatch.from_arrays([
-                    rows.column("doc_id"), pa.array(starts, pa.int64()), pa.array([len(c) for c in coded], pa.int64()),
+                    batch.column("doc_id").slice(at, n), pa.array(starts, pa.int64()), pa.array(np.diff(bounds), pa.int64()),
                 ], schema=INDEX))
-                docs += len(coded)
+                docs += n
         if writer is not None:
             writer.close()
             index.close()

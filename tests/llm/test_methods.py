@@ -149,6 +149,35 @@ def test_fullest_is_the_fullest():
         assert sum(got) == best and not Counter(got) - Counter(lengths)
 
 
+def test_columns_of_texts_are_encoded_as_each_text(monkeypatch):
+    library = bpe.encoder(bpe.TOKENIZER).library
+    some = ["a", "Hello", " ", "  ", "\n", "\t", ".", ",", "!?", "\x01", "\x01.", "\x1c", "\x85", "<|endoftext|>", "é", "ä.", "中文", "ß,", "1.5", "'s", "\xa0", "😀", "e\u0301,"]
+    draw = np.random.default_rng(5)
+    texts = [None, "", " ", ".", *("".join(draw.choice(some, n)) for n in draw.integers(0, 12, 600))]
+    for block in (1, 40, 1 << 22):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        for text, ids in zip(texts, bpe.encode_with_end(texts), strict=True):
+            assert ids.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, bpe.END_ID]
+
+
+def test_a_word_is_coded_once_in_a_block(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PARTS", 0)
+    monkeypatch.setattr(bpe, "CACHE_TOKENS", 0)
+    encoder = bpe.Encoder(bpe.TOKENIZER)
+    monkeypatch.setattr(bpe, "encoder", lambda name: encoder)
+    coded, model = [], encoder.model
+
+    class Counted:
+        def tokenize(self, letters):
+            coded.append(letters)
+            return model.tokenize(letters)
+
+    encoder.model = Counted()
+    assert len({x.tobytes() for x in bpe.encode_with_end(["One word, another word, one more word."] * 300)}) == 1
+    # At the start of each text there is one more, "One", which stands before the first cut.
+    assert len([x for x in coded if x != "One"]) < 20
+
+
 def test_packing_is_tight(spark):
     out = QUERIES["op8_best_fit_packing"](spark, "/root/testdata/sf0.01").toPandas()
     used = out.groupby("sequence_id").length.sum()
