@@ -32,7 +32,7 @@ CACHE_PARTS = 400_000
 CACHE_TOKENS = 200_000
 CACHED_LENGTH = 48
 #: Bytes of texts that are cut together; a longer text is cut alone.
-BLOCK = 1 << 21
+BLOCK = 1 << 22
 CUT = re.compile(r" (?=\S)")
 #: A space beside other white space; only then does the plain split at spaces differ from ``CUT``.
 SPACED = re.compile(r" (?:\s|\Z)")
