@@ -13,6 +13,8 @@ where the phrase up to there is too rare, and is left out if its first pair is.
 for that. Of phrases of two words and more, hashes are counted in cells (up to ``CELLS`` for each length, a fixed bound), and cells
 with fewer than ``LEAST`` hold no candidate; the tasks get a bit per cell. A cell that rare phrases share may
 let them through, which costs time and never changes a count; the same holds for cells of frequent prefixes.
+Every place gives a row at most; equal suffixes are added up by Spark, in each task before they are sent and over all
+tasks before they are grouped, so that a group gets each of its suffixes once, however often it occurs.
 
 A candidate is cut after every word; both parts have counts of their own, joined by phrase. The score is
 whole-number division of decimals, exact beyond 64 bits. Candidates that lie in a longer one of nearly their
@@ -29,7 +31,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +55,10 @@ SPLIT = 16
 BITS = 1 << 25
 CELLS = 1 << 26
 CHUNK = 1 << 16
-#: Distinct phrases and numbers a task holds before it sends them on.
+#: Distinct words and numbers a task holds before it sends them on.
 HELD = 200_000
 HELD_NUMBERS = 1 << 20
-#: Bytes of text, and of words, that are looked at together; the second is a multiple of the number of weights.
+#: Bytes of text, and of words or suffixes, that are looked at together; the second is a multiple of the number of weights.
 BLOCK = 1 << 22
 HASHED = 1 << 20
 #: Of the bytes of a word, in turn.
@@ -104,12 +105,24 @@ class Words:
         breaks = np.cumsum(np.append(0, data[ends[:-1]] == 10))[real]
         self.starts, self.ends = starts[real], ends[real]
         self.piece = breaks
-        self.block = block
+        self.data = data
         self.numbers = word_hashes(lang, data, self.starts, self.ends)
 
-    def phrases(self, n: int, at: np.ndarray) -> Iterator[bytes]:
-        """The ``n`` words from each of the given places on."""
-        return map(self.block.__getitem__, map(slice, self.starts[at].tolist(), self.ends[at + n - 1].tolist()))
+    def phrases(self, n: np.ndarray, at: np.ndarray) -> Iterator[tuple[slice, pa.Array]]:
+        """The ``n`` words from each of the given places on; about ``HASHED`` bytes of them at a time."""
+        starts, sizes = self.starts[at], self.ends[at + n - 1] - self.starts[at]
+        after, first = np.cumsum(sizes), 0
+        while first < len(at):
+            sent = int(after[first] - sizes[first])
+            to = max(first + 1, int(np.searchsorted(after, sent + HASHED, side="right")))
+            offsets = np.append(0, after[first:to] - sent)
+            if to == first + 1:
+                flat = self.data[starts[first] : starts[first] + sizes[first]]
+            else:
+                flat = self.data[np.repeat(starts[first:to] - offsets[:-1], sizes[first:to]) + np.arange(offsets[-1])]
+            buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)]
+            yield slice(first, to), pa.Array.from_buffers(pa.binary(), to - first, buffers)
+            first = to
 
     def pairs(self) -> np.ndarray:
         """Whether the next word is of the same piece."""
@@ -173,13 +186,13 @@ CELL_COUNTS = pa.schema([("words", pa.int32()), ("chunk", pa.int32()), ("cells",
 CELL_BITS = pa.schema([("words", pa.int32()), ("chunk", pa.int32()), ("often", pa.binary()), ("long", pa.binary())])
 COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
 WORDS = pa.schema([*COUNTS, ("number", pa.int64())])
-SUFFIXES = pa.schema([("group", pa.int64()), ("lang", pa.string()), ("suffix", pa.binary()), ("n", pa.int64())])
+SUFFIXES = pa.schema([("group", pa.int64()), ("lang", pa.string()), ("suffix", pa.binary())])
 
 
 def _counted(
     each: Callable[[str, bytes], Iterable[bytes]], send: Callable[[str, Counter], pa.RecordBatch],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of the phrases that ``each`` finds in a block, sent on whenever many are held."""
+    """Counts of what ``each`` finds in a block, sent on whenever many are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -275,40 +288,35 @@ def _cell_bits(read: DataFrame, often: np.ndarray, cells: int, least: int, many:
     return sets
 
 
-def _suffixes(often: np.ndarray, candidates: list[np.ndarray]):
-    """From every place the longest phrase all of whose parts may be frequent."""
-
-    def each(lang: str, block: bytes) -> Iterator[bytes]:
-        words = Words(lang, block)
-        fits, pairs = in_set(often, words.numbers), words.pairs()
-        length = fits.astype(np.int8)
-        for n, (phrases, bits) in enumerate(zip(phrase_hashes(words.numbers)[1:], candidates), 2):
-            fits = fits[:-1] & fits[1:] & pairs[: len(phrases)] & in_set(bits, phrases)
-            length[: len(fits)][fits] = n
-        return chain.from_iterable(words.phrases(n, np.flatnonzero(length == n)) for n in range(2, DEPTH + 1))
-
-    return each
-
+def _suffixes(
+    often: np.ndarray, candidates: list[np.ndarray], long: list[np.ndarray], groups: int,
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From every place the longest phrase all of whose parts may be frequent, in the group of its prefix.
 
-def _as_suffixes(long: list[np.ndarray], groups: int) -> Callable[[str, Counter], pa.RecordBatch]:
-    """``long`` has the bits of the prefixes of one word and more that are extended."""
+    ``long`` has the bits of the prefixes of one word and more that are extended.
+    """
 
-    def send(lang: str, held: Counter) -> pa.RecordBatch:
-        suffixes = list(held)
-        words = Words(lang, b"\n".join(suffixes))
-        first = np.flatnonzero(np.append(True, ~words.pairs()))
-        prefix, open_ = words.numbers[first], np.ones(len(first), bool)
-        for n, phrases in enumerate(phrase_hashes(words.numbers)[1:], 1):
-            at = np.minimum(first, len(phrases) - 1)
-            more = np.append(first[1:], len(words.numbers)) - first > n
-            open_ &= in_set(long[n - 1], prefix) & more
-            prefix = np.where(open_, phrases[at], prefix) if len(phrases) else prefix
-        return pa.RecordBatch.from_arrays([
-            pa.array((prefix % np.uint64(groups)).astype(np.int64)), pa.array([lang] * len(held)), pa.array(suffixes, pa.binary()),
-            pa.array(list(held.values()), pa.int64()),
-        ], schema=SUFFIXES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, block in blocks(batches):
+            words = Words(lang, block)
+            hashes = phrase_hashes(words.numbers)
+            fits, pairs = in_set(often, words.numbers), words.pairs()
+            length = fits.astype(np.int8)
+            for n, (phrases, bits) in enumerate(zip(hashes[1:], candidates), 2):
+                fits = fits[:-1] & fits[1:] & pairs[: len(phrases)] & in_set(bits, phrases)
+                length[: len(fits)][fits] = n
+            at = np.flatnonzero(length > 1)
+            length = length[at]
+            prefix, open_ = words.numbers[at], np.ones(len(at), bool)
+            for n, phrases in enumerate(hashes[1:], 1):
+                open_ &= in_set(long[n - 1], prefix) & (length > n)
+                prefix[open_] = phrases[at[open_]]
+            group = (prefix % np.uint64(groups)).astype(np.int64)
+            for part, suffixes in words.phrases(length, at):
+                langs = pa.repeat(pa.scalar(lang, pa.string()), len(suffixes))
+                yield pa.RecordBatch.from_arrays([pa.array(group[part]), langs, suffixes], schema=SUFFIXES)
 
-    return send
+    return run
 
 
 def subtree(rows: pa.Table) -> pa.Table:
@@ -356,10 +364,10 @@ def phrase_counts(
     candidates, long = _cell_bits(read, often, cells, least, many)
     long = [bit_set(frequent.filter(F.col("n") > many)), *long]
     groups = max(1, -(-2 * total // budget))
-    suffixes = read.mapInArrow(
-        _counted(_suffixes(often, candidates), _as_suffixes(long, groups)), "group long, lang string, suffix binary, n long"
-    )
-    nodes = suffixes.groupBy("group").applyInArrow(lambda rows: subtree(rows.select(["lang", "suffix", "n"])), counted)
+    suffixes = read.mapInArrow(_suffixes(often, candidates, long, groups), "group long, lang string, suffix binary")
+    # Equal suffixes are added up in each task, and over all tasks before they come to a group.
+    leaves = suffixes.groupBy("group", "lang", "suffix").agg(F.count(F.lit(1)).alias("n"))
+    nodes = leaves.groupBy("group").applyInArrow(lambda rows: subtree(rows.select(["lang", "suffix", "n"])), counted)
     phrases = nodes.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     named = words.drop("number").unionByName(phrases).withColumn("phrase", F.col("phrase").cast("string"))
     return named.select("lang", "phrase", (F.size(F.split("phrase", " "))).alias("words"), F.col("n").alias("f"))

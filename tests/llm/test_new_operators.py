@@ -164,6 +164,35 @@ def test_collocations(spark, monkeypatch, budget):
     assert sorted(tuple(r) for r in out.collect()) == brute_collocations(rows, 20, 80, 15)
 
 
+def test_groups_get_a_suffix_once_from_all_tasks(spark, monkeypatch):
+    subtree = collocations.subtree
+
+    def once_each(rows):
+        assert rows.group_by(["lang", "suffix"]).aggregate([]).num_rows == rows.num_rows
+        return subtree(rows)
+
+    monkeypatch.setattr(collocations, "subtree", once_each)
+    rows = [("en", "a b c d e. a b"), ("de", "a b c")] * 60
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(12)
+    out = {(r["lang"], r["phrase"]): r["f"] for r in collocations.phrase_counts(docs).filter("words > 1").collect()}
+    en = {"a b": 120, "b c": 60, "c d": 60, "d e": 60, "a b c": 60, "b c d": 60, "c d e": 60, "a b c d": 60, "b c d e": 60}
+    assert out == {**{("en", p): n for p, n in en.items()}, ("de", "a b"): 60, ("de", "b c"): 60, ("de", "a b c"): 60}
+
+
+def test_suffixes_of_every_place(monkeypatch):
+    """In pieces of a few bytes, and of single suffixes longer than that."""
+    text = b"a bb a ccc" + b"x" * 40 + b" dd\na bb"
+    words = collocations.Words("en", text)
+    at, n = np.array([0, 1, 2, 3, 5]), np.array([4, 3, 3, 2, 2], np.int8)
+    for size in (1, 10, 60, 1 << 20):
+        monkeypatch.setattr(collocations, "HASHED", size)
+        parts = [(p, a.to_pylist()) for p, a in words.phrases(n, at)]
+        assert [p.start for p, _ in parts] == [0, *(p.stop for p, _ in parts[:-1])] and parts[-1][0].stop == 5
+        assert all(len(a) == 1 or sum(map(len, a)) <= size for _, a in parts)
+        long = b"ccc" + b"x" * 40
+        assert sum((a for _, a in parts), []) == [b"a bb a " + long, b"bb a " + long, b"a " + long + b" dd", long + b" dd", b"a bb"]
+
+
 def test_no_collocations(spark):
     docs = spark.createDataFrame([(None, None), ("en", ""), ("en", " . ")], "lang string, text string")
     assert collocations.collocations(docs).count() == 0 and collocations.collocations(docs.limit(0)).count() == 0
