@@ -46,9 +46,9 @@ def usable(vector: Column) -> Column:
     )
 
 
-def _matrix(rows: pa.Table) -> np.ndarray:
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     """Whole-number components, a row per vector; filled up with zeros."""
-    lists = rows.column("vector").combine_chunks()
+    lists = vectors.combine_chunks()
     flat = np.floor(1024 * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
     sizes = np.diff(lists.offsets.to_numpy())
     out = np.zeros((len(sizes), int(sizes.max(initial=0))))
@@ -97,7 +97,8 @@ def _tile(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not queries.num_rows or not vectors.num_rows:
             return FOUND.empty_table()
         found = best_in_tile(
-            queries.column("id").to_numpy(), _matrix(queries), vectors.column("id").to_numpy(), _matrix(vectors), k
+            queries.column("id").to_numpy(), _matrix(queries.column("vector")),
+            vectors.column("other_id").to_numpy(), _matrix(vectors.column("other_vector")), k,
         )
         return pa.table([pa.array(c, pa.int64()) for c in found], schema=FOUND)
 
@@ -130,8 +131,10 @@ def top_k(
         "id", "vector", F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
     )
+    # Names of their own: of columns that both sides of a cogroup share, Spark drops the second side's if a projection follows.
     candidates = rows.select(
-        "id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.col("id").alias("other_id"), F.col("vector").alias("other_vector"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
         F.pmod(hashed, F.lit(shards)).cast("int").alias("shard"),
     )
     lists = (

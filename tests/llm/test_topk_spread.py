@@ -30,3 +30,18 @@ def test_rows_of_one_id_are_dealt_out(spark, monkeypatch):
     for q in (7, 8, 150):
         scores = sorted((-int(a @ b), j) for i, a in whole if i == q for j, b in whole if j != q)[:10]
         assert [(-r["score"], r["vec_id"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] == scores
+
+
+def test_lists_of_many_shards_meet_in_steps(spark, monkeypatch):
+    """With more shards than lists to a step, the tiles' result is projected before it is merged."""
+    v = np.random.default_rng(3).integers(-3, 4, (60, 4))
+    monkeypatch.setattr(topk, "LEAST_SHARD_ROWS", 8)
+    monkeypatch.setattr(topk, "FAN_IN", 2)
+    rows = [(i, x.astype(float).tolist()) for i, x in enumerate(v)]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3).collect()
+    want = [
+        (q, rank, j, -score)
+        for q in range(0, 60, 20)
+        for rank, (score, j) in enumerate(sorted((-int(v[q] @ v[j]) << 20, j) for j in range(60) if j != q)[:3], 1)
+    ]
+    assert sorted(tuple(r) for r in out) == want
