@@ -44,6 +44,7 @@ def keyword_breadth(text: Column, keywords: Iterable[str]) -> Column:
 
 def stored_list_len(text: Column) -> Column:
     """Length of a list kept as text; null, empty and malformed text count as 0."""
-    item = r"""('([^'\\\\]|\\\\.)*'|"([^"\\\\]|\\\\.)*"|[^\s,'"\[\]]+)"""
-    whole = text.rlike(rf"^\s*\[\s*({item}\s*(,\s*{item}\s*)*,?)?\s*\]\s*$")
+    # No repeat gives anything back, which never helps here: Java keeps a frame for each round of one that might.
+    item = r"""(?:'(?:[^'\\\\]|\\\\.)*+'|"(?:[^"\\\\]|\\\\.)*+"|[^\s,'"\[\]]++)"""
+    whole = text.rlike(rf"^\s*+\[\s*+(?:{item}\s*+(?:,\s*+{item}\s*+)*+,?+\s*+)?+\]\s*$")
     return F.when(whole, F.regexp_count(text, F.lit(item))).otherwise(F.lit(0)).cast("long")

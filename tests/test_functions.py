@@ -151,3 +151,15 @@ def test_keyword_breadth(spark):
 def test_stored_list_len(spark, stored, n):
     df = spark.createDataFrame([(stored,)], "t string")
     assert df.select(text.stored_list_len(F.col("t"))).first()[0] == n
+
+
+@pytest.mark.parametrize("stored, n", [
+    ("[" + ", ".join(["'10,5'"] * 50_000) + "]", 50_000),
+    ("['" + "x" * 300_000 + "', \"" + "y" * 300_000 + "\"]", 2),
+    ("[" + ", ".join(["1"] * 50_000) + ", 'a]", 0),
+    ("[" + " " * 300_000 + "'", 0),
+])
+def test_stored_list_len_of_long_lists(spark, stored, n):
+    """Neither many items nor long ones use up the stack."""
+    df = spark.createDataFrame([(stored,)], "t string")
+    assert df.select(text.stored_list_len(F.col("t"))).first()[0] == n
