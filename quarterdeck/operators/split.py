@@ -72,21 +72,19 @@ def scale_columns(
     None for those of the doubles. A column that does not vary is only centred.
     """
 
-    def mean(c: str, scale: int | None) -> Column:
-        return exact_mean(F.col(c), scale)
-
-    def deviation(c: str, scale: int | None) -> Column:
-        return exact_std_pop(F.col(c), scale)
-
-    # One row, two numbers a column. They go into the result as numbers: its plan would hold the plan behind them once
-    # for every use of one.
-    stats = fit_on.agg(
-        *[mean(c, s).alias(f"m_{c}") for c, s in columns.items()],
-        *[deviation(c, s).alias(f"s_{c}") for c, s in columns.items()],
-    ).first()
+    # A row per cell, so that the code of the exact sums is there once and not for every column: with that of many columns
+    # it grows beyond what Java compiles. Two numbers a column come back. They go into the result as numbers: its plan would
+    # hold the plan behind them once for every use of one.
+    stats = {}
+    for scale in set(columns.values()):
+        names = [c for c, s in columns.items() if s == scale]
+        cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(names)])
+        value = F.col("value")
+        moments = fit_on.select(F.inline(cells)).groupBy("column").agg(exact_mean(value, scale), exact_std_pop(value, scale))
+        stats |= {names[i]: (centre, deviation) for i, centre, deviation in moments.collect()}
 
     def scaled(c: str) -> Column:
-        centre, deviation = stats[f"m_{c}"], stats[f"s_{c}"]
+        centre, deviation = stats.get(c, (None, None))
         divisor = 1.0 if deviation == 0 else deviation
         return (F.col(c) - F.lit(centre).cast("double")) / F.lit(divisor).cast("double")
 

@@ -58,3 +58,21 @@ def test_scaling_many_columns_keeps_the_plan_small(spark):
         assert row["same_z"] == 0.0 and row["none_z"] is None
     nothing = split.scale_columns(df, df.filter("id < 0"), {"c1": None})
     assert nothing.filter("c1_z IS NULL").count() == 40
+
+
+def test_scaling_many_columns_sums_them_by_one_expression(spark, monkeypatch):
+    """One aggregate a number of decimals, however many columns have it; the same bits as for each column by itself."""
+    plain, made = split.exact_std_pop, []
+    monkeypatch.setattr(split, "exact_std_pop", lambda col, scale: made.append(scale) or plain(col, scale))
+    columns = {**dict.fromkeys([f"c{i}" for i in range(5)]), "d0": 2, "d1": 2}
+    df = spark.range(50, numPartitions=3).select(
+        "id", *[F.when(F.col("id") % 7 != i, F.sin(F.col("id") + i)).alias(f"c{i}") for i in range(5)],
+        *[F.when(F.col("id") % 5 != i, F.round(F.cos("id") * 10, 2)).alias(f"d{i}") for i in range(2)],
+    )
+    out = split.scale_columns(df, df.filter("id < 40"), columns)
+    assert sorted(made, key=str) == [2, None]
+    fitted = df.filter("id < 40")
+    for c, scale in columns.items():
+        centre, deviation = fitted.agg(split.exact_mean(F.col(c), scale), plain(F.col(c), scale)).first()
+        for row in out.select(c, f"{c}_z").collect():
+            assert row[1] == (None if row[0] is None else (row[0] - centre) / deviation)
