@@ -29,7 +29,7 @@ from quarterdeck.llm.common import table
 
 K = 10
 EVERY = 100
-QUERY_ROWS = 4096
+QUERY_ROWS = 16384
 SHARD_ROWS = 65536
 LEAST_SHARD_ROWS = 1024
 #: Of a block's or shard's matrix.
@@ -37,6 +37,8 @@ MATRIX_BYTES = 1 << 26
 FAN_IN = 16
 #: Scores held at a time.
 CELLS = 1 << 21
+#: Scores of which the largest stands for all when the k best are looked for.
+PART = 64
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -56,34 +58,48 @@ def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def _product(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def _product(queries: np.ndarray, vectors: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Scores, in the memory of ``out`` where doubles hold them exactly, as longs otherwise."""
     width = min(queries.shape[1], vectors.shape[1])
     q, v = queries[:, :width], vectors[:, :width]
     if width * np.abs(q).max(initial=0) * np.abs(v).max(initial=0) < 2**53:
-        return (q @ v.T).astype(np.int64)
+        return np.matmul(q, v.T, out=out[: len(q)])
     whole = np.vectorize(int, otypes=[object])
     exact = whole(q) @ whole(v).T
     limit = np.iinfo(np.int64)
     return np.clip(exact, limit.min, limit.max).astype(np.int64)
 
 
+def _at_least(scores: np.ndarray, k: int) -> np.ndarray:
+    """Of each row a number that its k-th largest reaches: the k-th largest of maxima of parts, or of all if there are few."""
+    parts = scores.shape[1] // PART
+    if parts >= k:
+        scores = scores[:, : parts * PART].reshape(len(scores), PART, parts).max(axis=1)
+    return np.partition(scores, -k, axis=1)[:, -k][:, None]
+
+
 def best_in_tile(q_ids: np.ndarray, queries: np.ndarray, v_ids: np.ndarray, vectors: np.ndarray, k: int) -> list[np.ndarray]:
     """Query ids, vector ids and scores of each query's k best in a tile."""
     order = np.argsort(v_ids, kind="stable")
     v_ids, vectors = v_ids[order], vectors[order]
-    lowest = np.iinfo(np.int64).min
     found = []
     step = max(1, CELLS // max(1, len(v_ids)))
+    held = np.empty((min(step, len(q_ids)), len(v_ids)))
     for at in range(0, len(q_ids), step):
         ids = q_ids[at : at + step]
-        scores = _product(queries[at : at + step], vectors)
-        others = ids[:, None] != v_ids[None, :]
+        scores = _product(queries[at : at + step], vectors, held)
+        own, after = np.searchsorted(v_ids, ids), np.searchsorted(v_ids, ids, "right")
+        lowest = np.iinfo(np.int64).min if scores.dtype == np.int64 else -np.inf
+        for row in np.flatnonzero(own < after):
+            scores[row, own[row] : after[row]] = lowest
         if scores.shape[1] > k:
-            ranked = np.where(others, scores, lowest)
-            least = np.partition(ranked, -k, axis=1)[:, -k][:, None]
-            others &= scores >= least
-        rows, cols = np.nonzero(others)
-        values = scores[rows, cols]
+            near = np.flatnonzero(scores >= _at_least(scores, k))
+        else:
+            near = np.arange(scores.size)
+        rows, cols = np.divmod(near, len(v_ids))
+        others = ids[rows] != v_ids[cols]
+        rows, cols = rows[others], cols[others]
+        values = scores[rows, cols].astype(np.int64)
         sort = np.lexsort((cols, ~values, rows))  # ~x falls as x rises
         rows, cols, values = rows[sort], cols[sort], values[sort]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)

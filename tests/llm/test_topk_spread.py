@@ -45,3 +45,21 @@ def test_lists_of_many_shards_meet_in_steps(spark, monkeypatch):
         for rank, (score, j) in enumerate(sorted((-int(v[q] @ v[j]) << 20, j) for j in range(60) if j != q)[:3], 1)
     ]
     assert sorted(tuple(r) for r in out) == want
+
+
+def test_ties_across_parts_of_a_tile(monkeypatch):
+    """The bound from maxima of parts leaves out none of the k best, nor their ties, and a query's own rows set none."""
+    draw = np.random.default_rng(11)
+    monkeypatch.setattr(topk, "PART", 4)
+    for large in (1.0, 2.0**40):  # doubles, whole numbers
+        q, v = draw.integers(-2, 3, (6, 3)) * large, draw.integers(-2, 3, (150, 3)) * large
+        v[60:120] = q[0]
+        q_ids, v_ids = np.arange(6), np.concatenate([np.zeros(60, np.int64), draw.permutation(90)])
+        for k in (1, 7, 30, 200):
+            got = sorted(zip(*map(np.ndarray.tolist, topk.best_in_tile(q_ids, q, v_ids, v, k))))
+            want = []
+            for i, a in enumerate(q.tolist()):
+                scores = [(sum(int(x) * int(y) for x, y in zip(a, b)), j) for j, b in zip(v_ids.tolist(), v.tolist()) if j != i]
+                scores = sorted((-min(max(s, -(2**63)), 2**63 - 1), j) for s, j in scores)
+                want += [(i, j, -s) for s, j in scores[:k]]
+            assert got == sorted(want)
